@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, sharding, simhash, tokenshards, urlfilter
+from . import ann, bpe, decontam, licenses, quality, sharding, simhash, tokenshards, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,26 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.size("matches").cast("long").alias("n_licenses"), F.array_join("matches.template", ",").alias("licenses"), F.coalesce(F.array_max("matches.containment"), F.lit(0.0)).alias("best_containment"))
+
+
+def held_out(doc_id="doc_id"):
+    """Whether crc32 of the id as text leaves 1 when divided by 3."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    return toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out())
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity_model(spark, sf_dir)
+    scored = table(spark, sf_dir, "documents").select("doc_id", held_out().alias("held_out"), toxicity.score_udf(spark, model)(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 #: (verdict, host, path)
 URL_RULES = [urlfilter.Rule("block", "net", "/"), urlfilter.Rule("allow", "example.net", "/en/"), urlfilter.Rule("block", "example.com", "/de/"), urlfilter.Rule("allow", "org", "/fr/")]
 
@@ -45,6 +65,15 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -98,9 +127,13 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
+    "op2_license_scan": op2_license_scan,
+    "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
+    "op7_ann": op7_ann,
+    "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
 }
