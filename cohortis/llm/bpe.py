@@ -29,8 +29,8 @@ from .pieces import byte_characters
 
 #: Frequent words that are compiled. Which they are changes speed only, never a result.
 LEXICON_WORDS = 100_000
-#: Merged words that a worker keeps.
-MOST_MERGED = 600_000
+#: Merged words, and different words to count, that a worker keeps: some 50 MB each.
+MOST_MERGED, MOST_COUNTED = 200_000, 250_000
 MAGIC = b"MALX0001"
 
 
@@ -236,7 +236,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for text in batch.column(0):
                 if text.is_valid:
                     held.update(text.as_py().split(" "))
-                if len(held) > 1_000_000:
+                if len(held) > MOST_COUNTED:
                     yield flat()
                     held = Counter()
         if held:
@@ -282,7 +282,7 @@ def encode_texts(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text
             begin = 0
             while begin < len(texts):
                 end, size = begin, 0
-                while end < len(texts) and (end == begin or size + sizes[end] <= 4 << 20):
+                while end < len(texts) and (end == begin or size + sizes[end] <= 1 << 20):
                     size += sizes[end]
                     end += 1
                 if known.cuts:
