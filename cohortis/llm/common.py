@@ -152,7 +152,7 @@ class Words:
         return at, mixed(h[at])
 
 
-def slices(texts: list[bytes], most: int = 2 << 20):
+def slices(texts: list[bytes], most: int = 1 << 20):
     """Runs (from, to) of texts of about so many bytes together, one text at least."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
