@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import even_round, null_if_nan, sanitize
-from ..schemas import REMOTE_LISTING
+from ..schemas import REMOTE_LISTING, struct
 
 
 class MissingInput(FileNotFoundError):
@@ -21,17 +21,18 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: null_if_nan(F.col(c)) for c in reals}) if reals else df
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",") -> DataFrame:
     """With a header, a declared schema, `n/a` and NaN as null."""
     return nan_to_null(spark.read.schema(schema).option("header", True).option("sep", sep).option("nullValue", "n/a").option("nanValue", "NaN").csv(path))
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     return read_csv(spark, path, schema, "\t")
 
 
-def read_evaluations(spark: SparkSession, folder: str, schema: T.StructType, split: str = "test") -> DataFrame:
+def read_evaluations(spark: SparkSession, folder: str, schema: T.StructType | str, split: str = "test") -> DataFrame:
     """evaluation_<model>.csv of a folder without the summaries, one table, rows of the split."""
+    schema = struct(schema) if isinstance(schema, str) else schema
     rows = read_csv(spark, f"{folder}/evaluation_*.csv", schema)
     kept = rows.where(~F.col("_metadata.file_name").rlike(r"_summary\.csv$"))
     return kept.where(F.col("split") == split).select(*schema.fieldNames())

@@ -10,7 +10,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import kernels  # noqa: F401  the package must be importable on executors
 from ..schemas import VOLUMES
 
 #: NIfTI-1 datatype codes.
@@ -78,4 +77,4 @@ def read_volumes(spark: SparkSession, path: str, pattern: str = r"(sub-[^_/]+)_(
             yield pd.DataFrame(out)
 
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    return raw.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in VOLUMES) + ", error string")
+    return raw.mapInPandas(run, f"{VOLUMES}, error string")
