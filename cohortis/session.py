@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 CONF = {
@@ -17,3 +22,17 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     """A session with CONF; keyword arguments use __ for dots: session("local[8]", spark__sql__shuffle__partitions="8")."""
     builder = SparkSession.builder if master is None else SparkSession.builder.master(master)
     return builder.config(map=CONF | {k.replace("__", "."): str(v) for k, v in conf.items()}).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, so that executors need no copy of the repository."""
+    sc = spark.sparkContext
+    name = f"cohortis-{sc.applicationId}.zip"
+    if any(str(p).endswith(name) for p in sc._python_includes):
+        return
+    root = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="cohortis-"), name)
+    with zipfile.ZipFile(path, "w") as out:
+        for p in sorted(root.rglob("*.py")):
+            out.write(p, p.relative_to(root.parent))
+    sc.addPyFile(path)
