@@ -15,6 +15,8 @@ from __future__ import annotations
 import json
 import mmap
 import re
+import sys
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,6 +34,7 @@ LEXICON_WORDS = 100_000
 #: Merged words, and different words to count, that a worker keeps: some 50 MB each.
 MOST_MERGED, MOST_COUNTED = 200_000, 250_000
 MAGIC = b"MALX0001"
+LITTLE = sys.byteorder == "little"
 
 
 # -- the automaton ---------------------------------------------------------------------------------------------------
@@ -167,23 +170,25 @@ class Merger:
         added = told.get("added_tokens") or []
         #: Whether a text may be cut at spaces; else the library gets whole texts.
         self.cuts = kinds == ["NFC", "Replace", "Lowercase"] and pre == ["Split", "ByteLevel"] and not any(" " in x["content"] or x["single_word"] for x in added)
-        self.plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+        #: Latin letters, and then ASCII marks other than an apostrophe, which can begin a contraction.
+        self.plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
         self.as_characters = dict(enumerate(byte_characters()))
         self.joins = told.get("decoder") is None
         self.strings = [(self.library.id_to_token(i) or "").encode() for i in range(self.library.get_vocab_size())]
 
     def token(self, word: str) -> list[int]:
-        return [x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.as_characters))]
+        as_bytes = word if word.isascii() else word.encode().decode("latin-1").translate(self.as_characters)
+        return [x.id for x in self.model.tokenize(as_bytes)]
 
     def ids(self, word: str) -> bytes:
         """The ids of a word, as little-endian 32-bit integers."""
         if not word:
             return b""
         if self.cuts and (m := self.plain.fullmatch(word)):
-            ids = self.token(m[1].lower()) + (self.token(m[2]) if m[2] else [])
+            ids = (self.token(m[1].lower()) if m[1] else []) + (self.token(m[2]) if m[2] else [])
         else:
             ids = self.library.encode(word, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        return array("I", ids).tobytes() if LITTLE else np.array(ids, dtype="<u4").tobytes()
 
     def decoded(self, ids: bytes) -> bytes:
         """What the library's decode(ids, skip_special_tokens=False) returns, in UTF-8."""
@@ -194,23 +199,55 @@ class Merger:
 
 
 _MERGERS: dict[str, Merger] = {}
-_MERGED: dict[str, bytes] = {}
-_MAPPED: dict[str, Transducer] = {}
+_CODERS: dict[str, Coder] = {}
 
 
 def merger(tokenizer_json: str) -> Merger:
     if tokenizer_json not in _MERGERS:
         _MERGERS.clear()
-        _MERGED.clear()
         _MERGERS[tokenizer_json] = Merger(tokenizer_json)
     return _MERGERS[tokenizer_json]
 
 
-def mapped(name: str) -> Transducer:
-    if name not in _MAPPED:
-        _MAPPED.clear()
-        _MAPPED[name] = Transducer.mapped(common.opened_file(name))
-    return _MAPPED[name]
+class Coder:
+    """Encodes texts with a mapped lexicon and a merger; one for each lexicon and worker process."""
+
+    def __init__(self, words: Transducer, known: Merger):
+        self.words, self.merger = words, known
+        self.frequent: dict[str, bytes] = {}  # lexicon words that were met, so never more than the lexicon has
+        self.ids: dict[str, bytes] = {}  # those, and merged words
+
+    def learn(self, fresh: list[str]) -> None:
+        for word, rank in zip(fresh, self.words.ranks([w.encode() for w in fresh]).tolist(), strict=True):
+            if rank >= 0:
+                self.frequent[word] = self.ids[word] = self.words.output(rank)
+            elif self.merger.cuts and (m := self.merger.plain.fullmatch(word)) and m[1] and (m[2] or m[1] != m[1].lower()):
+                # Case is lost, and closing marks are a word of their own: each part's ids serve again.
+                out = b""
+                for part in filter(None, (m[1].lower(), m[2])):
+                    if (ids := self.ids.get(part)) is None:
+                        ids = self.ids[part] = self.merger.ids(part)
+                    out += ids
+                self.ids[word] = out
+            else:
+                self.ids[word] = self.merger.ids(word)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.merger.cuts:
+            return [self.merger.ids(x) for x in texts]
+        cut = [x.split(" ") for x in texts]
+        met = set().union(*cut)
+        if len(self.ids) > MOST_MERGED + len(self.frequent):
+            self.ids = dict(self.frequent)
+        self.learn([w for w in met if w not in self.ids])
+        return [b"".join(map(self.ids.__getitem__, x)) for x in cut]
+
+
+def coder(name: str, tokenizer_json: str) -> Coder:
+    if name not in _CODERS:
+        _CODERS.clear()
+        _CODERS[name] = Coder(Transducer.mapped(common.opened_file(name)), merger(tokenizer_json))
+    return _CODERS[name]
 
 
 # -- on tables -------------------------------------------------------------------------------------------------------
@@ -246,12 +283,24 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def compile_lexicon(docs: DataFrame, tokenizer_path: str, n_words: int = LEXICON_WORDS, text_col: str = "text") -> Lexicon:
-    """Compile the n_words most frequent words of all texts (ties: byte order). Empty tables give an empty lexicon."""
+    """Compile the most frequent words of all texts, n_words at most (words of about equal counts are taken together or
+    not at all). Empty tables give an empty lexicon."""
     spark = docs.sparkSession
     told = spark.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())
-    top = count_words(docs, text_col).where("n > 1").orderBy(F.desc("n"), "word").limit(n_words)
     known = Merger(told.value)
-    words = {r.word.encode(): known.ids(r.word) for r in top.select("word").collect()} if known.cuts else {}
+    words: dict[bytes, bytes] = {}
+    if known.cuts:
+        # Counts fall into some hundred steps; the driver gets one row for each, and then the words above the step that
+        # keeps them within n_words. No task sends it a list of candidates.
+        counted = common.written(count_words(docs, text_col).where("n > 1").withColumn("step", F.floor(8 * F.log2("n"))), "words")
+        total, least = 0, None
+        for r in counted.groupBy("step").count().orderBy(F.desc("step")).collect():
+            total += r["count"]
+            if total > n_words:
+                break
+            least = r["step"]
+        if least is not None:
+            words = {r.word.encode(): known.ids(r.word) for r in counted.where(F.col("step") >= least).select("word").collect()}
     return Lexicon(common.local_file(spark, Transducer.packed(words), "lexicon"), told, len(words))
 
 
@@ -263,19 +312,7 @@ def encode_texts(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text
     name, told = lexicon.name, lexicon.tokenizer
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, words = merger(told.value), mapped(name)
-        ranked: dict[str, bytes] = {}
-
-        def learn(fresh: list[str]) -> None:
-            if len(_MERGED) > MOST_MERGED:
-                _MERGED.clear()
-            for word, rank in zip(fresh, words.ranks([w.encode() for w in fresh]).tolist(), strict=True):
-                if rank >= 0:
-                    ids = words.output(rank)
-                elif (ids := _MERGED.get(word)) is None:
-                    ids = _MERGED[word] = known.ids(word)
-                ranked[word] = ids
-
+        known = coder(name, told.value)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             sizes = [len(x) for x in texts]
@@ -285,15 +322,7 @@ def encode_texts(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text
                 while end < len(texts) and (end == begin or size + sizes[end] <= 1 << 20):
                     size += sizes[end]
                     end += 1
-                if known.cuts:
-                    cut = [x.split(" ") for x in texts[begin:end]]
-                    met = set().union(*cut)
-                    if len(ranked) + len(met) > MOST_MERGED:
-                        ranked.clear()
-                    learn([w for w in met if w not in ranked])
-                    out = [b"".join(map(ranked.__getitem__, x)) for x in cut]
-                else:
-                    out = [known.ids(x) for x in texts[begin:end]]
+                out = known.encode(texts[begin:end])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
                 begin = end
 
