@@ -162,7 +162,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     """
     spark = vectors.sparkSession
     common.ship(spark)
-    shape = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null and size(v) > 0")
+    shape = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null and exists(v, x -> x <> 0) and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
     base, asked = shape(vectors), shape(queries)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = base.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()

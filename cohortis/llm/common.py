@@ -5,32 +5,18 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship  # noqa: F401  operators call it as common.ship
+
 #: Above this many rows a table is joined by shuffle instead of being broadcast.
 BROADCAST_ROWS = 500_000
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application, so that executors need no copy of the repository."""
-    sc = spark.sparkContext
-    name = f"cohortis-{sc.applicationId}.zip"
-    if any(str(p).endswith(name) for p in sc._python_includes):
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(prefix="cohortis-"), name)
-    with zipfile.ZipFile(path, "w") as out:
-        for p in sorted(root.rglob("*.py")):
-            out.write(p, p.relative_to(root.parent))
-    sc.addPyFile(path)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
     sc = spark.sparkContext

@@ -189,8 +189,8 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, most_share: float =
     if (judge := cleaner(benchmark, size)) is not None:
         return docs.where(judge.hit_share()(F.col("text")) <= most_share)
     # Beyond the bound: judged by join, and matched back by id; rows of one id share their worst share.
-    bad = scan(docs, benchmark, size, broadcast_bytes=0).where(F.col("n_hit") > most_share * F.col("n_words")).select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_hit_id"]), "left_anti")
+    bad = scan(docs, benchmark, size, broadcast_bytes=0).where(F.col("n_hit") > most_share * F.col("n_words")).select(F.col("doc_id").alias("__cohortis_hit")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__cohortis_hit"]), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:

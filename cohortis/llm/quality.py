@@ -181,10 +181,12 @@ def accepted(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_
     """docs without the rows that judged() rejects; columns stay, and texts are not shuffled while sites can be broadcast."""
     spark = docs.sparkSession
     model = model or train(docs, labels)
-    own = {"_host": F.coalesce(F.col(host_col).cast("string"), F.lit("")), "_path": F.coalesce(F.col(path_col).cast("string"), F.lit("")), "_evidence": evidence_udf(spark, model)(F.col("text"))}
-    scored = docs.select(*[c.alias(k[1:]) for k, c in own.items()])
-    priors = site_priors(scored, model.prior).select(F.col("host").alias("_host"), F.col("path").alias("_path"), "path_mean").withColumnRenamed("path_mean", "_mean")
+    # Names that no document column has.
+    host, path, evidence, mean = (f"__cohortis_{c}" for c in ("host", "path", "evidence", "mean"))
+    own = {host: F.coalesce(F.col(host_col).cast("string"), F.lit("")), path: F.coalesce(F.col(path_col).cast("string"), F.lit("")), evidence: evidence_udf(spark, model)(F.col("text"))}
+    scored = docs.select(own[host].alias("host"), own[path].alias("path"), own[evidence].alias("evidence"))
+    priors = site_priors(scored, model.prior).select(F.col("host").alias(host), F.col("path").alias(path), F.col("path_mean").alias(mean))
     if priors.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:
         priors = F.broadcast(priors)
-    odds = F.log(F.col("_mean") / (1 - F.col("_mean"))) + F.col("_evidence")
-    return docs.withColumns(own).join(priors, ["_host", "_path"]).where(1 / (1 + F.exp(-odds)) >= accept).select(*docs.columns)
+    odds = F.log(F.col(mean) / (1 - F.col(mean))) + F.col(evidence)
+    return docs.withColumns(own).join(priors, [host, path]).where(1 / (1 + F.exp(-odds)) >= accept).select(*docs.columns)

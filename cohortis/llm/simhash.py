@@ -331,13 +331,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Rows equal in both count as one. Rows with a null id are all kept: nothing tells them apart.
     """
     common.ship(docs.sparkSession)
-    marked = docs.select("doc_id", F.xxhash64("text").alias("_text"), fingerprint_udf()(F.col("text")).alias("print"))
+    marked = docs.select("doc_id", F.xxhash64("text").alias("__cohortis_text"), fingerprint_udf()(F.col("text")).alias("print"))
     prints = common.written(marked, "prints")
     parts = components_of_prints(prints)
-    kept = prints.where("doc_id is not null").join(parts, "print").groupBy("component_id").agg(F.min(F.struct("doc_id", "_text")).alias("k")).select("k.doc_id", F.col("k._text").alias("_text"))
-    repeats = prints.where("doc_id is not null").groupBy("doc_id", "_text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    one = docs.withColumn("_text", F.xxhash64("text")).join(kept, ["doc_id", "_text"], "left_semi")
+    kept = prints.where("doc_id is not null").join(parts, "print").groupBy("component_id").agg(F.min(F.struct("doc_id", "__cohortis_text")).alias("k")).select("k.doc_id", F.col("k.__cohortis_text").alias("__cohortis_text"))
+    repeats = prints.where("doc_id is not null").groupBy("doc_id", "__cohortis_text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    one = docs.withColumn("__cohortis_text", F.xxhash64("text")).join(kept, ["doc_id", "__cohortis_text"], "left_semi")
     if repeats:
-        one = one.dropDuplicates(["doc_id", "_text"])
+        one = one.dropDuplicates(["doc_id", "__cohortis_text"])
     one = one.select(*docs.columns)
     return one.unionByName(docs.where("doc_id is null")) if prints.where("doc_id is null").limit(1).count() else one

@@ -150,11 +150,14 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, m
     told = labels.where("doc_id is not null and toxic is not null").where(F.lit(True) if may_learn is None else may_learn)
     told = told.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
+    # What an exception phrase says counts for neither side.
+    spared = re.compile("|".join(rf"\b{re.escape(folded(e))}\b" for e in exceptions) or "(?!)")
+
     def shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            words = [_WORD.findall(folded(x or "")) for x in batch.column(0).to_pylist()]
+            words = [_WORD.findall(spared.sub(" ", folded(x or ""))) for x in batch.column(0).to_pylist()]
             signs = [min((xxhash.xxh64_intdigest(" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))), default=0) >> 1 for w in words]
             yield pa.RecordBatch.from_arrays([pa.array(signs, pa.int64()), batch.column(1), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))], ["sign", "toxic", "words"])
 
