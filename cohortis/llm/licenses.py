@@ -5,7 +5,7 @@ shingles begin every s shingles, for each s in STRIDES, so a template of up to s
 the smallest s that is enough, and shares at least an eighth of that window's shingles. With BANDS bands of one minimum
 each, a window that holds the whole template is retrieved with a probability of 1 - (1 - 1/8)**48 = 0.998 or more, and
 one that holds only the required four fifths of it with 0.99 or more. Which templates match is then decided exactly:
-the share of a template's different shingles that the window has, compared word by word.
+the share of a template's different shingles in the best span of 2s shingles about the window, compared word by word.
 """
 
 from __future__ import annotations
@@ -103,18 +103,20 @@ class Templates:
         best: list[dict] = [{} for _ in texts]
         offset = np.cumsum([0, *(len(t) + 1 for t in texts)])
         for s, window, t in sorted(self.candidates(code)):
-            place = np.arange(window * s, min(len(code), (window + 2) * s))
+            # The best span needn't be aligned as windows are: any of 2s shingles that meets the window.
+            place = np.arange(max(0, (window - 2) * s), min(len(code), (window + 4) * s))
             place = place[np.isin(code[place], self.shingles[t])]
             for doc in np.unique(words.doc[at[place]]).tolist():
-                own = [int(at[p]) for p in place if words.doc[at[p]] == doc]
-                same = {i: b" ".join(words.word(j) for j in range(i, i + SHINGLE)) for i in own}
-                hit = [i for i in own if same[i] in self.words[t]]
-                share = len({same[i] for i in hit}) / len(self.words[t])
-                if share >= least:
-                    begin, end = int(words.start[hit[0]] - offset[doc]), int(words.end[hit[-1] + SHINGLE - 1] - offset[doc])
-                    key = (-share, begin, end)
-                    name = self.names[t]
-                    best[doc][name] = min(best[doc].get(name, key), key)
+                own = [p for p in place.tolist() if words.doc[at[p]] == doc]
+                same = {p: b" ".join(words.word(j) for j in range(at[p], at[p] + SHINGLE)) for p in own}
+                own = [p for p in own if same[p] in self.words[t]]
+                for i, p in enumerate(own):
+                    span = [q for q in own[i:] if q < p + 2 * s]
+                    share = len({same[q] for q in span}) / len(self.words[t])
+                    if share >= least:
+                        begin, end = int(words.start[at[p]] - offset[doc]), int(words.end[at[span[-1]] + SHINGLE - 1] - offset[doc])
+                        key, name = (-share, begin, end), self.names[t]
+                        best[doc][name] = min(best[doc].get(name, key), key)
         return [[{"template": n, "containment": -k[0], "begin": k[1], "end": k[2]} for n, k in sorted(x.items())] for x in best]
 
 
