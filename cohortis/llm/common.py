@@ -11,10 +11,21 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship  # noqa: F401  operators call it as common.ship
+from .. import session
 
 #: Above this many rows a table is joined by shuffle instead of being broadcast.
 BROADCAST_ROWS = 500_000
+#: Bytes of an Arrow batch that goes to a Python worker. Counted in rows alone, a batch of long texts can be of any size.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def ship(spark: SparkSession) -> None:
+    """What every operator with Python stages begins with: the package on the workers, and batches of bounded size (where
+    the session leaves Spark's default)."""
+    session.ship(spark)
+    if spark.conf.get(_BATCH_KEY, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
