@@ -304,10 +304,13 @@ def compile_lexicon(docs: DataFrame, tokenizer_path: str, n_words: int = LEXICON
     return Lexicon(common.local_file(spark, Transducer.packed(words), "lexicon"), told, len(words))
 
 
-def encode_texts(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit) of every whole text, as the tokenizers library
     encodes it with add_special_tokens=False. A null text counts as empty and has no ids; repeated rows stay; other
-    columns are ignored. No shuffle."""
+    columns are ignored. No shuffle.
+
+    decode: also decoded, as decode_ids() gives it, in the same pass, so one worker a task serves both.
+    """
     common.ship(docs.sparkSession)
     name, told = lexicon.name, lexicon.tokenizer
 
@@ -323,10 +326,13 @@ def encode_texts(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text
                     size += sizes[end]
                     end += 1
                 out = known.encode(texts[begin:end])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                columns = {"doc_id": batch.column(0).slice(begin, end - begin), "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64()), "ids": pa.array(out, pa.binary())}
+                if decode:
+                    columns["decoded"] = pa.array([known.merger.decoded(x) for x in out], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
                 begin = end
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id long, n_tokens long, ids binary" + ", decoded string" * decode)
 
 
 def decode_ids(encoded: DataFrame, lexicon: Lexicon) -> DataFrame:

@@ -82,7 +82,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = bpe.compile_lexicon(docs, tokenizer("word_bpe_49k.json"))
-    coded = bpe.decode_ids(bpe.encode_texts(docs, lexicon), lexicon)
+    coded = bpe.encode_texts(docs, lexicon, decode=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 

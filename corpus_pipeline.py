@@ -36,7 +36,7 @@ def keep_unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the number of token ids, and digests of the ids and of the decoded text."""
     lexicon = bpe.compile_lexicon(docs, queries.tokenizer("word_bpe_49k.json"))
-    coded = bpe.decode_ids(bpe.encode_texts(docs, lexicon), lexicon)
+    coded = bpe.encode_texts(docs, lexicon, decode=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 

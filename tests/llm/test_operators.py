@@ -553,6 +553,7 @@ def test_bpe_equals_the_library(spark, odd, n_words):
         ids = library.encode(text or "", add_special_tokens=False).ids
         want[(doc, len(ids), np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False))] += 1
     assert got == want
+    assert got == Counter((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in bpe.encode_texts(docs, lexicon, decode=True).collect())
 
 
 def test_bpe_of_nothing(empty):
