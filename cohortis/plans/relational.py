@@ -381,11 +381,11 @@ def stratified_folds(spark, sf):
 
 
 @query("holm_families", "family id:l p:d p_holm:d", """
-WITH t AS (SELECT o_orderpriority AS family, o_orderkey AS id, (o_orderkey * 37 % 1000) / 1000.0 AS p FROM orders WHERE o_orderkey % 50 = 7),
+WITH t AS (SELECT o_orderpriority AS family, o_orderkey AS id, (o_orderkey * 37 % 1000) / 1000.0 AS p FROM orders),
 r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, id) AS k, count(*) OVER (PARTITION BY family) AS m FROM t)
 SELECT family, id, p, least(1, max((m - k + 1) * p) OVER (PARTITION BY family ORDER BY k ROWS UNBOUNDED PRECEDING)) AS p_holm FROM r""")
 def holm_families(spark, sf):
-    t = table(spark, sf, "orders").where("o_orderkey % 50 = 7").select(F.col("o_orderpriority").alias("family"), F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") * 37 % 1000) / 1000.0).alias("p"))
+    t = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("family"), F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") * 37 % 1000) / 1000.0).alias("p"))
     return R.holm(t, ["family"], "p", ["id"])
 
 
