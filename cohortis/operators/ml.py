@@ -15,12 +15,18 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 
-#: Rows that a model is fitted on, at most (those with the smallest hashes of their keys).
+#: Rows that a model is fitted on, about (by a hash of their keys; all of them where there are fewer).
 MOST_ROWS = 100_000
 
 
 def _bounded(df: DataFrame, key: str, most: int) -> pd.DataFrame:
-    return df.orderBy(F.xxhash64(key), key).limit(most).toPandas().sort_values(key)
+    return _about(df, key, most).toPandas().sort_values(key)
+
+
+def _about(df: DataFrame, key: str, most: int) -> DataFrame:
+    """All rows, or about `most`: those whose key's hash falls into their share. No sort; the same rows at every run."""
+    n = df.count()
+    return df if n <= most else df.where(F.pmod(F.xxhash64(key), F.lit(n)) < most).limit(2 * most)
 
 
 def isolation_forest(df: DataFrame, key: str, features: Sequence[str], trees: int = 500, contamination: float = 0.05, seed: int = 42, most: int = MOST_ROWS) -> DataFrame:
@@ -50,7 +56,7 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int
 
 
 def combat(df: DataFrame, key: str, features: Sequence[str], site: str, covariates: Sequence[str] = (), most: int = MOST_ROWS) -> DataFrame:
-    """key, site and the features harmonised across sites; learnt on at most `most` rows without nulls, applied to all of them."""
+    """key, site and the features harmonised across sites; learnt on about `most` rows without nulls, applied to all of them."""
     need = [*features, *covariates]
     some = df.select(key, site, *[F.col(c).cast("double").alias(c) for c in need]).dropna()
     fit = _bounded(some, key, most)
@@ -72,7 +78,7 @@ def site_classifier(df: DataFrame, key: str, features: Sequence[str], site: str,
 
     Folds run in parallel, one task each, over a bounded table; scaler, ComBat and classifier learn on the training folds only.
     """
-    folds = stratified_folds(df.select(key, site, *features, *covariates).dropna().orderBy(F.xxhash64(key), key).limit(most), key, site, k, seed)
+    folds = stratified_folds(_about(df.select(key, site, *features, *covariates).dropna(), key, most), key, site, k, seed)
     ways = [False, True] if harmonise else [False]
     tasks = folds.select("*", F.explode(F.array(*[F.struct(F.lit(w).alias("harmonised"), F.lit(i).alias("test")) for w in ways for i in range(k)])).alias("task")).select("*", "task.*").drop("task")
 
