@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import common
 from .toxicity import _logistic
 
-#: Labelled documents that the classifier learns from, at most (those with the smallest hashes of their ids).
+#: Labelled documents that the classifier learns from, about (by a hash of their ids; all of them where there are fewer).
 TRAIN_DOCUMENTS = 20_000
 ACCEPT = 0.5
 #: Log odds are kept within this of 0, and prior strengths within these bounds.
@@ -85,13 +85,14 @@ def expanded(x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> Classifier:
-    """Fit the classifier on docs (doc_id, text) and labels (doc_id, quality), at most `most` of them.
+    """Fit the classifier on docs (doc_id, text) and labels (doc_id, quality), about `most` of them.
 
     Null labels are left out; an id labelled twice is good only if all its labels say so. With labels of one kind or none
     there is no evidence: every ratio is 0.
     """
     common.ship(docs.sparkSession)
-    told = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    told = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    told = common.about(told, "doc_id", most)
 
     def measured(texts: pa.Array) -> pa.Array:
         return pa.array([features(t) for t in common.text_bytes(texts)], pa.list_(pa.float64()))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled documents that a model learns from, at most (those with the smallest hashes of their ids).
+#: Labelled documents that a model learns from, about (by a hash of their ids; all of them where there are fewer).
 TRAIN_DOCUMENTS = 20_000
 THRESHOLD = 0.7
 #: An entry occurs in this share of the toxic documents at least; its log odds are at least those of its kind, and a
@@ -142,13 +142,12 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, m
     """Learn a Model from docs (doc_id, text) and labels (doc_id, toxic).
 
     may_learn: a condition on doc_id. Labels that are null are left out; an id labelled twice is toxic if either says
-    so. At most `most` labels are used, by the smallest hashes of their ids, and broadcast; only their documents leave the
-    scan. Near copies (equal minimal shingle hash) count once. With no toxic document the lexicon is empty.
+    so. About `most` labels are used, chosen by a hash, and broadcast; only their documents leave the scan. Near copies (equal minimal shingle hash) count once. With no toxic document the lexicon is empty.
     """
     spark = docs.sparkSession
     common.ship(spark)
     told = labels.where("doc_id is not null and toxic is not null").where(F.lit(True) if may_learn is None else may_learn)
-    told = told.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    told = common.about(told.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "doc_id", most)
 
     # What an exception phrase says counts for neither side.
     spared = re.compile("|".join(rf"\b{re.escape(folded(e))}\b" for e in exceptions) or "(?!)")
