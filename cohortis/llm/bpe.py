@@ -31,8 +31,8 @@ from .pieces import byte_characters
 
 #: Frequent words that are compiled. Which they are changes speed only, never a result.
 LEXICON_WORDS = 100_000
-#: Merged words, and different words to count, that a worker keeps: some 50 MB each.
-MOST_MERGED, MOST_COUNTED = 200_000, 250_000
+#: Merged words, and different words to count, that a worker keeps: some 30 MB each.
+MOST_MERGED, MOST_COUNTED = 120_000, 150_000
 MAGIC = b"MALX0001"
 LITTLE = sys.byteorder == "little"
 
@@ -232,6 +232,11 @@ class Coder:
             else:
                 self.ids[word] = self.merger.ids(word)
 
+    def forget(self) -> None:
+        """At a task's end: the next one learns its words anew, in a fraction of a second."""
+        self.frequent, self.ids = {}, {}
+        common.tidy()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.merger.cuts:
             return [self.merger.ids(x) for x in texts]
@@ -278,6 +283,8 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     held = Counter()
         if held:
             yield flat()
+        del held
+        common.tidy()
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("word <> ''")
 
@@ -331,6 +338,7 @@ def encode_texts(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text
                     columns["decoded"] = pa.array([known.merger.decoded(x) for x in out], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
                 begin = end
+        known.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id long, n_tokens long, ids binary" + ", decoded string" * decode)
 

@@ -88,6 +88,25 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS = {}
 
 
+def tidy(thorough: bool = True) -> None:
+    """Hand free memory back to the system. A worker stays for later tasks, most of which need less than it has had.
+
+    thorough: at the end of a task; else only what takes no longer than a millisecond or so, between batches.
+    """
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    if thorough:
+        _POWERS.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _POWERS.get(base)

@@ -107,6 +107,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, broadcast_byte
         for batch in batches:
             got = [*zip(*_scan_batches(known.value, table, common.text_bytes(batch.column(1))), strict=True)] or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(got, kinds, strict=True))], SCHEMA.names)
+        common.tidy()
 
     return rows.mapInArrow(run, SCHEMA)
 
@@ -153,7 +154,9 @@ class Cleaner:
         known = self.known
 
         def share(texts: pa.Array) -> pa.Array:
-            return pa.array([h / n if n else 0.0 for n, h, _, _ in _scan_batches(known.value, common.word_table(), common.text_bytes(texts))], pa.float64())
+            out = pa.array([h / n if n else 0.0 for n, h, _, _ in _scan_batches(known.value, common.word_table(), common.text_bytes(texts))], pa.float64())
+            common.tidy(thorough=False)
+            return out
 
         return F.arrow_udf(share, "double")
 

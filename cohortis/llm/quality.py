@@ -117,7 +117,10 @@ def evidence_udf(spark, model: Classifier):
 
     def of(texts: pa.Array) -> pa.Array:
         raw = common.text_bytes(texts)
-        return pa.array(model.evidence(expanded(np.array([features(t) for t in raw]))) if raw else [], pa.float64())
+        out = pa.array(model.evidence(expanded(np.array([features(t) for t in raw]))) if raw else [], pa.float64())
+        del raw
+        common.tidy(thorough=False)
+        return out
 
     return F.arrow_udf(of, "double")
 

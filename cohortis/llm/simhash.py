@@ -74,7 +74,9 @@ def fingerprint_udf():
     """An Arrow function of a text: its fingerprint as a long. A null text counts as empty."""
 
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([signed(fingerprint(x)) for x in common.text_bytes(texts)], pa.int64())
+        out = pa.array([signed(fingerprint(x)) for x in common.text_bytes(texts)], pa.int64())
+        common.tidy(thorough=False)
+        return out
 
     return F.arrow_udf(of, "long")
 
@@ -270,6 +272,7 @@ def fingerprint_links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
                         one, two = np.minimum(own[many], other), np.maximum(own[many], other)
                         row, key, sub = row[many], key[many], one << 31 | two
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sub), pa.array(x[row]), pa.array(node[row])], ["key", "sub", "print", "node"])
+            common.tidy()
 
         return run
 
@@ -298,6 +301,8 @@ def fingerprint_links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
                 held = [h[last[-1] + 1 :] for h in held]
         if len(held[0]):
             yield out(held)
+        del held
+        common.tidy()
 
     rows = prints.mapInArrow(keyed(told), "key long, sub long, print long, node long")
     return rows.repartition("key", "sub").sortWithinPartitions("key", "sub", "print").mapInArrow(link, "a long, b long")

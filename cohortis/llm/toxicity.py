@@ -199,6 +199,8 @@ def score_udf(spark, model: Model):
     told = spark.sparkContext.broadcast(model)  # MOST_ENTRIES entries at most
 
     def scored(texts: pa.Array) -> pa.Array:
-        return pa.array([told.value.score(x) for x in texts.to_pylist()], pa.float64())
+        out = pa.array([told.value.score(x) for x in texts.to_pylist()], pa.float64())
+        common.tidy(thorough=False)
+        return out
 
     return F.arrow_udf(scored, "double")
