@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantile
+
 # -- summaries -------------------------------------------------------------------------------------------------------
 
 
@@ -99,14 +101,18 @@ def drop_from_baseline(df: DataFrame, keys: Sequence[str], kind: str, baseline:
 # -- windows ---------------------------------------------------------------------------------------------------------
 
 
-def robust_z(df: DataFrame, group: Sequence[str], value: str, least: int = 1, out: str = "z") -> DataFrame:
+def robust_z(df: DataFrame, group: Sequence[str], value: str, least: int = 1, out: str = "z", large_groups: bool = False) -> DataFrame:
     """(x - median) / (1.4826 MAD) in each group; 0 where the MAD is 0 or x is missing; null in groups of under `least` rows.
 
     Two grouped medians joined back, not window functions, so a large group is not one task's to sort with all columns.
+    large_groups: for groups with more different values than a task can hold; the same result by quantiles.exact_quantile.
     """
-    centre = df.groupBy(*group).agg(F.median(value).alias("_med"), F.count(F.lit(1)).alias("_n"))
+    centre = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), *([] if large_groups else [F.median(value).alias("_med")]))
+    if large_groups:
+        centre = centre.join(exact_quantile(df, group, value, 0.5, "_med"), [*group])
     met = df.join(centre, [*group])
-    spread = met.groupBy(*group).agg(F.median(F.abs(F.col(value) - F.col("_med"))).alias("_mad"))
+    off = F.abs(F.col(value) - F.col("_med"))
+    spread = exact_quantile(met.withColumn("_off", off), group, "_off", 0.5, "_mad") if large_groups else met.groupBy(*group).agg(F.median(off).alias("_mad"))
     z = F.coalesce(F.try_divide(F.col(value) - F.col("_med"), 1.4826 * F.col("_mad")), F.lit(0.0))
     return met.join(spread, [*group]).withColumn(out, F.when(F.col("_n") >= least, z)).drop("_med", "_mad", "_n")
 

@@ -31,6 +31,27 @@ def test_robust_z_rules(spark):
     assert got[6] == 0, "no spread"
 
 
+@pytest.mark.parametrize("q", [0.0, 0.025, 0.5, 0.975, 1.0])
+def test_exact_quantiles_of_large_groups(spark, q):
+    from cohortis.operators.quantiles import exact_quantile
+
+    rng = np.random.default_rng(8)
+    rows_ = [("a", float(v)) for v in rng.normal(size=3001)] + [("b", float(v)) for v in rng.integers(0, 4, 2000)] + [("c", 5.0), ("d", None), ("a", None)] + [("e", v) for v in (1.0, 2.0)]
+    df = spark.createDataFrame(rows_, "g string, v double")
+    for accuracy in (20, 10_000):
+        got = {r.g: r.x for r in exact_quantile(df, ["g"], "v", q, "x", accuracy).collect()}
+        want = {r.g: r.x for r in df.groupBy("g").agg(F.percentile("v", q).alias("x")).collect()}
+        assert got.keys() == want.keys() and all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert abs(exact_quantile(df, [], "v", q, "x").first().x - df.agg(F.percentile("v", q)).first()[0]) < 1e-12
+
+
+def test_robust_z_of_large_groups_is_the_same(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([("ab"[i % 2], i, float(v)) for i, v in enumerate(rng.normal(size=501))] + [("c", 900, None)], "g string, id int, v double")
+    one = {r.id: r.z for r in R.robust_z(df, ["g"], "v").collect()}
+    assert one == {r.id: r.z for r in R.robust_z(df, ["g"], "v", large_groups=True).collect()}
+
+
 def test_summarize_groups(spark):
     df = spark.createDataFrame([("x", True, 1.0), ("x", True, 3.0), ("y", False, None)], "scanner string, seen_in_training boolean, dice double")
     got = {r.group: (r.n, r.dice) for r in R.summarize(df, ["dice"]).collect()}
