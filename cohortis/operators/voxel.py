@@ -189,9 +189,9 @@ def standard(marks: DataFrame) -> DataFrame:
     return marks.groupBy("pos").agg(F.avg("landmark").alias("standard"))
 
 
-def intensity(volumes: DataFrame, keys: Sequence[str], data: str, shape, method: str, scale: np.ndarray | None = None, percentiles: Sequence[float] = (), brain: Callable[[np.ndarray], np.ndarray] = lambda x: np.ones(x.shape, dtype=bool)) -> DataFrame:
+def intensity(volumes: DataFrame, keys: Sequence[str], data: str, shape, method: str, scale: np.ndarray | None = None, percentiles: Sequence[float] = (), brain: Callable[[np.ndarray], np.ndarray] = lambda x: np.ones(x.shape, dtype=bool), least: int = 100) -> DataFrame:
     """keys, i, v: each volume normalised by zscore, whitestripe, histmatch (scale: the standard) or none (scale: the constant);
-    error says why a volume couldn't be."""
+    least: voxels that white stripe needs; error says why a volume couldn't be."""
 
     def measure(x: np.ndarray) -> list[dict]:
         own = brain(x)
@@ -199,7 +199,7 @@ def intensity(volumes: DataFrame, keys: Sequence[str], data: str, shape, method:
             if method == "zscore":
                 y = K.zscore(x, own)
             elif method == "whitestripe":
-                y = K.whitestripe(x, own)
+                y = K.whitestripe(x, own, least=least)
             elif method == "histmatch":
                 y = K.histmatch(x, np.percentile(x[own], percentiles), scale)
             else:

@@ -311,7 +311,10 @@ def tune_best(spark, sf):
     return best_cell(V.tuned(counts(spark, sf)).withColumn("dice", F.round("dice", 9)), "dice", ["t", "e", "m"])
 
 
-@query("intensity_histmatch", "vec_id:l i:l v:d")
+@query("intensity_histmatch", "vec_id:l i:l v:d", f"""
+WITH {MARKS}, s AS (SELECT pos, avg(landmark) AS s FROM l GROUP BY 1),
+seg AS (SELECT q.vec_id, a.pos AS j, q.q[a.pos + 1] AS x0, q.q[a.pos + 2] AS x1, a.s AS y0, b.s AS y1 FROM q, s a JOIN s b ON b.pos = a.pos + 1)
+SELECT vox.vec_id, i, y0 + (v - x0) * (y1 - y0) / (x1 - x0) AS v FROM vox JOIN seg ON seg.vec_id = vox.vec_id AND (v >= x0 OR j = 0) AND (v < x1 OR j = {len(LANDMARKS) - 2})""")
 def intensity_histmatch(spark, sf):
     """Histogram matching of every cube to the standard that all of them average to."""
     marks = V.standard(V.landmarks(voxels(spark, sf), ["vec_id"], LANDMARKS)).orderBy("pos").collect()  # eleven rows
@@ -320,5 +323,5 @@ def intensity_histmatch(spark, sf):
 
 @query("whitestripe", "vec_id:l i:l v:d error")
 def whitestripe(spark, sf):
-    """Cubes hold 64 voxels, so white stripe says that they are too few: an error becomes a row."""
-    return V.intensity(cubes(spark, sf), ["vec_id"], "embedding", SHAPE, "whitestripe")
+    """White stripe of every cube; one that is flat would become a row with the error."""
+    return V.intensity(cubes(spark, sf), ["vec_id"], "embedding", SHAPE, "whitestripe", least=32)
