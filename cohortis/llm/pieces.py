@@ -30,6 +30,9 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in prints else chr(256 + rest.index(b)) for b in range(256)]
 
 
+SPACE = byte_characters()[0x20]
+
+
 class PieceEncoder(dict):
     """piece -> its ids in little-endian bytes, where a space comes before the piece; None: not to be cut here."""
 
@@ -49,6 +52,8 @@ class PieceEncoder(dict):
         self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not told.get("normalizer") and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"\s", x["content"]) for x in added)
         self.odd = re.compile("|".join([r"[^\0-ɏ]", *(re.escape(x["content"]) for x in added)]))
         self.model = self.library.model
+        #: Whether every added token holds something that plain words with a mark after them don't.
+        self.marked = all(re.search(r"[^A-Za-z.,;:!?]", x["content"]) for x in added)
         self.pattern = regex.compile(PATTERN)
         self.as_characters = dict(enumerate(byte_characters()))
         self.tokens: dict[str, bytes] = {}
@@ -62,10 +67,10 @@ class PieceEncoder(dict):
     def __missing__(self, piece: str) -> bytes | None:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
-        if piece.isalpha() and not self.odd.search(piece):
-            found = self.token(" " + piece)
-        elif (last := piece[-1]) in ".,;:!?" and piece[:-1].isalpha() and not self.odd.search(piece):
-            found = self.token(" " + piece[:-1]) + self.token(last)
+        # Letters alone hold no added token, which has others; ASCII ones need no look at their age either.
+        plain, last = (piece, "") if piece.isalpha() else (piece[:-1], piece[-1])
+        if (not last or last in ".,;:!?") and plain.isalpha() and (piece.isascii() and self.marked or not self.odd.search(piece)):
+            found = self.token(" " + plain) + self.token(last) if last else self.token(" " + plain)
         else:
             found = self.spaced(" " + piece)
         self[piece] = found
@@ -74,7 +79,10 @@ class PieceEncoder(dict):
     def token(self, token: str) -> bytes:
         """The ids of one pre-token."""
         if (ids := self.tokens.get(token)) is None:
-            as_bytes = token.encode().decode("latin-1").translate(self.as_characters)
+            if token.isascii() and token[1:].isalpha():  # a space or letter, and letters: only the space is written otherwise
+                as_bytes = token.replace(" ", SPACE)
+            else:
+                as_bytes = token.encode().decode("latin-1").translate(self.as_characters)
             ids = self.tokens[token] = self.packed([x.id for x in self.model.tokenize(as_bytes)])
         return ids
 
