@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, shingles
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
 #: Rows of a group before it is dealt out in pairs of blocks.
@@ -331,18 +331,19 @@ def components_of_prints(prints: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that with the smallest (doc_id, text hash). Columns stay.
+    """docs with one row of each component of near copies: that with the smallest (doc_id, text hash). Columns stay.
 
-    Rows equal in both count as one. Rows with a null id are all kept: nothing tells them apart.
+    Near copies are texts at a Jaccard similarity of 0.8 or more on five-word shingles (shingles.py), and what chains of
+    them join; not the fingerprints' links. Rows equal in both count as one. Rows with a null id are all kept: nothing
+    tells them apart.
     """
-    common.ship(docs.sparkSession)
-    marked = docs.select("doc_id", F.xxhash64("text").alias("__cohortis_text"), fingerprint_udf()(F.col("text")).alias("print"))
-    prints = common.written(marked, "prints")
-    parts = components_of_prints(prints)
-    kept = prints.where("doc_id is not null").join(parts, "print").groupBy("component_id").agg(F.min(F.struct("doc_id", "__cohortis_text")).alias("k")).select("k.doc_id", F.col("k.__cohortis_text").alias("__cohortis_text"))
-    repeats = prints.where("doc_id is not null").groupBy("doc_id", "__cohortis_text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    rows = shingles.sketched(docs)
+    parts = shingles.components(docs, rows)
+    named = rows.where("doc_id is not null").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    kept = named.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.doc_id", F.col("k.text_hash").alias("__cohortis_text"))
+    repeats = rows.where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     one = docs.withColumn("__cohortis_text", F.xxhash64("text")).join(kept, ["doc_id", "__cohortis_text"], "left_semi")
     if repeats:
         one = one.dropDuplicates(["doc_id", "__cohortis_text"])
     one = one.select(*docs.columns)
-    return one.unionByName(docs.where("doc_id is null")) if prints.where("doc_id is null").limit(1).count() else one
+    return one.unionByName(docs.where("doc_id is null")) if rows.where("doc_id is null").limit(1).count() else one
