@@ -331,19 +331,22 @@ def components_of_prints(prints: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component of near copies: that with the smallest (doc_id, text hash). Columns stay.
+    """docs with one row of each component of near copies: that with the smallest (doc_id, nulls last, text
+    hash). Columns stay.
 
     Near copies are texts at a Jaccard similarity of 0.8 or more on five-word shingles (shingles.py), and what chains of
-    them join; not the fingerprints' links. Rows equal in both count as one. Rows with a null id are all kept: nothing
-    tells them apart.
+    them join; not the fingerprints' links. Rows equal in both count as one. Texts link, not ids, so rows without an id
+    are copies, and join others, as any other row.
     """
     rows = shingles.sketched(docs)
     parts = shingles.components(docs, rows)
-    named = rows.where("doc_id is not null").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    kept = named.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.doc_id", F.col("k.text_hash").alias("__cohortis_text"))
-    repeats = rows.where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    one = docs.withColumn("__cohortis_text", F.xxhash64("text")).join(kept, ["doc_id", "__cohortis_text"], "left_semi")
+    named = rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    kept = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("__cohortis_id"), F.col("k.text_hash").alias("__cohortis_text"))
+    repeats = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    one = docs.withColumns({"__cohortis_text": F.xxhash64("text"), "__cohortis_id": F.col("doc_id").cast("long")})
+    same = (one["__cohortis_text"] == kept["__cohortis_text"]) & one["__cohortis_id"].eqNullSafe(kept["__cohortis_id"])
+    one = one.join(kept, same, "left_semi")
     if repeats:
-        one = one.dropDuplicates(["doc_id", "__cohortis_text"])
-    one = one.select(*docs.columns)
-    return one.unionByName(docs.where("doc_id is null")) if rows.where("doc_id is null").limit(1).count() else one
+        one = one.dropDuplicates(["__cohortis_id", "__cohortis_text"])
+    return one.select(*docs.columns)

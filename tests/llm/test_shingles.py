@@ -47,3 +47,13 @@ def test_no_kept_row_has_a_near_copy(spark):
             forest.join(a, b)
     df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in simhash.deduplicated(df).collect()) == sorted({forest.root(i) for i in range(len(texts))})
+
+
+def test_rows_without_an_id_are_copies_too(spark):
+    words = [f"w{i}" for i in range(40)]
+    near = lambda *at: " ".join("other" if i in at else w for i, w in enumerate(words))
+    # 1 and 2 are joined by a row without an id; three more without an id are copies of each other only.
+    rows = [(1, near()), (None, near(0, 1)), (2, near(0, 1, 38, 39)), (None, "no id at all"), (None, "no id at all"), (None, "no  id at all"), (3, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = simhash.deduplicated(df).collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0, 1, 3]
