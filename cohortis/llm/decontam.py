@@ -98,7 +98,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, broadcast_byte
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null")
     if benchmark_bytes(items) > broadcast_bytes:
-        return _scan_by_join(rows, items, size)
+        return _scan_by_join(rows.withColumn("row", F.monotonically_increasing_id()), items, size).drop("row")
     known = spark.sparkContext.broadcast(WindowSet([(r.item_id, r.text) for r in items.collect()], size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,16 +113,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, broadcast_byte
 
 
 def _scan_by_join(rows: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """scan() without a broadcast: windows of both sides meet by their words. For benchmarks of any size.
+    """scan() without a broadcast, and with the column row: windows of both sides meet by their words. For benchmarks of any size.
 
-    A row gets a number of its own, so repeated ids stay apart. The windows of one length are joined by their words;
-    a very common window is a skewed join, which adaptive execution splits. Spans are not located here (null).
+    rows: row, doc_id, text. Each row has a number of its own, so repeated ids stay apart. The windows of one length are
+    joined by their words; a very common window is a skewed join, which adaptive execution splits.
     """
     words = lambda c: F.regexp_extract_all(common.ascii_lower(F.coalesce(c, F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
     cut = items.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0").withColumn("k", F.least(F.size("w"), F.lit(size)))
     wanted = cut.select("item_id", "k", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.concat_ws(" ", F.slice("w", i, F.col("k"))))).alias("window")).distinct()
     sizes = sorted(r.k for r in wanted.select("k").distinct().collect())  # size lengths at most
-    docs = common.written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w")), "words")
+    docs = common.written(rows.select("row", "doc_id", "text", words(F.col("text")).alias("w")), "words")
     cut_in = lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.concat_ws(" ", F.slice("w", i, F.lit(k))))
     hits = None
     for k in sizes:
@@ -130,12 +130,30 @@ def _scan_by_join(rows: DataFrame, items: DataFrame, size: int) -> DataFrame:
         got = windows.join(wanted.where(F.col("k") == k), "window").select("row", "at", "k", "item_id")
         hits = got if hits is None else hits.union(got)
     base = docs.select("row", "doc_id", F.size("w").cast("long").alias("n_words"))
+    none = F.array().cast("array<array<int>>")
     if hits is None:
-        return base.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<long>").alias("item_ids"), F.lit(None).cast("array<array<int>>").alias("spans"))
+        return base.select("row", "doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<long>").alias("item_ids"), none.alias("spans"))
     hits = common.written(hits, "hits")
-    counted = hits.select("row", F.explode(F.sequence("at", F.col("at") + F.col("k") - 1)).alias("at")).distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
+    at = hits.select("row", F.explode(F.sequence("at", F.col("at") + F.col("k") - 1)).alias("at")).distinct().groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    placed = at.join(docs.select("row", "text"), "row").select("row", F.size("at").cast("long").alias("n_hit"), _spans_udf()(F.col("text"), F.col("at")).alias("spans"))
     named = hits.select("row", "item_id").distinct().groupBy("row").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"))
-    return base.join(counted, "row", "left").join(named, "row", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.lit(None).cast("array<array<int>>").alias("spans"))
+    return base.join(placed, "row", "left").join(named, "row", "left").select("row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("spans", none).alias("spans"))
+
+
+def _spans_udf():
+    """An Arrow function of a text and the sorted numbers of its hit words: begin and end of each run of them, in UTF-8 bytes."""
+
+    def spans(texts: pa.Array, at: pa.Array) -> pa.Array:
+        table, out = common.word_table(), []
+        for text, hit in zip(common.text_bytes(texts), at.to_pylist(), strict=True):
+            words, hit = common.Words([text], table), np.array(hit)
+            gap = np.flatnonzero(np.diff(hit) > 1)
+            first, last = hit[np.concatenate([[0], gap + 1])], hit[np.concatenate([gap, [len(hit) - 1]])]
+            out.append(np.stack([words.start[first], words.end[last]], axis=1).tolist())
+        common.tidy(thorough=False)
+        return pa.array(out, pa.list_(pa.list_(pa.int32())))
+
+    return F.arrow_udf(spans, "array<array<int>>")
 
 
 def item_digest(ids: list) -> str:
@@ -165,20 +183,25 @@ class Cleaner:
         known = self.known
 
         def cleaned(texts: pa.Array) -> pa.Array:
-            raw, out = common.text_bytes(texts), []
-            for text, is_text, (_, _, _, spans) in zip(raw, texts.is_valid().to_pylist(), _scan_batches(known.value, common.word_table(), raw), strict=True):
-                parts, at = [], 0
-                for begin, end in spans:
-                    parts.append(text[at:begin])
-                    at = end
-                out.append(b"".join([*parts, text[at:]]) if is_text else None)
-            return pa.array(out, pa.binary()).cast(pa.string())
+            return _cut(texts, [spans for _, _, _, spans in _scan_batches(known.value, common.word_table(), common.text_bytes(texts))])
 
         return F.arrow_udf(cleaned, "string")
 
 
+def _cut(texts: pa.Array, spans: list) -> pa.Array:
+    """The texts without their spans; null stays null."""
+    out = []
+    for text, is_text, own in zip(common.text_bytes(texts), texts.is_valid().to_pylist(), spans, strict=True):
+        parts, at = [], 0
+        for begin, end in own or []:
+            parts.append(text[at:begin])
+            at = end
+        out.append(b"".join([*parts, text[at:]]) if is_text else None)
+    return pa.array(out, pa.binary()).cast(pa.string())
+
+
 def cleaner(benchmark: DataFrame, size: int = SIZE, broadcast_bytes: int = BROADCAST_BYTES) -> Cleaner | None:
-    """A Cleaner for a benchmark under the bound, else None: then remove documents by scan()."""
+    """A Cleaner for a benchmark under the bound, else None: then by a join."""
     spark = benchmark.sparkSession
     common.ship(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
@@ -187,19 +210,27 @@ def cleaner(benchmark: DataFrame, size: int = SIZE, broadcast_bytes: int = BROAD
     return Cleaner(spark.sparkContext.broadcast(WindowSet([(r.item_id, r.text) for r in items.collect()], size)))
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, most_share: float = 0.0, size: int = SIZE) -> DataFrame:
-    """docs without those of which more than most_share of the words are hit; columns stay. Null texts are kept."""
-    if (judge := cleaner(benchmark, size)) is not None:
-        return docs.where(judge.hit_share()(F.col("text")) <= most_share)
-    # Beyond the bound: judged by join, and matched back by id; rows of one id share their worst share.
-    bad = scan(docs, benchmark, size, broadcast_bytes=0).where(F.col("n_hit") > most_share * F.col("n_words")).select(F.col("doc_id").alias("__cohortis_hit")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__cohortis_hit"]), "left_anti")
+def _numbered(docs: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """docs, written with a number for each row, and what a join finds in them by that number."""
+    common.ship(docs.sparkSession)
+    rows = common.written(docs.withColumn("__cohortis_row", F.monotonically_increasing_id()), "rows")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
+    found = _scan_by_join(rows.select(F.col("__cohortis_row").alias("row"), F.lit(None).cast("long").alias("doc_id"), "text"), items, size)
+    return rows, found.where("n_hit > 0").select(F.col("row").alias("__cohortis_row"), (F.col("n_hit") / F.col("n_words")).alias("__cohortis_share"), F.col("spans").alias("__cohortis_spans"))
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """docs with the hit spans cut out of the texts; needs a benchmark under the broadcast bound."""
-    if (judge := cleaner(benchmark, size)) is None:
-        raise ValueError(f"a benchmark of over {BROADCAST_BYTES} bytes: remove documents instead")
-    return docs.withColumn("text", judge.without_spans()(F.col("text")))
+def remove_documents(docs: DataFrame, benchmark: DataFrame, most_share: float = 0.0, size: int = SIZE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs without those of which more than most_share of the words are hit; columns stay. Null texts are kept."""
+    if (judge := cleaner(benchmark, size, broadcast_bytes)) is not None:
+        return docs.where(judge.hit_share()(F.col("text")) <= most_share)
+    rows, found = _numbered(docs, benchmark, size)
+    return rows.join(found.where(F.col("__cohortis_share") > most_share), "__cohortis_row", "left_anti").select(*docs.columns)
 
 
+def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs with the hit spans cut out of the texts."""
+    if (judge := cleaner(benchmark, size, broadcast_bytes)) is not None:
+        return docs.withColumn("text", judge.without_spans()(F.col("text")))
+    rows, found = _numbered(docs, benchmark, size)
+    cut = F.arrow_udf(lambda texts, spans: _cut(texts, spans.to_pylist()), "string")
+    return rows.join(found, "__cohortis_row", "left").withColumn("text", F.when(F.col("__cohortis_spans").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("__cohortis_spans")))).select(*docs.columns)
