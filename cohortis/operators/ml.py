@@ -6,6 +6,7 @@ stated bound of rows, and scored wherever the rows are.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from .quantiles import exact_quantile
 
 #: Rows that a model is fitted on, about (by a hash of their keys; all of them where there are fewer).
 MOST_ROWS = 100_000
@@ -30,14 +32,13 @@ def _about(df: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def isolation_forest(df: DataFrame, key: str, features: Sequence[str], trees: int = 500, contamination: float = 0.05, seed: int = 42, most: int = MOST_ROWS) -> DataFrame:
-    """df with iforest_score (larger: more isolated) and iforest_outlier, the top `contamination` share of the fitted rows.
+    """df with iforest_score (larger: more isolated) and iforest_outlier, the top `contamination` share of all rows.
     Missing features count as 0; fewer than two rows: nulls."""
     x = df.select(key, *[F.greatest(F.coalesce(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f) for f in features])
     fit = _bounded(x, key, most)
     if len(fit) < 2:
         return df.withColumns({"iforest_score": F.lit(None).cast("double"), "iforest_outlier": F.lit(None).cast("boolean")})
     forest = K.IsolationForest(fit[[*features]].to_numpy(), trees, seed=seed)
-    cut = float(np.quantile(forest.score(fit[[*features]].to_numpy()), 1 - contamination))
     told = df.sparkSession.sparkContext.broadcast(forest)
 
     def scored(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,6 +47,7 @@ def isolation_forest(df: DataFrame, key: str, features: Sequence[str], trees: in
             yield pdf[[key, "iforest_score"]]
 
     scores = x.mapInPandas(scored, f"{key} {dict(df.dtypes)[key]}, iforest_score double")
+    cut = exact_quantile(scores, [], "iforest_score", 1 - contamination).first()["quantile"]
     return df.join(scores, key).withColumn("iforest_outlier", F.col("iforest_score") > cut)
 
 
@@ -55,12 +57,28 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int
     return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
 
 
-def combat(df: DataFrame, key: str, features: Sequence[str], site: str, covariates: Sequence[str] = (), most: int = MOST_ROWS) -> DataFrame:
-    """key, site and the features harmonised across sites; learnt on about `most` rows without nulls, applied to all of them."""
+def _combat_sums(df: DataFrame, features: Sequence[str], site: str, covariates: Sequence[str], part: str | None = None) -> dict:
+    """part (0 without one) -> the sums of all its rows that ComBat is learnt from. Only sums reach the driver."""
+
+    def summed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for pdf in parts:
+            for p, own in pdf.groupby(part) if part else [(0, pdf)]:
+                if len(own):
+                    held[p] = K.Combat.merged([held.get(p, {}), K.Combat.sums(own[[*features]].to_numpy(), own[site].to_numpy(), own[[*covariates]].to_numpy() if covariates else None)])
+        yield pd.DataFrame({"part": [int(p) for p in held], "sums": [pickle.dumps(x) for x in held.values()]})
+
+    found: dict = {}
+    for r in df.mapInPandas(summed, "part int, sums binary").toLocalIterator():
+        found[r.part] = K.Combat.merged([found.get(r.part, {}), pickle.loads(bytes(r.sums))])
+    return found
+
+
+def combat(df: DataFrame, key: str, features: Sequence[str], site: str, covariates: Sequence[str] = ()) -> DataFrame:
+    """key, site and the features harmonised across sites; learnt from sums over all rows without nulls, and applied to them."""
     need = [*features, *covariates]
     some = df.select(key, site, *[F.col(c).cast("double").alias(c) for c in need]).dropna()
-    fit = _bounded(some, key, most)
-    model = K.Combat(fit[[*features]].to_numpy(), fit[site].to_numpy(), fit[[*covariates]].to_numpy() if covariates else None)
+    model = K.Combat.from_sums(_combat_sums(some, features, site, covariates).get(0, {}), len(features)) if some.limit(1).count() else None
     told = some.sparkSession.sparkContext.broadcast(model)
 
     def applied(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,29 +94,48 @@ def combat(df: DataFrame, key: str, features: Sequence[str], site: str, covariat
 def site_classifier(df: DataFrame, key: str, features: Sequence[str], site: str, covariates: Sequence[str] = (), k: int = 5, seed: int = 42, harmonise: bool = True, most: int = MOST_ROWS) -> DataFrame:
     """harmonised, fold, n_test, balanced_accuracy: how well a linear classifier tells sites apart, raw and after ComBat.
 
-    Folds run in parallel, one task each, over a bounded table; scaler, ComBat and classifier learn on the training folds only.
+    Every row is dealt to a fold and tested in it. ComBat learns from all rows of the training folds; scaler and classifier
+    learn on those of about `most` rows (where there are more) that are in the training folds, one task for each fold and way.
     """
-    folds = stratified_folds(_about(df.select(key, site, *features, *covariates).dropna(), key, most), key, site, k, seed)
+    need = [*features, *covariates]
+    folds = stratified_folds(df.select(key, site, *[F.col(c).cast("double").alias(c) for c in need]).dropna(), key, site, k, seed)
     ways = [False, True] if harmonise else [False]
-    tasks = folds.select("*", F.explode(F.array(*[F.struct(F.lit(w).alias("harmonised"), F.lit(i).alias("test")) for w in ways for i in range(k)])).alias("task")).select("*", "task.*").drop("task")
-
-    def one(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        test = (pdf.fold == keys[1]).to_numpy()
+    combats: dict = {}
+    if harmonise:
+        sums = _combat_sums(folds, features, site, covariates, "fold")
+        training = {i: K.Combat.merged(x for f, x in sums.items() if f != i) for i in sums}
+        combats = {i: K.Combat.from_sums(x, len(features)) for i, x in training.items() if x}
+    told = df.sparkSession.sparkContext.broadcast(combats)
+
+    def shaped(pdf: pd.DataFrame, way: bool, fold: int) -> tuple[np.ndarray, np.ndarray]:
+        """Features and sites; after ComBat, of the sites that the training folds have."""
         x, y = pdf[[*features]].to_numpy(dtype=float), pdf[site].to_numpy()
-        cov = pdf[[*covariates]].to_numpy(dtype=float) if covariates else None
-        part = lambda rows: None if cov is None else cov[rows]
-        train_x, test_x = x[~test], x[test]
-        if keys[0]:
-            model = K.Combat(train_x, y[~test], part(~test))
-            known = np.isin(y[test], model.sites)
-            train_x, test_x = model.apply(train_x, y[~test], part(~test)), model.apply(test_x[known], y[test][known], None if cov is None else cov[test][known])
-            truth = y[test][known]
-        else:
-            truth = y[test]
-        mean, sd = train_x.mean(axis=0), train_x.std(axis=0) + 1e-12
-        names, w = K.softmax_fit((train_x - mean) / sd, y[~test])
-        guess = names[np.argmax(np.concatenate([np.ones((len(test_x), 1)), (test_x - mean) / sd], axis=1) @ w, axis=1)]
-        return pd.DataFrame([[keys[0], keys[1], len(truth), K.balanced_accuracy(truth, guess)]], columns=["harmonised", "fold", "n_test", "balanced_accuracy"])
-
-    return tasks.groupBy("harmonised", "test").applyInPandas(one, "harmonised boolean, fold int, n_test long, balanced_accuracy double")
+        if not way:
+            return x, y
+        known = np.isin(y, told.value[fold].sites)
+        cov = pdf[[*covariates]].to_numpy(dtype=float)[known] if covariates else None
+        return told.value[fold].apply(x[known], y[known], cov), y[known]
+
+    def fitted(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = shaped(pdf.sort_values(key), *keys)
+        mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-12
+        return pd.DataFrame([[*keys, pickle.dumps((mean, sd, *K.softmax_fit((x - mean) / sd, y)))]], columns=["harmonised", "test", "model"])
+
+    tasks = _about(folds, key, most).select("*", F.explode(F.array(*[F.struct(F.lit(w).alias("harmonised"), F.lit(i).alias("test")) for w in ways for i in range(k)])).alias("task")).select("*", "task.*").drop("task").where("fold != test")
+    models = tasks.groupBy("harmonised", "test").applyInPandas(fitted, "harmonised boolean, test int, model binary").collect()
+    learnt = df.sparkSession.sparkContext.broadcast({(r.harmonised, r.test): pickle.loads(bytes(r.model)) for r in models})
+
+    def tested(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for fold, own in pdf.groupby("fold"):
+                for way in ways:
+                    if (way, fold) not in learnt.value:
+                        continue
+                    mean, sd, names, w = learnt.value[way, fold]
+                    x, y = shaped(own, way, fold)
+                    guess = names[np.argmax(np.concatenate([np.ones((len(x), 1)), (x - mean) / sd], axis=1) @ w, axis=1)]
+                    got = pd.DataFrame({"site": y, "n": 1, "hits": (guess == y).astype(int)}).groupby("site", as_index=False).sum()
+                    yield got.assign(harmonised=way, fold=int(fold))[["harmonised", "fold", "site", "n", "hits"]]
+
+    by_site = folds.mapInPandas(tested, f"harmonised boolean, fold int, site {dict(folds.dtypes)[site]}, n long, hits long").groupBy("harmonised", "fold", "site").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    return by_site.groupBy("harmonised", "fold").agg(F.sum("n").alias("n_test"), F.avg(F.col("hits") / F.col("n")).alias("balanced_accuracy"))
