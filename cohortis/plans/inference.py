@@ -139,34 +139,34 @@ def bootstrap_ci(spark, sf):
     ev = evaluation(spark, sf)
     groups = F.explode(F.array(F.lit("all"), F.concat(F.lit("scanner="), "scanner"), F.concat(F.lit("seen="), F.initcap(F.col("seen").cast("string")))))
     long = R.long(ev.withColumn("group", groups), ["participant", "model", "group", "scanner"], ["m_avg", "m_max"])
-    return stats.bootstrap_ci(long, ["model", "group", "metric"], "value", "scanner", "participant", 500)
+    return stats.bootstrap_ci(long, ["model", "group", "metric"], "value", "scanner", "participant")
 
 
 @query("paired_table", "family a b metric n:l mean_a:d mean_b:d mean_diff:d low:d high:d p:d p_holm:d")
 def paired_table(spark, sf):
-    return stats.paired_table(differences(spark, sf), "scanner", "participant", 500)
+    return stats.paired_table(differences(spark, sf), "scanner", "participant")
 
 
 @query("seen_unseen_table", "model metric n_seen:l n_unseen:l mean_seen:d mean_unseen:d diff:d low:d high:d p:d p_holm:d")
 def seen_unseen_table(spark, sf):
     long = R.long(evaluation(spark, sf), ["participant", "model", "scanner", "seen"], ["m_avg", "m_max"])
-    return stats.unpaired_table(long, ["model", "metric"], "seen", "scanner", "participant", ["metric"], 500)
+    return stats.unpaired_table(long, ["model", "metric"], "seen", "scanner", "participant", ["metric"])
 
 
 @query("gain_unseen_table", "a b metric n_seen:l n_unseen:l mean_seen:d mean_unseen:d diff:d low:d high:d p:d p_holm:d")
 def gain_unseen_table(spark, sf):
     d = differences(spark, sf).withColumn("value", F.col("va") - F.col("vb"))
-    return stats.unpaired_table(d, ["a", "b", "metric"], "seen", "scanner", "participant", ["a", "b"], 500)
+    return stats.unpaired_table(d, ["a", "b", "metric"], "seen", "scanner", "participant", ["a", "b"])
 
 
 @query("agreement_table", "rater_name n:l n_excluded:l icc:d icc_from:d icc_to:d bias:d sd:d loa_low:d loa_high:d shapiro_p:d raw_diff:d ratio:d")
 def agreement_table(spark, sf):
-    return stats.agreement(rater_pairs(spark, sf).select("rater_name", "participant", "scanner", "rater", "ref"), ["rater_name"], "log", "scanner", "participant", 200)
+    return stats.agreement(rater_pairs(spark, sf).select("rater_name", "participant", "scanner", "rater", "ref"), ["rater_name"], "log", "scanner", "participant")
 
 
 @query("bias_by_scanner", "rater_name scanner n:l bias:d low:d high:d p:d p_holm:d")
 def bias_by_scanner(spark, sf):
-    return stats.bias_by_scanner(rater_pairs(spark, sf).select("rater_name", "participant", "scanner", "rater", "ref"), ["rater_name"], "scanner", "participant", "log", 200)
+    return stats.bias_by_scanner(rater_pairs(spark, sf).select("rater_name", "participant", "scanner", "rater", "ref"), ["rater_name"], "scanner", "participant", "log")
 
 
 def features(spark, sf):
@@ -177,7 +177,7 @@ def features(spark, sf):
 
 @query("isolation_forest", "vec_id:l iforest_score:d iforest_outlier")
 def isolation_forest(spark, sf):
-    return ml.isolation_forest(features(spark, sf), "vec_id", [f"f{i}" for i in range(8)], trees=100)
+    return ml.isolation_forest(features(spark, sf), "vec_id", [f"f{i}" for i in range(8)])
 
 
 @query("combat", "vec_id:l site f0:d f1:d f2:d f3:d")
