@@ -77,20 +77,67 @@ def normal_url(url: Column) -> Column:
     return F.concat(common.ascii_lower(head), F.substring(bare, F.length(head) + 1, F.length(bare)))
 
 
+def unescaped(text: Column) -> Column:
+    """HTML's character references read once: numbers, and the names amp, lt, gt, quot and apos. Others stay as they are."""
+    parts = F.split(text, "&")
+    names = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+    def read(p: Column) -> Column:
+        digits, hexed = F.regexp_extract(p, r"^#([0-9]{1,7});?", 1), F.regexp_extract(p, r"^#[xX]([0-9a-fA-F]{1,6});?", 1)
+        code = F.when(digits != "", digits.cast("int")).when(hexed != "", F.conv(hexed, 16, 10).cast("int"))
+        able = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        rest = F.regexp_replace(p, r"^#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?", "")
+        out = F.when(able, F.concat(F.decode(F.unhex(F.lpad(F.hex(F.when(able, code).otherwise(1).cast("long")), 8, "0")), "UTF-32"), rest))
+        for name, char in names.items():
+            out = out.when(p.startswith(f"{name};"), F.concat(F.lit(char), F.substring(p, len(name) + 2, 1 << 30)))
+        return out.when(p.rlike("^amp(?![=0-9A-Za-z;])"), F.concat(F.lit("&"), F.substring(p, 4, 1 << 30))).otherwise(F.concat(F.lit("&"), p))
+
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), read), ""))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with a slash, without the segments . and .. (RFC 3986, 5.2.4)."""
+    segments = F.split(F.substring(path, 2, 1 << 30), "/")
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(segments, none, lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
+    ends = F.when(F.element_at(segments, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), ends)).otherwise(path)
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """A reference against the url of its page (RFC 3986, 5.2), without a fragment; null if the base has no ://, and the
+    reference no scheme."""
+    ref = F.regexp_replace(F.trim(target), "(?s)#.*$", "")
+    head, query = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(base, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    path = path_of(base)
+    ref_path, ref_query = F.regexp_extract(ref, r"(?s)^([^?]*)", 1), F.regexp_extract(ref, r"(?s)^[^?]*(\?.*)$", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, "(?s)^(.*/)", 1))
+    whole = lambda url: F.concat(F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), _without_dots(path_of(url)), F.regexp_extract(url, r"(?s)^[^?]*(\?.*)$", 1))
+    scheme = F.regexp_extract(base, "(?s)^(.*?:)//", 1)
+    within = F.when(ref == "", F.concat(head, path, query)).when(ref_path == "", F.concat(head, path, ref_query)).when(ref.startswith("/"), F.concat(head, _without_dots(ref_path), ref_query)).otherwise(F.concat(head, _without_dots(F.concat(folder, ref_path)), ref_query))
+    absolute = F.when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), whole(ref)).when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
+    return F.coalesce(absolute, F.when(head != "", F.when(ref.startswith("//"), whole(F.concat(scheme, ref))).otherwise(within)))
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(source, target): canonical links, og:url-style refreshes, and meta refresh redirects that the html states.
 
-    A relative target is resolved against the page's scheme and host when it begins with a slash, and else left out.
-    Only heads that hold such a tag are taken apart. Nulls give no edges.
+    Targets are unescaped and resolved against the page's url, or against its base element where it has one. Only heads
+    that hold such a tag are taken apart. Nulls give no edges.
     """
     url, html = F.col(url_col), F.col(html_col)
     some = pages.where(url.isNotNull() & html.isNotNull() & html.rlike(r"(?i)rel\s*=\s*[\"']?canonical|http-equiv\s*=\s*[\"']?refresh"))
     link = F.regexp_extract(html, r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     moved = F.regexp_extract(html, r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    base = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    base = F.regexp_extract(html, r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    # One step at a time, each a generator: the optimizer would else write a step's expression out at each of its uses.
+    step = lambda df, keep, c, name: df.select(*keep, F.explode(F.array(c)).alias(name))
     found = some.select(url.alias("source"), base.alias("base"), F.explode(F.array(link, moved)).alias("target")).where("target <> ''")
-    whole = F.when(F.col("target").contains("://"), F.col("target")).when(F.col("target").startswith("//"), F.concat(F.regexp_extract("base", "^(.*?:)//", 1), F.col("target"))).when(F.col("target").startswith("/"), F.concat("base", "target"))
-    return found.select(normal_url(F.col("source")).alias("source"), normal_url(whole).alias("target")).where("target is not null and source <> target")
+    found = step(found, ["source", "target"], unescaped(F.col("base")), "base")
+    found = step(found, ["source", "base"], unescaped(F.col("target")), "target")
+    found = step(found, ["source", "target"], F.when(F.col("base") == "", F.trim("source")).otherwise(F.coalesce(resolved(F.trim("source"), F.col("base")), F.trim("source"))), "base")
+    found = step(found, ["source"], resolved(F.col("base"), F.col("target")), "target")
+    return found.select(normal_url(F.col("source")).alias("source"), normal_url(F.col("target")).alias("target")).where("target is not null and source <> target")
 
 
 def judged(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", default: str = "allow") -> DataFrame:
