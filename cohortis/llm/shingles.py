@@ -1,17 +1,22 @@
-"""Near copies by exact Jaccard similarity of five-word shingles, retrieved by MinHash bands.
+"""Near copies by exact Jaccard similarity of five-word shingles, retrieved by Golay keys of SimHashes and by MinHash bands.
 
 Words stand between ASCII white space (or NUL) after A-Z are lower-cased; shingles are five words, and a text of fewer
-is one shingle. Texts with the same set of shingles are one node, so copies, however many, cost one row. A node has
-BANDS keys of ROWS minima each: two at the least similarity of 0.8 share a key with a probability of
-1 - (1 - 0.8**5)**32 = 0.999997. What shares a key is then decided by the texts themselves. Each group of a key is
-first compared with one of its members, where large more than once; what that links is joined to components, and then
-every pair of a group whose ends lie in different components is compared, so the components are those of all pairs that
-share a key.
+is one shingle. Texts with the same set of shingles are one node, so copies, however many, cost one row.
+
+Nodes whose SimHashes over these shingles differ in 4 bits or fewer are retrieved by the near keys of simhash.py. Four
+bits of 64 are too few for a similarity of 0.8 (about ten differ there), and segments of so many errors have no near key
+in common, so a node also has BANDS keys of ROWS minima each: two at the least similarity of 0.8 share one with a
+probability of 1 - (1 - 0.8**5)**32 = 0.999997. What is retrieved is decided by the sets themselves, never by a key.
+
+Pairs of a group that shares a key are not listed. Each group is compared with one of its members, and what that and
+the SimHashes link becomes components. A group that still has several is dealt out in cells, each a block of rows
+outside its largest component beside another block; a cell compares them in one task, as bits of the shingles they
+share, and only a spanning forest of its links leaves it. So the components are those of all pairs that share a key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +26,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 32, 5
-#: Groups are compared with one member each for so many turns more, while the pairs left are over FEW times the rows.
-MOST_TURNS, FEW = 1, 8
+#: Rows, and shingles of them, that a block of a cell has, about. A cell has two blocks, and a row is never cut.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 17
 _FACTORS = np.random.default_rng(42).integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -54,11 +59,27 @@ def sets_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return doc[fresh], code[fresh]
 
 
-def sketches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text the digest of its set, the set's size, and its keys (texts x BANDS). Digest and keys are 0 without words."""
+def _majorities(code: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """SimHashes of n sets: a bit is 1 if set in over half of the set's codes. owner: of each code its set."""
+    out, bits = np.zeros(n, dtype=np.uint64), np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int32)
+    total = np.bincount(owner, minlength=n)
+    for byte in range(8):
+        value = (code >> np.uint64(8 * byte) & np.uint64(255)).astype(np.int64)
+        for begin in range(0, n, 4096):  # counts of 4,096 sets at a time
+            own = slice(*np.searchsorted(owner, [begin, begin + 4096]))
+            part = min(4096, n - begin)
+            counts = np.bincount((owner[own] - begin) << 8 | value[own], minlength=part << 8).reshape(part, 256) @ bits
+            high = np.packbits(2 * counts > total[begin : begin + part, None], axis=1, bitorder="little")[:, 0]
+            out[begin : begin + part] |= high.astype(np.uint64) << np.uint64(8 * byte)
+    return out
+
+
+def sketches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the digest of its set, the set's size, its SimHash, and its keys (texts x BANDS). All 0 without words."""
     doc, code = sets_of(texts)
     size = np.bincount(doc, minlength=len(texts))
     node, keys = np.zeros(len(texts), dtype=np.uint64), np.zeros((len(texts), BANDS), dtype=np.uint64)
+    prints = _majorities(code, doc, len(texts))
     some = np.flatnonzero(size)
     if len(some):
         begin = np.concatenate([[0], np.cumsum(size[some])[:-1]])
@@ -69,7 +90,7 @@ def sketches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             for factor in _FACTORS[band * ROWS : (band + 1) * ROWS]:
                 h = common.mixed(h * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(short * factor, begin))
             keys[some, band] = h
-    return node, size, keys
+    return node, size, prints, keys
 
 
 def similarities(left: list[bytes], right: list[bytes]) -> np.ndarray:
@@ -88,20 +109,20 @@ def similarities(left: list[bytes], right: list[bytes]) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node, size, keys of every row, written."""
+    """doc_id, text_hash, node, size, print, keys of every row, written."""
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = common.text_bytes(batch.column(2))
             for begin, end in common.slices(texts):
-                node, size, keys = sketches(texts[begin:end])
+                node, size, prints, keys = sketches(texts[begin:end])
                 lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, end - begin) for i in (0, 1)), pa.array(node.view(np.int64)), pa.array(size.astype(np.int64)), lists], ["doc_id", "text_hash", "node", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, end - begin) for i in (0, 1)), pa.array(node.view(np.int64)), pa.array(size.astype(np.int64)), pa.array(prints.view(np.int64)), lists], ["doc_id", "text_hash", "node", "size", "print", "keys"])
         common.tidy()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return common.written(rows.mapInArrow(run, "doc_id long, text_hash long, node long, size long, keys array<long>"), "sketches")
+    return common.written(rows.mapInArrow(run, "doc_id long, text_hash long, node long, size long, print long, keys array<long>"), "sketches")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -116,43 +137,128 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return met.where(F.arrow_udf(similar, "double")(F.col("text_a"), F.col("text_b")) >= least).select("a", "b")
 
 
-def components(docs: DataFrame, rows: DataFrame, least: float = LEAST) -> DataFrame:
+def spanning_links(sets: list[np.ndarray], part: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs (i, j) of sets at a Jaccard similarity of `least` or more that, with the parts given, connect whatever all such
+    pairs do. sets: the different codes of each, none of them empty."""
+    size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    label = np.unique(part, return_inverse=True)[1]
+    if not label.any():
+        return []
+    row = np.repeat(np.arange(len(sets)), size)
+    _, code, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[code]  # a code of one set alone is in no intersection
+    row, place = row[place >= 0], place[place >= 0]
+    bits = np.zeros((len(sets), -(-int((counts > 1).sum()) // 64)), dtype=np.uint64)
+    np.bitwise_or.at(bits, (row, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+    # Members of one component, the largest, never begin: a missing link has an end outside it.
+    favourite, links = int(np.argmax(np.bincount(label))), []
+    for i in range(len(sets)):
+        if label[i] == favourite:
+            continue
+        others = np.flatnonzero((label != label[i]) & (np.minimum(size, size[i]) / np.maximum(size, size[i]) >= least))
+        both = np.bitwise_count(bits[others] & bits[i]).sum(axis=1, dtype=np.int64)
+        near = others[both / (size[others] + size[i] - both) >= least]
+        for other, first in zip(*np.unique(label[near], return_index=True), strict=True):
+            links.append((i, int(near[first])))
+            mine = favourite if other == favourite else label[i]
+            label[(label == label[i]) | (label == other)] = mine
+    return links
+
+
+def _cells(mixed: DataFrame) -> DataFrame:
+    """Rows (key, node, part) of groups of several components -> (key, i, j, node, part): each row in all cells it belongs to.
+
+    mixed: key, node, size, part. Block i of the rows outside a group's largest component meets each block of those
+    inside (j >= 0), and each other block of those outside (j < 0). Rows are dealt to blocks by a hash.
+    """
+    sizes = mixed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    tops = sizes.groupBy("key").agg(F.max(F.struct("n", "part", "s")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > top.n")
+    blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(s / BLOCK_SHINGLES), F.lit(1).cast("long"))
+    tops = tops.select("key", F.col("top.part").alias("top"), blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("out"), blocks(F.col("top.n"), F.col("top.s")).alias("in"))
+    met = mixed.join(tops, "key")
+    inside = F.col("part") == F.col("top")
+    met = met.withColumn("own", F.pmod(F.xxhash64("key", "node"), F.when(inside, F.col("in")).otherwise(F.col("out"))))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    cell = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    as_top = F.transform(upto("out"), lambda i: cell(i, F.col("own")))
+    beside = F.transform(F.filter(upto("out"), lambda j: j != F.col("own")), lambda j: cell(F.least("own", j), -F.greatest("own", j)))
+    as_other = F.concat(F.transform(upto("in"), lambda j: cell(F.col("own"), j)), beside)
+    return met.select("key", "node", "part", F.explode(F.when(inside, as_top).otherwise(as_other)).alias("cell")).select("key", "cell.i", "cell.j", "node", "part")
+
+
+def _linked_in_cells(cells: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that each cell's comparisons find. cells: key, i, j, node, part, codes (the set as binary)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            node, part = (np.concatenate([h.column(i).to_numpy() for h in held]) for i in (3, 4))
+            sets = [np.frombuffer(x, dtype=np.uint64) for h in held for x in h.column(5).to_pylist()]
+            pairs = node[np.array(spanning_links(sets, part, least), dtype=np.int64).reshape(-1, 2)]
+            return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
+
+        for batch in batches:
+            name = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((np.diff(name, axis=0) != 0).any(axis=1)) + 1).tolist(), len(name)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and tuple(name[a]) != now:
+                    yield done()
+                    held = []
+                now = tuple(name[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield done()
+        del held
+        common.tidy()
+
+    rows = cells.select("key", "i", "j", "node", "part", "codes").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """node, codes of rows (node, text): the different shingles, 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = common.text_bytes(batch.column(1))
+            for begin, end in common.slices(raw):
+                doc, code = sets_of(raw[begin:end])
+                cuts = np.searchsorted(doc, np.arange(end - begin + 1))
+                codes = pa.array([code[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), codes], ["node", "codes"])
+        common.tidy()
+
+    return texts.select("node", "text").mapInArrow(run, "node long, codes binary")
+
+
+def components(docs: DataFrame, rows: DataFrame, near: Callable[[DataFrame], DataFrame], least: float = LEAST) -> DataFrame:
     """node, component of the nodes that links at `least` or more join; nodes without links are left out.
 
-    rows: sketched(docs).
+    rows: sketched(docs). near: links (a, b) between the nodes of rows (node, print), each print once.
     """
-    each = rows.where("size > 0").groupBy("node").agg(F.min(F.struct("text_hash", "size", "keys")).alias("s")).select("node", "s.*")
+    each = rows.where("size > 0").groupBy("node").agg(F.min(F.struct("text_hash", "size", "print", "keys")).alias("s")).select("node", "s.*")
     each = common.written(each, "nodes")
+    prints = common.written(each.groupBy("print").agg(F.min("node").alias("node")), "prints")
+    alike = lambda x, y: F.least(x, y) / F.greatest(x, y) >= least  # noqa: E731 - no pair is more similar than its sizes are
+    close = each.select("print", F.col("node").alias("b")).join(prints, "print").where("b <> node").select(F.col("node").alias("a"), "b")
+    close = common.written(close.union(near(prints)), "close")
     keyed = each.select("node", "size", F.explode("keys").alias("key"))
     groups = keyed.groupBy("key").agg(F.min(F.struct("node", "size")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
     bands = common.written(keyed.join(groups, "key"), "bands")
-    alike = lambda x, y: F.least(x, y) >= least * F.greatest(x, y)  # noqa: E731 - no pair is more similar than its sizes are
-    # The texts of nodes that share a key with another.
-    wanted = bands.select("node").distinct().join(each.select("node", "text_hash"), "node")
+    # The texts of nodes that something is retrieved for.
+    wanted = bands.select("node").union(close.select("a")).union(close.select("b")).distinct().join(each.select("node", "text_hash"), "node")
     texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash").dropDuplicates(["node"]).select("node", "text")
     texts = common.written(texts, "texts")
-    pairs = bands.where((F.col("node") != F.col("first.node")) & alike(F.col("size"), F.col("first.size"))).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+    firsts = bands.where((F.col("node") != F.col("first.node")) & alike(F.col("size"), F.col("first.size"))).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+    pairs = close.union(firsts).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = common.written(_verified(pairs, texts, least), "links")
-    done = pairs
-    for turn in range(MOST_TURNS + 1):
-        named = bands.select("key", "node", "size").join(common.connected_components(links, "a", "b"), "node", "left")
-        named = common.written(named.select("key", "node", "size", F.coalesce("component", "node").alias("part")), "named")
-        # In a group, pairs within a component need no comparison: those outside its largest component meet all others.
-        sizes = named.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all")).where("all > top.n")
-        left = largest.agg(F.coalesce(F.sum(F.col("all") * (F.col("all") - F.col("top.n"))), F.lit(0)).alias("n"), F.coalesce(F.sum("all"), F.lit(0)).alias("rows")).first()
-        if not left.n:
-            break
-        last = turn == MOST_TURNS or left.n <= FEW * left.rows
-        mixed = named.join(largest.select("key", F.col("top.part").alias("top")), "key")
-        if last:
-            ends = mixed.where("part != top").select("key", F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("part").alias("x_part"))
-        else:  # another member for each group, whichever a hash picks: they differ from key to key
-            ends = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "node"), "node", "size", "part")).alias("c")).select("key", F.col("c.node").alias("x"), F.col("c.size").alias("x_size"), F.col("c.part").alias("x_part"))
-        pairs = ends.join(mixed, "key").where((F.col("x_part") != F.col("part")) & alike(F.col("x_size"), F.col("size")))
-        pairs = common.written(pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        links = common.written(links.union(_verified(pairs, texts, least)), "links")
-        if last:
-            break
-        done = done.union(pairs)
-    return common.connected_components(links, "a", "b")
+    named = bands.select("key", "node", "size").join(common.connected_components(links, "a", "b"), "node", "left")
+    named = named.select("key", "node", "size", F.coalesce("component", "node").alias("part"))
+    several = named.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    mixed = common.written(named.join(several, "key"), "mixed")
+    sets = common.written(_sets(texts.join(mixed.select("node").distinct(), "node", "left_semi")), "sets")
+    more = common.written(_linked_in_cells(_cells(mixed).join(sets, "node"), least), "more-links")
+    return common.connected_components(links.union(more), "a", "b")

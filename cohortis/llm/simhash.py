@@ -335,11 +335,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     hash). Columns stay.
 
     Near copies are texts at a Jaccard similarity of 0.8 or more on five-word shingles (shingles.py), and what chains of
-    them join; not the fingerprints' links. Rows equal in both count as one. Texts link, not ids, so rows without an id
-    are copies, and join others, as any other row.
+    them join. Links of SimHashes over these shingles retrieve the closest, MinHash bands the others; the texts decide.
+    Rows equal in both count as one. Texts link, not ids, so rows without an id are copies, and join others, as any other
+    row. Texts without words are copies of one another; an empty table stays empty.
     """
     rows = shingles.sketched(docs)
-    parts = shingles.components(docs, rows)
+    parts = shingles.components(docs, rows, fingerprint_links)
     named = rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("__cohortis_id"), F.col("k.text_hash").alias("__cohortis_text"))
