@@ -308,7 +308,7 @@ def compile_lexicon(docs: DataFrame, tokenizer_path: str, n_words: int = LEXICON
             least = r["step"]
         if least is not None:
             words = {r.word.encode(): known.ids(r.word) for r in counted.where(F.col("step") >= least).select("word").collect()}
-    return Lexicon(common.local_file(spark, Transducer.packed(words), "lexicon"), told, len(words))
+    return Lexicon(common.local_file(spark, [Transducer.packed(words)], "lexicon"), told, len(words))
 
 
 def encode_texts(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark import SparkFiles
@@ -29,10 +31,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own if driver and
+    executors are one process (tests); on a cluster, whose machines would each write to a disk of their own, it raises."""
     sc = spark.sparkContext
     told = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if told is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         told = getattr(sc, "_cohortis_dir", None)
         if told is None:
             told = f"file://{tempfile.mkdtemp(prefix='cohortis-shared-')}"
@@ -54,12 +59,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def local_file(spark: SparkSession, data: bytes, name: str) -> str:
-    """Give every executor a file with data; the name to pass to opened_file()."""
+def local_file(spark: SparkSession, parts: list, name: str) -> str:
+    """Give every executor a file of the parts, one after another; the name to pass to opened_file(). The driver serves it from the session's own
+    temporary folder, which goes when the session ends."""
     name = f"{name}-{uuid.uuid4().hex}"
-    path = os.path.join(tempfile.mkdtemp(prefix="cohortis-"), name)
+    path = os.path.join(tempfile.mkdtemp(prefix="cohortis-", dir=spark.sparkContext._temp_dir), name)
     with open(path, "wb") as out:
-        out.write(data)
+        out.writelines(parts)
     spark.sparkContext.addFile(path)
     return name
 
@@ -175,6 +181,46 @@ class Words:
         return at, mixed(h[at])
 
 
+def pieces(text: bytes, table: np.ndarray, overlap: int, most: int = 1 << 20) -> Iterator[tuple[int, int, int]]:
+    """(begin, end, shared) of the pieces of a text, about `most` bytes each, cut between words by the table. A piece begins
+    with the last `overlap` (at least 1) words of the one before, shared of them; the first shares none. A piece of too few
+    words is made larger."""
+    begin = shared = 0
+    while True:
+        size = most
+        while begin + size < len(text):
+            inside = table[np.frombuffer(text, dtype=np.uint8, count=size, offset=begin)] != 0
+            gaps = np.flatnonzero(~inside)
+            starts = np.flatnonzero(np.diff(np.concatenate([[False], inside]).astype(np.int8)) > 0)
+            if len(gaps) and (whole := int(np.searchsorted(starts, gaps[-1]))) > 2 * overlap:
+                break
+            size *= 2
+        else:
+            yield begin, len(text), shared
+            return
+        yield begin, begin + int(gaps[-1]), shared
+        begin, shared = begin + int(starts[whole - overlap]), overlap
+
+
+def packed(arrays: list[np.ndarray]) -> list:
+    """Arrays as the parts of one flat buffer that unpacked() maps: for each its type and length, then all of them, on
+    8-byte places."""
+    head = np.array([[ord(a.dtype.kind), a.dtype.itemsize, len(a)] for a in arrays], dtype="<i8")
+    out = [np.array([len(arrays)], dtype="<i8").tobytes(), head.tobytes()]
+    for a in arrays:
+        out += [np.ascontiguousarray(a).view(np.uint8).data, b"\0" * (-a.nbytes % 8)]
+    return out
+
+
+def unpacked(data) -> list[np.ndarray]:
+    n = int(np.frombuffer(data, dtype="<i8", count=1)[0])
+    place, out = 8 + 24 * n, []
+    for kind, size, count in np.frombuffer(data, dtype="<i8", count=3 * n, offset=8).reshape(n, 3).tolist():
+        out.append(np.frombuffer(data, dtype=f"{chr(kind)}{size}", count=count, offset=place))
+        place += -(-count * size // 8) * 8
+    return out
+
+
 def slices(texts: list[bytes], most: int = 1 << 20):
     """Runs (from, to) of texts of about so many bytes together, one text at least."""
     begin, size = 0, 0
