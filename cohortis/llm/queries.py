@@ -86,21 +86,52 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+#: Aliases too: components over canonical links and refreshes. The SQL resolves references without dot segments or a base
+#: element, and reads &amp; alone of the references to characters; the rest is for the tests.
 OP4_SQL = r"""
 WITH RECURSIVE p AS (
-  SELECT page_id,
+  SELECT page_id, html, trim(url) AS u,
     translate(regexp_extract(coalesce(url, ''), '^[\s\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '^[\s\S]*?://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
 r(rule, verdict, rhost, rpath) AS (VALUES
   ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'),
   ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
+tags AS (SELECT u, path, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM p WHERE u IS NOT NULL AND html IS NOT NULL),
+refs AS (
+  SELECT u, path, regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*["'']?([^"''\s>]*)', 1) AS ref FROM tags
+  WHERE regexp_matches(tag, '(?is)^<link.*[\s"''/]rel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|''(?:[^'']*\s)?canonical(?:\s[^'']*)?''|canonical[\s/>])')
+  UNION ALL
+  SELECT u, path, regexp_extract(tag, '(?is)[\s"''/]content\s*=\s*["'']?[^"''>=]*\burl\s*=\s*["'']?([^"''\s>]*)', 1) FROM tags
+  WHERE regexp_matches(tag, '(?is)^<meta.*[\s"''/]http-equiv\s*=\s*["'']?\s*refresh\b')),
+parts AS (
+  SELECT u, path, regexp_replace(replace(ref, '&amp;', '&'), '#.*$', '') AS ref, regexp_extract(u, '^([\s\S]*?://[^/?#]*)', 1) AS head,
+    regexp_extract(u, '^[^?#]*(\?[^#]*)', 1) AS query FROM refs WHERE ref <> ''),
+found AS (
+  SELECT u AS source, CASE
+    WHEN regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN ref WHEN head = '' THEN NULL
+    WHEN starts_with(ref, '//') THEN regexp_extract(u, '^([\s\S]*?:)//', 1) || ref WHEN ref = '' THEN head || path || query
+    WHEN starts_with(ref, '?') THEN head || path || ref WHEN starts_with(ref, '/') THEN head || ref
+    ELSE head || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END || ref END AS target FROM parts),
+urls AS (SELECT url, regexp_replace(url, '#.*$', '') AS bare FROM (SELECT u AS url FROM p UNION SELECT target FROM found) WHERE url IS NOT NULL),
+normal AS (
+  SELECT url, translate(head, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(bare, length(head) + 1) AS node
+  FROM (SELECT url, bare, regexp_extract(bare, '^([\s\S]*?://[^/?#]*)', 1) AS head FROM urls)),
+edges AS (SELECT DISTINCT a.node AS a, b.node AS b FROM found JOIN normal a ON a.url = source JOIN normal b ON b.url = target WHERE a.node <> b.node),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (SELECT a, b FROM both_ways UNION SELECT reach.a, e.b FROM reach JOIN both_ways e ON e.a = reach.b),
+places AS (
+  SELECT DISTINCT host, path FROM p UNION
+  SELECT regexp_extract(b, '^[\s\S]*?://([^/?#]*)', 1), regexp_extract(b, '^[\s\S]*?://[^/?#]*([^?#]*)', 1) FROM reach),
 fit AS (
-  SELECT p.page_id, p.host, p.path, r.rule, r.verdict,
-    row_number() OVER (PARTITION BY p.page_id, p.host, p.path ORDER BY length(r.rule) DESC) AS n
-  FROM p JOIN r ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath))
-SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
-FROM p LEFT JOIN (SELECT DISTINCT * FROM fit WHERE n = 1) f ON p.page_id = f.page_id AND p.host = f.host AND p.path = f.path
+  SELECT x.host, x.path, r.rule, r.verdict, row_number() OVER (PARTITION BY x.host, x.path ORDER BY length(r.rule) DESC) AS n
+  FROM places x JOIN r ON (x.host = r.rhost OR ends_with(x.host, '.' || r.rhost)) AND starts_with(x.path, r.rpath)),
+told AS (
+  SELECT reach.a AS node, CASE WHEN bool_or(f.verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict
+  FROM reach JOIN fit f ON f.n = 1 AND f.host = regexp_extract(reach.b, '^[\s\S]*?://([^/?#]*)', 1) AND f.path = regexp_extract(reach.b, '^[\s\S]*?://[^/?#]*([^?#]*)', 1)
+  GROUP BY 1)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, t.verdict, 'allow') AS verdict
+FROM p LEFT JOIN fit f ON f.n = 1 AND p.host = f.host AND p.path = f.path LEFT JOIN normal ON normal.url = p.u LEFT JOIN told t ON t.node = normal.node
 """
 
 OP6_SQL = r"""

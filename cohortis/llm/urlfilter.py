@@ -58,16 +58,18 @@ def ruled(pages: DataFrame, rules: list[Rule]) -> DataFrame:
             text = F.when(ok, r.text) if text is None else text.when(ok, r.text)
             verdict = F.when(ok, r.verdict) if verdict is None else verdict.when(ok, r.verdict)
         return pages.withColumns({"rule": text, "rule_verdict": verdict})
-    # A host's suffixes are its labels; a page gets the best rule of all that fit, by (length, allow first).
+    # A host's suffixes are its labels. A path meets, by equality, its own beginnings of such lengths as the rules of the
+    # suffix have, so a host with any number of rules is never one row.
     spark = pages.sparkSession
     table = spark.createDataFrame([(r.host, r.path, r.text, r.verdict) for r in order], "r_host string, r_path string, rule string, rule_verdict string")
-    hosts = pages.select("host").distinct()
+    pairs = pages.select("host", "path").distinct()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    by_host = hosts.select("host", F.explode(suffixes).alias("r_host")).join(table, "r_host").groupBy("host").agg(F.collect_list(F.struct("r_path", "rule", "rule_verdict")).alias("_rules"))
-    best = F.array_sort(F.filter(F.coalesce("_rules", F.array()), lambda r: F.col("path").startswith(r["r_path"])), lambda x, y: F.when(F.length(x["rule"]) != F.length(y["rule"]), F.length(y["rule"]) - F.length(x["rule"])).when(x["rule_verdict"] < y["rule_verdict"], -1).when(x["rule_verdict"] > y["rule_verdict"], 1).otherwise(0))
-    joined = pages.join(by_host, "host", "left").withColumn("_best", F.get(best, F.lit(0)))
-    return joined.withColumns({"rule": F.col("_best.rule"), "rule_verdict": F.col("_best.rule_verdict")}).drop("_rules", "_best")
+    lengths = table.groupBy("r_host").agg(F.collect_set(F.length("r_path")).alias("lengths"))
+    met = pairs.join(pairs.select("host").distinct().select("host", F.explode(suffixes).alias("r_host")).join(lengths, "r_host"), "host")
+    tried = met.select("host", "path", "r_host", F.explode("lengths").alias("n")).where("length(path) >= n").select("host", "path", "r_host", F.expr("substring(path, 1, n)").alias("r_path"))
+    best = tried.join(table, ["r_host", "r_path"]).groupBy("host", "path").agg(F.min(F.struct(-F.length("rule"), "rule_verdict", "rule")).alias("_best"))
+    return pages.join(best, ["host", "path"], "left").withColumns({"rule": F.col("_best.rule"), "rule_verdict": F.col("_best.rule_verdict")}).drop("_best").select(*pages.columns, "rule", "rule_verdict")
 
 
 def normal_url(url: Column) -> Column:
@@ -119,22 +121,31 @@ def resolved(base: Column, target: Column) -> Column:
     return F.coalesce(absolute, F.when(head != "", F.when(ref.startswith("//"), whole(F.concat(scheme, ref))).otherwise(within)))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value that a tag gives an attribute, whichever way it is quoted; empty without one."""
+    pattern = rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(source, target): canonical links, og:url-style refreshes, and meta refresh redirects that the html states.
+    """(source, target): every canonical link and every meta refresh that the html states.
 
-    Targets are unescaped and resolved against the page's url, or against its base element where it has one. Only heads
-    that hold such a tag are taken apart. Nulls give no edges.
+    Targets are unescaped and resolved against the page's url, or against its base element where it has one. A rel of
+    several words counts if one of them is canonical. Only pages that hold such a tag are taken apart. Nulls give no edges.
     """
     url, html = F.col(url_col), F.col(html_col)
-    some = pages.where(url.isNotNull() & html.isNotNull() & html.rlike(r"(?i)rel\s*=\s*[\"']?canonical|http-equiv\s*=\s*[\"']?refresh"))
-    link = F.regexp_extract(html, r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    moved = F.regexp_extract(html, r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    some = pages.where(url.isNotNull() & html.isNotNull() & html.rlike(r"(?is)<(?:link\b[^>]*canonical|meta\b[^>]*refresh)"))
     base = F.regexp_extract(html, r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    tag, value = F.col("tag"), F.col("value")
     # One step at a time, each a generator: the optimizer would else write a step's expression out at each of its uses.
     step = lambda df, keep, c, name: df.select(*keep, F.explode(F.array(c)).alias(name))
-    found = some.select(url.alias("source"), base.alias("base"), F.explode(F.array(link, moved)).alias("target")).where("target <> ''")
-    found = step(found, ["source", "target"], unescaped(F.col("base")), "base")
-    found = step(found, ["source", "base"], unescaped(F.col("target")), "target")
+    found = some.select(url.alias("source"), base.alias("base"), F.explode(F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
+    canonical = tag.rlike("(?i)^<link") & F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical")
+    refresh = tag.rlike("(?i)^<meta") & (F.lower(F.trim(_attribute(tag, "http-equiv"))) == "refresh")
+    found = step(found, ["source", "base", refresh.alias("moved")], F.when(canonical, _attribute(tag, "href")).when(refresh, _attribute(tag, "content")), "value").where("value <> ''")
+    found = step(found, ["source", "moved", "value"], unescaped(F.col("base")), "base")
+    found = step(found, ["source", "moved", "base"], unescaped(value), "value")
+    found = step(found, ["source", "base"], F.when(F.col("moved"), F.regexp_extract(value, r"(?is)^[^\"'=]*?\burl\s*=\s*[\"']?\s*([^\"']*)", 1)).otherwise(value), "target").where("trim(target) <> ''")
     found = step(found, ["source", "target"], F.when(F.col("base") == "", F.trim("source")).otherwise(F.coalesce(resolved(F.trim("source"), F.col("base")), F.trim("source"))), "base")
     found = step(found, ["source"], resolved(F.col("base"), F.col("target")), "target")
     return found.select(normal_url(F.col("source")).alias("source"), normal_url(F.col("target")).alias("target")).where("target is not null and source <> target")
