@@ -10,8 +10,9 @@ A shard follows the published zstandard seekable format, so any zstandard reader
                        and the low 32 bits of XXH64 over the decompressed bytes; then frame count, flags, 0x8F92EAB1
 
 A reader takes the last 9 bytes, the seek table, the index, and then only the frames that hold the documents asked
-for. A task writes one shard under a name of its own; the manifest, a Parquet table, names the shards of the attempts
-that succeeded, so a repeated or lost task leaves at most a file that no manifest names.
+for. A task writes shards of bounded size, each under a name of its own; the manifest, a Parquet table, names the shards
+of the attempts that succeeded and their least and greatest ids, so a repeated or lost task leaves at most files that no
+manifest names, and a reader opens only shards that can hold what it wants.
 """
 
 from __future__ import annotations
@@ -29,11 +30,14 @@ from pyspark.sql import functions as F
 from . import common
 from .pieces import encoder
 
-SEEK_MAGIC, SKIPPABLE, INDEX_MAGIC, SEEKABLE = 0x184D2A5E, 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
+SEEK_MAGIC, INDEX_MAGIC, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 INDEX = np.dtype([("has_id", "u1"), ("doc_id", "<i8"), ("frame", "<u4"), ("begin", "<u8"), ("n_tokens", "<u8")])
 #: A frame is closed once it holds so many bytes of ids.
 FRAME_BYTES = 128 << 10
-MANIFEST = "shard long, path string, n_docs long, n_tokens long, width int, n_bytes long"
+#: A shard is closed once it has so many bytes or documents.
+SHARD_BYTES, SHARD_DOCS = 256 << 20, 1 << 20
+#: shard: the task's number << 24 and the shard's number in the task, so shards are in the order of ids.
+MANIFEST = "shard long, path string, n_docs long, n_tokens long, width int, n_bytes long, least_id long, greatest_id long, null_ids long"
 
 
 def _opened(path: str):
@@ -53,18 +57,25 @@ class ShardWriter:
         self.zstd = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
         self.frames: list[tuple[int, int, int]] = []
         self.index: list[tuple] = []
+        self.indexed: list[np.ndarray] = []  # what the list held, packed every 65,536 documents
         self.held: list[bytes] = []
         self.size = self.n_tokens = self.n_bytes = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         n = len(ids) // self.width
         self.index.append((doc_id is not None, doc_id or 0, len(self.frames), self.size // self.width, n))
+        if len(self.index) == 1 << 16:
+            self.pack()
         self.held.append(ids)
         self.size += len(ids)
         self.n_tokens += n
         if self.size >= FRAME_BYTES:
             self.close_frame()
 
+    def pack(self) -> None:
+        self.indexed.append(np.array(self.index, dtype=INDEX))
+        self.index = []
+
     def write(self, data: bytes) -> None:
         self.stream.write(data)
         self.n_bytes += len(data)
@@ -83,7 +94,9 @@ class ShardWriter:
         import xxhash
 
         self.close_frame()
-        body = struct.pack("<BQ", self.width, len(self.index)) + np.array(self.index, dtype=INDEX).tobytes()
+        self.pack()
+        self.documents = np.concatenate(self.indexed)
+        body = struct.pack("<BQ", self.width, len(self.documents)) + self.documents.tobytes()
         self.write(struct.pack("<II", INDEX_MAGIC, len(body)) + body)
         entries = [*self.frames, (len(body) + 8, 0, xxhash.xxh64_intdigest(b"") & 0xFFFFFFFF)]
         table = np.array(entries, dtype="<u4").tobytes() + struct.pack("<IBI", len(entries), 0x80, SEEKABLE)
@@ -140,13 +153,15 @@ class ShardReader:
                 yield doc, int(begin[i]), raw[first * self.width : (first + n) * self.width] if n else b""
 
 
-def write_token_shards(docs: DataFrame, tokenizer_path: str, out: str | None = None, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_shards(docs: DataFrame, tokenizer_path: str, out: str | None = None, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Encode every whole text and write shards in ascending id order; returns the manifest (MANIFEST), read back.
 
     The ids of a text are those of the tokenizers library with add_special_tokens=False, and end_id after them unless
-    None. A null text counts as empty; rows of one id keep together, ordered by text; a null id comes first. Other
-    columns are ignored. An empty table gives an empty manifest. out is a folder URI that executors can write to;
-    default: a new one in the shared folder. One range shuffle by id; a task streams its rows into one shard.
+    None. A null text counts as empty; rows of one id keep together, ordered by a hash of the text; a null id comes first.
+    Other columns are ignored. An empty table gives an empty manifest. out is a folder URI that executors can write to;
+    default: a new one in the shared folder. One range shuffle by id, then by the text's hash and the part of the input a
+    row comes from, so that an id, or a row, that is repeated any number of times is dealt to several tasks. A task streams
+    its rows into shards and closes one at shard_bytes or shard_docs.
     """
     spark = docs.sparkSession
     common.ship(spark)
@@ -156,32 +171,50 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, out: str | None = N
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(told.value)
         tail = b"" if end_id is None else known.packed([end_id])
-        part, writer = TaskContext.get().partitionId(), None
-        system, top = _opened(out)
-        path = f"shard-{part:06d}-{uuid.uuid4().hex}.zst"
+        part, system, top = TaskContext.get().partitionId(), None, None
+        path = writer = stream = None
+        done: list[dict] = []
+
+        def close() -> None:
+            writer.close()
+            stream.close()
+            own = writer.documents["doc_id"][writer.documents["has_id"] == 1]
+            done.append({"shard": part << 24 | len(done), "path": f"{out}/{path}", "n_docs": len(writer.documents), "n_tokens": writer.n_tokens, "width": writer.width, "n_bytes": writer.n_bytes, "least_id": int(own.min()) if len(own) else None, "greatest_id": int(own.max()) if len(own) else None, "null_ids": len(writer.documents) - len(own)})
+
         for batch in batches:
-            if writer is None:
-                system.create_dir(top, recursive=True)
-                stream = system.open_output_stream(f"{top}/{path}", compression=None)
-                writer = ShardWriter(stream, known.type.itemsize)
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if writer is None:
+                    if system is None:
+                        system, top = _opened(out)
+                        system.create_dir(top, recursive=True)
+                    path = f"shard-{part:06d}-{len(done):06d}-{uuid.uuid4().hex}.zst"
+                    stream = system.open_output_stream(f"{top}/{path}", compression=None)
+                    writer, n = ShardWriter(stream, known.type.itemsize), 0
                 writer.add(doc, known.encode(text.as_py() or "") + tail)
+                n += 1
+                if n >= shard_docs or writer.n_bytes >= shard_bytes:
+                    close()
+                    writer = None
         if writer is not None:
-            writer.close()
-            stream.close()
-            yield pa.RecordBatch.from_pylist([{"shard": part, "path": f"{out}/{path}", "n_docs": len(writer.index), "n_tokens": writer.n_tokens, "width": writer.width, "n_bytes": writer.n_bytes}], schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("n_bytes", pa.int64())]))
+            close()
+        if done:
+            kinds = {"path": pa.string(), "width": pa.int32()}
+            yield pa.RecordBatch.from_pylist(done, schema=pa.schema([(c, kinds.get(c, pa.int64())) for c in done[0]]))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return common.written(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(shard, MANIFEST), "manifest")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"), F.spark_partition_id().alias("part"))
+    dealt = rows.repartitionByRange("doc_id", "hash", "part").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
+    return common.written(dealt.mapInArrow(shard, MANIFEST), "manifest")
 
 
 def read_token_shards(spark: SparkSession, manifest: DataFrame, wanted: list[int] | None = None) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (binary: little-endian unsigned 32-bit), in shard order.
 
-    One task reads one shard, frame by frame, and checks every frame it opens. wanted: only these documents; other
-    frames are not read. Works on any manifest of write_token_shards, an empty one too.
+    One task reads one shard, frame by frame, and checks every frame it opens. wanted: only these documents (None: those
+    without an id); shards that can't hold one are not opened, and other frames not read. Works on any manifest of
+    write_token_shards, an empty one too.
     """
     common.ship(spark)
+    ids = sorted({x for x in wanted or [] if x is not None})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -204,5 +237,9 @@ def read_token_shards(spark: SparkSession, manifest: DataFrame, wanted: list[int
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     n = max(1, manifest.count())
     # The manifest has a row for each shard, so this window is as small as a list of files.
-    placed = manifest.select("shard", "path", F.coalesce(before, F.lit(0)).alias("start")).repartitionByRange(min(n, 20_000), "shard")
+    placed = manifest.select("shard", "path", F.coalesce(before, F.lit(0)).alias("start"), "least_id", "greatest_id", "null_ids")
+    if wanted is not None:
+        within = F.exists(F.array(*map(F.lit, ids)).cast("array<long>"), lambda x: x.between(F.col("least_id"), F.col("greatest_id")))
+        placed = placed.where((F.lit(None in wanted) & (F.col("null_ids") > 0)) | F.coalesce(within, F.lit(False)))
+    placed = placed.repartitionByRange(min(n, 20_000), "shard")
     return placed.select("path", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
