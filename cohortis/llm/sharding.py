@@ -4,9 +4,9 @@ A group (all rows of one text) goes to one shard whole. A *partial partition* is
 shards. Differencing takes the two with the largest spread (largest sum less smallest) and combines them oppositely
 ordered, the largest sum of one with the smallest of the other, until one is left.
 
-Groups, not rows, are differenced: parts of at most GROUPS_A_PART groups in parallel tasks first, each leaving one
-partial partition, and then those few tuples once more on the driver. Tuples carry sums only; the way back from the
-last tuple to each group is kept as permutations.
+Groups, not rows, are differenced: parts of about GROUPS_A_PART groups in parallel tasks, each leaving one partial
+partition; those tuples are again dealt to parts and differenced in tasks, round by round, until so few are left that
+the driver ends it. Tuples carry sums only; the way back from the last tuple to each group is kept as permutations.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from . import common
 
 SHARDS = 16
-#: Groups that one task differences: some 20 MB of sums and permutations.
+#: Groups, or tuples of an earlier round, that one task differences: some 20 MB of sums and permutations.
 GROUPS_A_PART = 60_000
+#: Tuples that the driver differences in the end, at most.
+MOST_TUPLES = 2_048
 
 
 def differenced(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +56,22 @@ def differenced(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total[-1], slots[:n]
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", groups_a_part: int = GROUPS_A_PART) -> DataFrame:
+def _round(tuples: DataFrame, n: int, size: int, shards: int) -> tuple[DataFrame, DataFrame]:
+    """Difference n rows (part, sums) in parts of about `size`, a task each. Returns (part, up, way) and the new (part, sums):
+    way leads a part's slots to those of the tuple `up`, which it has gone into."""
+    dealt = tuples.withColumn("up", F.pmod(F.xxhash64(F.lit(n), "part"), F.lit(-(-n // size))))
+
+    def one(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part")
+        sums, slots = differenced(np.array(rows.column("sums").to_pylist(), dtype=np.int64).reshape(rows.num_rows, shards))
+        lists = pa.array([sums.tolist()] + [None] * (rows.num_rows - 1), pa.list_(pa.int64()))
+        return pa.table({"part": rows.column("part"), "up": rows.column("up"), "way": pa.array(slots.tolist(), pa.list_(pa.int32())), "sums": lists})
+
+    made = common.written(dealt.select("part", "up", "sums").groupBy("up").applyInArrow(one, "part long, up long, way array<int>, sums array<long>"), "round")
+    return made.select("part", "up", "way"), made.where("sums is not null").select(F.col("up").alias("part"), "sums")
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", groups_a_part: int = GROUPS_A_PART, most_tuples: int = MOST_TUPLES) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot (gapless from 0 in each shard), grown_shard (null).
 
     size is the text's UTF-8 bytes (null: none) plus 1; groups are rows of equal text, a null text apart from an empty
@@ -63,7 +80,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
 
     Texts are read once, for digests; only (id, digest, size, crc) is shuffled afterwards. The join of rows to their
     group's shard can be skewed and is split by adaptive execution. Slots are numbered within buckets of ids, plus the
-    rows of the buckets before, so no shard is ever gathered in one task.
+    rows of the buckets before, so no shard is ever gathered in one task; rows without an id are dealt to buckets by where
+    they are read from. The driver gets at most most_tuples tuples.
     """
     spark = docs.sparkSession
     common.ship(spark)
@@ -105,14 +123,21 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
 
     # A part is a task's unit of work, and its size is bounded by the number of parts.
     placed = common.written(spread.repartition("part").sortWithinPartitions("part", F.desc("bytes"), "digest").mapInArrow(local, "digest string, part long, local int, sums array<long>"), "placed")
-    tuples = placed.where("sums is not null").select("part", "sums").orderBy("part").collect()  # one small row for each part
+    left = placed.where("sums is not null").select("part", "sums")
+    dealt, n = placed.select("digest", "part", F.col("local").alias("slot")), left.count()
+    while n > most_tuples:
+        ways, left = _round(left, n, min(groups_a_part, max(2, most_tuples)), shards)
+        dealt = dealt.join(ways, "part").select("digest", F.col("up").alias("part"), F.get("way", F.col("slot")).alias("slot"))
+        n = left.count()
+    tuples = left.orderBy("part").collect()
     if not tuples:
         return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     _, slots = differenced(np.array([r.sums for r in tuples], dtype=np.int64))
     ways = spark.createDataFrame([(r.part, [int(x) for x in way]) for r, way in zip(tuples, slots, strict=True)], "part long, way array<int>")
-    dealt = placed.join(ways, "part").select("digest", F.get("way", F.col("local")).alias("shard"))
+    dealt = dealt.join(ways, "part").select("digest", F.get("way", F.col("slot")).alias("shard"))
     shuffles = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    given = common.written(rows.join(dealt, "digest").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(4 * shuffles))), "given")
+    salted = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "digest", F.when(F.col("doc_id").isNull(), F.spark_partition_id())), F.lit(4 * shuffles)))
+    given = common.written(salted.join(dealt, "digest"), "given")
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     begins = given.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")).select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("begin"))
     own = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "digest")) - 1
