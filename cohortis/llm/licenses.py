@@ -1,11 +1,13 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates; shingle containment verifies them.
 
 Words are runs of 0-9, a-z and non-ASCII bytes after A-Z are lower-cased; shingles are five words. Windows of 2s
-shingles begin every s shingles, for each s in STRIDES, so a template of up to s + 1 shingles lies whole in a window of
-the smallest s that is enough, and shares at least an eighth of that window's shingles. With BANDS bands of one minimum
+shingles begin every s shingles, for s = 2, 8, 32, ... as far as the templates need, so a template of up to s + 1
+shingles lies whole in a window of the smallest s that is enough, and shares at least an eighth of that window's shingles. With BANDS bands of one minimum
 each, a window that holds the whole template is retrieved with a probability of 1 - (1 - 1/8)**48 = 0.998 or more, and
 one that holds only the required four fifths of it with 0.99 or more. Which templates match is then decided exactly:
 the share of a template's different shingles in the best span of 2s shingles about the window, compared word by word.
+A template of fewer than five words is one shingle of its own length, found wherever these words follow one another.
+Very long texts are taken in pieces that overlap by more than the longest span.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 48
-#: Shingles between windows; each is four times the one before.
-STRIDES = (2, 8, 32, 128)
+#: Shingles between the closest windows; each further stride is four times the one before.
+STRIDE, STEP = 2, 4
+#: Bytes of a text that are taken at once.
+PIECE = 1 << 20
 
 # Notices as licenses ask for them or as they are commonly given.
 TEMPLATES = {
@@ -50,22 +54,35 @@ class Templates:
         rng = np.random.default_rng(seed)
         self.factors = rng.integers(1, 1 << 63, bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.names, self.shingles, self.words = [], [], []
-        by_stride: dict[int, list[int]] = {s: [] for s in STRIDES}
+        by_stride: dict[int, list[int]] = {}
+        #: Number of words -> the hashes of templates that are so short, and the templates.
+        self.short: dict[int, tuple[list, list]] = {}
         table = common.word_table()
         for name, text in texts.items():
             words = common.Words([text.encode()], table)
-            _, code = words.windows(SHINGLE)
-            code = np.unique(code)
-            stride = next((s for s in STRIDES if 0 < len(words.code) - SHINGLE + 1 <= s + 1), None)
-            if stride is None:
-                raise ValueError(f"{name}: a template has {SHINGLE} to {STRIDES[-1] + SHINGLE} words")
-            by_stride[stride].append(len(self.names))
+            n = len(words.code)
+            if not n:
+                raise ValueError(f"{name}: a template has words")
+            size = min(SHINGLE, n)
+            code = np.unique(words.windows(size)[1])
+            if n < SHINGLE:
+                hashes, templates = self.short.setdefault(n, ([], []))
+                hashes.append(code[0])
+                templates.append(len(self.names))
+            else:
+                stride = STRIDE
+                while n - SHINGLE > stride:
+                    stride *= STEP
+                by_stride.setdefault(stride, []).append(len(self.names))
             self.names.append(name)
             self.shingles.append(code)
-            each = [words.word(i) for i in range(len(words.code))]
-            self.words.append({b" ".join(each[i : i + SHINGLE]) for i in range(len(each) - SHINGLE + 1)})
+            each = [words.word(i) for i in range(n)]
+            self.words.append({b" ".join(each[i : i + size]) for i in range(n - size + 1)})
+        self.strides = [STRIDE]
+        while self.strides[-1] < max(by_stride, default=0):
+            self.strides.append(self.strides[-1] * STEP)
         #: stride -> for each band: a bitmap of the minima's low 16 bits, the sorted minima, and their templates.
-        self.bands = {s: [self._band(f, ts) for f in self.factors] for s, ts in by_stride.items() if ts}
+        self.bands = {s: [self._band(f, ts) for f in self.factors] for s, ts in by_stride.items()}
 
     def _band(self, factor, templates: list[int]):
         least = np.array([((self.shingles[t] * factor) >> np.uint64(32)).min() for t in templates], dtype=np.uint32)
@@ -79,13 +96,13 @@ class Templates:
         found: set[tuple[int, int, int]] = set()
         if not len(code):
             return found
-        top = max(self.bands, default=0)
-        whole = -(-len(code) // top) * top if top else 0
-        for band, factor in enumerate(self.factors):
+        top = self.strides[-1]
+        whole = -(-len(code) // top) * top if self.bands else 0
+        for band, factor in enumerate(self.factors if self.bands else []):
             least = np.full(whole, 0xFFFFFFFF, dtype=np.uint32)
             least[: len(code)] = (code * factor) >> np.uint64(32)
-            for s in (s for s in STRIDES if s <= top):
-                least = least.reshape(-1, STRIDES[0] if s == STRIDES[0] else 4).min(axis=1)
+            for s in self.strides:
+                least = least.reshape(-1, STRIDE if s == STRIDE else STEP).min(axis=1)
                 if s not in self.bands:
                     continue
                 window = np.minimum(least, np.concatenate([least[1:], least[-1:]]))
@@ -96,8 +113,9 @@ class Templates:
                     found.update((s, int(maybe[i]), int(t)) for t in templates[left[i] : right[i]])
         return found
 
-    def matches(self, texts: list[bytes], least: float = CONTAINMENT) -> list[list[dict]]:
-        """For each text its templates, by name: the best containment, and where in the text (in UTF-8 bytes) it begins and ends."""
+    def matches(self, texts: list[bytes], least: float = CONTAINMENT, goes_on: bool = False) -> list[list[dict]]:
+        """For each text its templates, by name: the best containment, and where in the text (in UTF-8 bytes) it begins and ends.
+        goes_on: the only text is a piece, whose last spans are left to the next."""
         words = common.Words(texts, common.word_table())
         at, code = words.windows(SHINGLE)
         best: list[dict] = [{} for _ in texts]
@@ -111,20 +129,39 @@ class Templates:
                 same = {p: b" ".join(words.word(j) for j in range(at[p], at[p] + SHINGLE)) for p in own}
                 own = [p for p in own if same[p] in self.words[t]]
                 for i, p in enumerate(own):
+                    if goes_on and p + 2 * s > len(code):
+                        break
                     span = [q for q in own[i:] if q < p + 2 * s]
                     share = len({same[q] for q in span}) / len(self.words[t])
                     if share >= least:
                         begin, end = int(words.start[at[p]] - offset[doc]), int(words.end[at[span[-1]] + SHINGLE - 1] - offset[doc])
                         key, name = (-share, begin, end), self.names[t]
                         best[doc][name] = min(best[doc].get(name, key), key)
+        for size, (hashes, templates) in self.short.items():
+            at, code = words.windows(size)
+            for i in np.flatnonzero(np.isin(code, np.array(hashes, dtype=np.uint64))).tolist():
+                p, text = int(at[i]), b" ".join(words.word(j) for j in range(at[i], at[i] + size))
+                doc = int(words.doc[p])
+                key = (-1.0, int(words.start[p] - offset[doc]), int(words.end[p + size - 1] - offset[doc]))
+                for t in (t for t, h in zip(templates, hashes, strict=True) if h == code[i] and text in self.words[t]):
+                    best[doc][self.names[t]] = min(best[doc].get(self.names[t], key), key)
         return [[{"template": n, "containment": -k[0], "begin": k[1], "end": k[2]} for n, k in sorted(x.items())] for x in best]
 
+    def in_long(self, text: bytes, least: float) -> tuple[int, list[dict]]:
+        """The number of words and matches() of one text, piece by piece."""
+        n, best, table = 0, {}, common.word_table()
+        for a, b, shared in common.pieces(text, table, 2 * self.strides[-1] + SHINGLE, PIECE):
+            n += len(common.Words([text[a:b]], table).start) - shared
+            for m in self.matches([text[a:b]], least, goes_on=b < len(text))[0]:
+                key = (-m["containment"], m["begin"] + a, m["end"] + a)
+                best[m["template"]] = min(best.get(m["template"], key), key)
+        return n, [{"template": t, "containment": -k[0], "begin": k[1], "end": k[2]} for t, k in sorted(best.items())]
+
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, matches (MATCH, by name) of every whole text.
 
-    Each template is listed once, at the first of its best places. A null or empty text, or one of fewer than five
-    words, matches nothing; repeated rows are each scanned; an empty table gives an empty result; other columns are
+    Each template is listed once, at the first of its best places. A null or empty text matches nothing; repeated rows are each scanned; an empty table gives an empty result; other columns are
     ignored. No shuffle; the templates, a stated list, are the only thing broadcast.
     """
     spark = docs.sparkSession
@@ -136,9 +173,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
         table = common.word_table()
         for batch in batches:
             texts = common.text_bytes(batch.column(1))
-            for begin, end in common.slices(texts, 1 << 20):
+            for begin, end in common.slices(texts, PIECE):
                 part = texts[begin:end]
-                n = np.diff(common.Words(part, table).first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(n, pa.int64()), pa.array(told.value.matches(part, least), kind)], ["doc_id", "n_words", "matches"])
+                if len(part[0]) > PIECE:
+                    n, found = ([x] for x in told.value.in_long(part[0], least))
+                else:
+                    n, found = np.diff(common.Words(part, table).first), told.value.matches(part, least)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(n, pa.int64()), pa.array(found, kind)], ["doc_id", "n_words", "matches"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, n_words long, matches {MATCH}")
