@@ -187,6 +187,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
             if len(rows):
                 yield pa.RecordBatch.from_arrays([pa.array(told.value.assign(v)), batch.column(0).take(pa.array(rows)), _listed(v)], ["leaf", "vec_id", "v"])
 
+    step = max(1, common.BATCH_BYTES // (8 * dim))  # a query comes along to each leaf, so many at once
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -195,7 +197,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
                 if len(rows):
                     order = told.value.visits(v, visits)
                     many = np.repeat(np.arange(len(rows)), [len(o) for o in order])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(order).astype(np.int64)), part.column(0).take(pa.array(rows[many])), part.column(1).take(pa.array(rows[many])), _listed(v[many])], ["leaf", "row", "query_id", "v"])
+                    leaves = np.concatenate(order).astype(np.int64)
+                    for a in range(0, len(many), step):
+                        some = many[a : a + step]
+                        who = pa.array(rows[some])
+                        yield pa.RecordBatch.from_arrays([pa.array(leaves[a : a + step]), part.column(0).take(who), part.column(1).take(who), _listed(v[some])], ["leaf", "row", "query_id", "v"])
 
     placed = common.written(base.mapInArrow(place, "leaf long, vec_id long, v array<double>"), "leaves")
     walked = common.written(asked.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v").mapInArrow(walk, "leaf long, row long, query_id long, v array<double>"), "visits")
