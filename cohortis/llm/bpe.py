@@ -17,7 +17,6 @@ import mmap
 import re
 import sys
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,8 +30,8 @@ from .pieces import byte_characters
 
 #: Frequent words that are compiled. Which they are changes speed only, never a result.
 LEXICON_WORDS = 100_000
-#: Merged words, and different words to count, that a worker keeps: some 30 MB each.
-MOST_MERGED, MOST_COUNTED = 120_000, 150_000
+#: Merged words that a worker keeps: some 30 MB.
+MOST_MERGED = 120_000
 MAGIC = b"MALX0001"
 LITTLE = sys.byteorder == "little"
 
@@ -268,25 +267,10 @@ class Lexicon:
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """word, count over all whole texts. Each task counts before anything is shuffled, in bounded parts."""
-    common.ship(docs.sparkSession)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        flat = lambda: pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
-        for batch in batches:
-            for text in batch.column(0):
-                if text.is_valid:
-                    held.update(text.as_py().split(" "))
-                if len(held) > MOST_COUNTED:
-                    yield flat()
-                    held = Counter()
-        if held:
-            yield flat()
-        del held
-        common.tidy()
-
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("word <> ''")
+    """word, n over all whole texts. Cut and counted in the JVM, by task before anything is shuffled, where memory is managed
+    and spills; a null text has no words."""
+    words = docs.select(F.explode(F.split(F.col(text_col), " ")).alias("word")).where("word <> ''")
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def compile_lexicon(docs: DataFrame, tokenizer_path: str, n_words: int = LEXICON_WORDS, text_col: str = "text") -> Lexicon:

@@ -182,15 +182,20 @@ def judged(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_co
 
 
 def accepted(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", model: Classifier | None = None, accept: float = ACCEPT) -> DataFrame:
-    """docs without the rows that judged() rejects; columns stay, and texts are not shuffled while sites can be broadcast."""
+    """docs without the rows that judged() rejects; columns stay, and texts are not shuffled while sites can be broadcast.
+
+    Rows are written once with their evidence, so that texts are measured once: priors read the numbers alone. Nulls,
+    repeated rows and empty tables as in judged().
+    """
     spark = docs.sparkSession
     model = model or train(docs, labels)
     # Names that no document column has.
     host, path, evidence, mean = (f"__cohortis_{c}" for c in ("host", "path", "evidence", "mean"))
     own = {host: F.coalesce(F.col(host_col).cast("string"), F.lit("")), path: F.coalesce(F.col(path_col).cast("string"), F.lit("")), evidence: evidence_udf(spark, model)(F.col("text"))}
-    scored = docs.select(own[host].alias("host"), own[path].alias("path"), own[evidence].alias("evidence"))
-    priors = site_priors(scored, model.prior).select(F.col("host").alias(host), F.col("path").alias(path), F.col("path_mean").alias(mean))
+    rows = common.written(docs.withColumns(own), "measured")
+    priors = site_priors(rows.select(F.col(host).alias("host"), F.col(path).alias("path"), F.col(evidence).alias("evidence")), model.prior)
+    priors = priors.select(F.col("host").alias(host), F.col("path").alias(path), F.col("path_mean").alias(mean))
     if priors.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:
         priors = F.broadcast(priors)
     odds = F.log(F.col(mean) / (1 - F.col(mean))) + F.col(evidence)
-    return docs.withColumns(own).join(priors, [host, path]).where(1 / (1 + F.exp(-odds)) >= accept).select(*docs.columns)
+    return rows.join(priors, [host, path]).where(1 / (1 + F.exp(-odds)) >= accept).select(*docs.columns)
