@@ -41,14 +41,14 @@ def isolation_forest(df: DataFrame, key: str, features: Sequence[str], trees: in
     forest = K.IsolationForest(fit[[*features]].to_numpy(), trees, seed=seed)
     told = df.sparkSession.sparkContext.broadcast(forest)
 
-    def scored(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            pdf["iforest_score"] = told.value.score(pdf[[*features]].to_numpy()) if len(pdf) else []
-            yield pdf[[key, "iforest_score"]]
+    def scored(rows: pd.Series) -> pd.Series:
+        return pd.Series(told.value.score(np.stack(rows.to_numpy())) if len(rows) else [], dtype=float)
 
-    scores = x.mapInPandas(scored, f"{key} {dict(df.dtypes)[key]}, iforest_score double")
+    # A column function, so that rows keep all they have, whatever their keys are.
+    of = F.array(*[F.greatest(F.coalesce(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in features])
+    scores = df.withColumn("iforest_score", F.pandas_udf(scored, "double")(of))
     cut = exact_quantile(scores, [], "iforest_score", 1 - contamination).first()["quantile"]
-    return df.join(scores, key).withColumn("iforest_outlier", F.col("iforest_score") > cut)
+    return scores.withColumn("iforest_outlier", F.col("iforest_score") > cut)
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:

@@ -82,8 +82,10 @@ def model_pairs(table: DataFrame, pairs: DataFrame, keys: Sequence[str], model:
 
 
 def complete(files: DataFrame, subject: str, kind: str, path: str, required: Sequence[str]) -> DataFrame:
-    """subject and its kind -> path map, for subjects that have every required kind."""
-    have = files.groupBy(subject).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct(kind, path)))).alias("files"))
+    """subject and its kind -> path map, for subjects that have every required kind. Of several paths of a kind the first in
+    order counts; rows without a kind or a path don't."""
+    once = files.where(F.col(kind).isNotNull() & F.col(path).isNotNull()).groupBy(subject, kind).agg(F.min(path).alias(path))
+    have = once.groupBy(subject).agg(F.map_from_entries(F.collect_list(F.struct(kind, path))).alias("files"))
     return have.where(F.size(F.array_except(F.array(*map(F.lit, required)), F.map_keys("files"))) == 0)
 
 
@@ -93,8 +95,8 @@ def availability(expected: DataFrame, existing: DataFrame, keys: Sequence[str])
 
 
 def drop_from_baseline(df: DataFrame, keys: Sequence[str], kind: str, baseline: str, value: str) -> DataFrame:
-    """value less the baseline row's of the same keys (null without one)."""
-    base = df.where(F.col(kind) == baseline).groupBy(*keys).agg(F.first(value).alias("_base"))
+    """value less the baseline row's of the same keys (null without one; the least of several)."""
+    base = df.where(F.col(kind) == baseline).groupBy(*keys).agg(F.min(value).alias("_base"))
     return df.join(base, [*keys], "left").withColumn("drop", F.col(value) - F.col("_base")).drop("_base")
 
 
@@ -139,9 +141,8 @@ def block_folds(df: DataFrame, stratum: str, order: Sequence[str], k: int, hashe
 
 
 def round_robin(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
-    """With turn and position: the first of each group (groups by name), then the second of each, ..."""
-    turn = df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    return turn
+    """With turn, from 1 in each group: in the order of (turn, group) come the first of each group, then the second, ..."""
+    return df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
 
 
 def first_family(models: DataFrame, families: DataFrame, default: str = "other") -> DataFrame:

@@ -324,4 +324,4 @@ def intensity_histmatch(spark, sf):
 @query("whitestripe", "vec_id:l i:l v:d error")
 def whitestripe(spark, sf):
     """White stripe of every cube; one that is flat would become a row with the error."""
-    return V.intensity(cubes(spark, sf), ["vec_id"], "embedding", SHAPE, "whitestripe", least=32)
+    return V.intensity(cubes(spark, sf), ["vec_id"], "embedding", SHAPE, "whitestripe", least=4)

@@ -22,7 +22,9 @@ EVALUATION = "participant_id string, scanner string, split string, seen_in_train
 BIOMARKERS = "participant_id string, scanner string, split string, source string, wmh_ml double, wmh_periventricular_ml double, wmh_deep_ml double, n_lesions_ge10mm3 long"
 IQM = "participant_id string, scanner string, modality string, snr_wm double, snrd_wm double, cnr double, cjv double, efc double, fber double, inu_range double, fwhm double"
 VOLUMES = "subject string, modality string, space string, shape array<int>, spacing array<double>, affine array<double>, data array<float>"
-REMOTE_LISTING = "latestVersion struct<versionNumber: int, versionMinorNumber: int, files: array<struct<directoryLabel: string, dataFile: struct<id: long, filename: string, filesize: long, checksum: struct<type: string, value: string>>>>>"
+_VERSION = "struct<versionNumber: int, versionMinorNumber: int, files: array<struct<directoryLabel: string, dataFile: struct<id: long, filename: string, filesize: long, checksum: struct<type: string, value: string>>>>>"
+#: A listing as the interface answers it, with the version inside `data`, or as some tools store it, without.
+REMOTE_LISTING = f"data struct<latestVersion: {_VERSION}>, latestVersion {_VERSION}"
 
 #: Metric -> whether a higher value is better.
 METRICS = {"dice": True, "hd95_mm": False, "avd_pct": False, "lesion_recall": True, "lesion_f1": True}

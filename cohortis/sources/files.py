@@ -61,9 +61,11 @@ def read_document(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 
 def remote_files(spark: SparkSession, path: str) -> DataFrame:
-    """version, file_id, remote_path, local_path, size, sha1 from a repository's JSON listing. A checksum that isn't SHA-1 raises."""
-    raw = spark.read.schema(REMOTE_LISTING).option("multiLine", True).json(path)
-    f = raw.select("latestVersion.versionNumber", "latestVersion.versionMinorNumber", F.explode("latestVersion.files").alias("f"))
+    """version, file_id, remote_path, local_path, size, sha1 from a repository's JSON listing, as it is answered or without
+    its `data`. A file without a version, or a checksum that isn't SHA-1, raises."""
+    raw = spark.read.schema(REMOTE_LISTING).option("multiLine", True).json(path).select(F.coalesce("data.latestVersion", "latestVersion").alias("version"))
+    listed = F.when(F.col("version.files").isNull(), F.raise_error(F.lit("a listing without latestVersion")).cast(raw.schema["version"].dataType["files"].dataType)).otherwise(F.col("version.files"))
+    f = raw.select("version.versionNumber", "version.versionMinorNumber", F.explode(listed).alias("f"))
     d = F.col("f.dataFile")
     remote = F.concat_ws("/", F.when(F.col("f.directoryLabel") != "", F.col("f.directoryLabel")), d["filename"])
     sha = F.when(d["checksum"]["type"] == "SHA-1", d["checksum"]["value"]).otherwise(F.raise_error(F.concat(F.lit("not a SHA-1 checksum: "), remote)).cast("string"))
@@ -75,13 +77,18 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.sha1("content").alias("sha1"))
 
 
-SUBJECT_FILE = r"^(training|test)/(.+)/(\d+)/(.+)$"
-OBSERVER_FILE = r"^additional_annotations/(observer_o\d+)/(training|test)/(.+)/(\d+)/(.+)$"
-
-
 def selected_files(files: DataFrame, keep: Sequence[str], observers: Sequence[str], extra: Sequence[str], splits: Sequence[str]) -> DataFrame:
-    """Files of subjects (split and rest allowed), of allowed observers, and those named; sorted by path."""
-    p = F.col("remote_path")
-    subject = p.rlike(SUBJECT_FILE) & F.regexp_extract(p, SUBJECT_FILE, 1).isin(*splits) & F.regexp_extract(p, SUBJECT_FILE, 4).isin(*keep)
-    observer = p.rlike(OBSERVER_FILE) & F.regexp_extract(p, OBSERVER_FILE, 1).isin(*observers) & F.regexp_extract(p, OBSERVER_FILE, 2).isin(*splits)
-    return files.where(subject | observer | p.isin(*extra)).orderBy("remote_path")
+    """Files of subjects (split and rest allowed), results of allowed observers, and those named; sorted by path.
+
+    A subject's file is <split>/<site ...>/<number>/<rest>, the number being the last folder that is one. An observer's is
+    additional_annotations/observer_o<digit>/<split>/<site ...>/<number>/result.nii.gz.
+    """
+    parts = F.split("remote_path", "/")
+    n, part = F.size(parts), lambda i: F.try_element_at(parts, F.lit(i))
+    numbers = F.filter(F.sequence(F.lit(1), n), lambda i: (i >= 3) & (i < n) & F.element_at(parts, i).rlike("^[0-9]+$"))
+    at = F.array_max(numbers)
+    rest = F.array_join(F.slice(parts, at + 1, n), "/")
+    subject = part(1).isin(*splits) & at.isNotNull() & rest.isin(*keep)
+    observer = (part(1) == "additional_annotations") & part(2).rlike("^observer_o[0-9]$") & part(2).isin(*observers) & part(3).isin(*splits) & (n >= 6) & part(-2).rlike("^[0-9]+$") & (part(-1) == "result.nii.gz")
+    chosen = F.coalesce(subject, F.lit(False)) | F.coalesce(observer, F.lit(False)) | F.col("remote_path").isin(*extra)
+    return files.where(chosen).orderBy("remote_path")

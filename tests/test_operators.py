@@ -267,3 +267,25 @@ def test_columns(spark):
     assert rows(t.select(C.elastix_parameters(F.col("t"), "Spacing"))) == [([1.0, 2.5, -0.3],), (None,)]
     v = spark.createDataFrame([([0.0, 1.0, 2.0],), ([0.4, 1.0],), ([3.0],), ([float("nan")],)], "v array<double>")
     assert [r[0] for r in v.select(C.valid_labels(F.col("v"), [0, 1, 2])).collect()] == [True, False, False, False]
+
+
+def test_repeated_kinds_of_a_subject(spark):
+    df = spark.createDataFrame([("s1", "T1", "b"), ("s1", "T1", "a"), ("s1", "FLAIR", "f"), ("s1", None, "n"), ("s2", "T1", "t")], "subject string, kind string, path string")
+    got = [(r.subject, r.files) for r in R.complete(df, "subject", "kind", "path", ["T1", "FLAIR"]).collect()]
+    assert got == [("s1", {"T1": "a", "FLAIR": "f"})]
+
+
+def test_white_stripe_needs_its_own_voxels():
+    rng = np.random.default_rng(0)
+    few, many = rng.normal(100, 5, 400), rng.normal(100, 5, 200_000)
+    with pytest.raises(ValueError, match="fewer than 100"):
+        K.whitestripe(few, np.ones(400, dtype=bool))
+    assert abs(np.median(K.whitestripe(many, np.ones(200_000, dtype=bool)))) < 1.5
+
+
+def test_resampling_in_blocks_draws_the_same_numbers(monkeypatch):
+    values, strata = np.arange(50.0) ** 2, np.array(list("aab" * 16) + ["c", "c"])
+    whole = K.bootstrap_means(values, strata, 40, np.random.default_rng(1)), K.stratified_indices(strata, 40, np.random.default_rng(1))
+    monkeypatch.setattr(K, "DRAWN", 70)
+    parts = K.bootstrap_means(values, strata, 40, np.random.default_rng(1)), K.stratified_indices(strata, 40, np.random.default_rng(1))
+    assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all() and np.allclose(values[whole[1]].mean(axis=1), whole[0])

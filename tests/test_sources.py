@@ -39,16 +39,21 @@ def test_remote_listing(spark, tmp_path):
     (tmp_path / "l.json").write_text(json.dumps(listing))
     got = sorted(tuple(r)[:4] for r in files.remote_files(spark, str(tmp_path / "l.json")).collect())
     assert got == [("2.1", "7", "readme.", "readme_"), ("2.1", "7", "training/A B./0/T1.nii", "training/A_B_/0/T1.nii")]
+    (tmp_path / "w.json").write_text(json.dumps({"status": "OK", "data": listing}))
+    assert sorted(tuple(r)[:4] for r in files.remote_files(spark, str(tmp_path / "w.json")).collect()) == got
+    (tmp_path / "n.json").write_text(json.dumps({"status": "ERROR"}))
+    with pytest.raises(Exception, match="without latestVersion"):
+        files.remote_files(spark, str(tmp_path / "n.json")).collect()
     (tmp_path / "m.json").write_text(json.dumps({"latestVersion": {"versionNumber": 1, "versionMinorNumber": 0, "files": [entry("", "x", "MD5")]}}))
     with pytest.raises(Exception, match="not a SHA-1"):
         files.remote_files(spark, str(tmp_path / "m.json")).collect()
 
 
 def test_selected_files(spark):
-    names = ["training/A/0/pre/FLAIR.nii", "test/A/1/pre/FLAIR.nii", "training/A/0/orig/T1.nii", "additional_annotations/observer_o3/training/A/0/result.nii", "additional_annotations/observer_o9/training/A/0/result.nii", "readme.txt"]
+    names = ["training/A/0/pre/FLAIR.nii", "test/A/1/pre/FLAIR.nii", "training/A/0/orig/T1.nii", "additional_annotations/observer_o3/training/A/0/result.nii.gz", "additional_annotations/observer_o9/training/A/0/result.nii.gz", "additional_annotations/observer_o3/training/A/0/other.nii.gz", "additional_annotations/observer_o33/training/A/0/result.nii.gz", "training/A B./C/12/pre/FLAIR.nii", "training/A/x/pre/FLAIR.nii", "training/0/pre/FLAIR.nii", "readme.txt"]
     df = spark.createDataFrame([(n,) for n in names], "remote_path string")
-    got = [r[0] for r in files.selected_files(df, ["pre/FLAIR.nii"], ["observer_o3"], ["readme.txt"], ["training"]).collect()]
-    assert got == sorted([names[0], names[3], names[5]])
+    got = [r[0] for r in files.selected_files(df, ["pre/FLAIR.nii"], ["observer_o3", "observer_o33"], ["readme.txt"], ["training"]).collect()]
+    assert got == sorted([names[0], names[3], names[7], names[-1]])
 
 
 def test_nifti_round_trip(spark, tmp_path):
@@ -76,6 +81,23 @@ def test_resumable_upserts(spark, tmp_path):
     assert sorted(tuple(r) for r in resume.latest(spark, table, schema).collect()) == [(1, "a"), (2, "b"), (3, "b")]
 
 
+def test_a_repeated_batch_gives_the_same_version(spark, tmp_path):
+    import shutil
+
+    schema = schemas.struct("k int, v string")
+    src, table, check = str(tmp_path / "src"), str(tmp_path / "table"), tmp_path / "check"
+    for rows in ([(1, "a"), (2, "a")], [(2, "b"), (3, "b")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        resume.upsert_stream(spark, src, table, str(check), schema, ["k"])
+    last = max(check.joinpath("commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    shutil.rmtree(check / "commits" / f".{last.name}.crc", ignore_errors=True)
+    (check / "commits" / f".{last.name}.crc").unlink(missing_ok=True)
+    resume.upsert_stream(spark, src, table, str(check), schema, ["k"])
+    assert sorted(tuple(r) for r in resume.latest(spark, table, schema).collect()) == [(1, "a"), (2, "b"), (3, "b")]
+    assert sorted(tuple(r) for r in resume.latest(spark, table, schema, 1).collect()) == [(1, "a"), (2, "a")]
+
+
 def test_schema_comments(spark):
     made = schemas.struct(schemas.PARTICIPANTS, schemas.PARTICIPANT_COMMENTS)
     assert made["split"].metadata["comment"] == "training or test" and F.col("x") is not None

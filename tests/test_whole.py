@@ -34,6 +34,12 @@ def test_every_row_is_tested_in_a_fold(spark):
     assert by_way[False] == 400 and by_way[True] in (399, 400) and len(got) == 10
 
 
+def test_the_forest_keeps_every_row(spark):
+    df = spark.createDataFrame([(None, 1.0, "x"), (None, 2.0, "y"), (3, 3.0, "z"), (3, 90.0, "z"), (4, None, None)], "id long, a double, extra string")
+    got = ml.isolation_forest(df, "id", ["a"], trees=20).collect()
+    assert sorted(map(str, (r.extra for r in got))) == ["None", "x", "y", "z", "z"] and all(r.iforest_score is not None for r in got)
+
+
 def test_outlier_share_is_of_all_rows(spark):
     df = spark.createDataFrame([(i, float(i % 97), float(i * 7 % 101)) for i in range(1000)], "id long, a double, b double")
     got = ml.isolation_forest(df, "id", ["a", "b"], trees=20, contamination=0.05, most=60).toPandas()
