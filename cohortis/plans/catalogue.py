@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import inference, relational, studies, volumes  # noqa: F401  importing a module registers its queries
+from . import cohort, inference, relational, studies, volumes  # noqa: F401  importing a module registers its queries
 from .base import ORACLES, QUERIES
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import tabular as R
-from ..sources.files import OBSERVER_FILE, SUBJECT_FILE  # noqa: F401  the patterns' stand-in below is for urls
 from .base import EV_SQL, METRICS, QUALITY_SQL, SITES_SQL, evaluation, quality, query, sites, table
 
 M = [*METRICS]
