@@ -75,10 +75,10 @@ def opened_file(name: str) -> str:
 
 
 def about(df: DataFrame, key: str, most: int) -> DataFrame:
-    """All rows, or where there are more than `most`, about so many: those whose key's hash falls into their share. The same
-    rows at every run; no sort, and nothing on the driver but a count."""
+    """All rows, or where there are more than `most`, about so many: those whose key's hash falls into their share. Keys are
+    to differ. The same rows at every run; no sort, and nothing on the driver but a count."""
     n = df.count()
-    return df if n <= most else df.where(F.pmod(F.xxhash64(key), F.lit(n)) < most).limit(2 * most)
+    return df if n <= most else df.where(F.pmod(F.xxhash64(key), F.lit(n)) < most)
 
 
 def ascii_lower(c: Column) -> Column:

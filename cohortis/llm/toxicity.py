@@ -28,8 +28,6 @@ THRESHOLD = 0.7
 LEAST_SHARE, WORD_ODDS, STEM_ODDS, WEIGHT = 0.01, 3.0, 1.5, 6.0
 #: A stem begins at least so many different words of toxic documents.
 STEM_LENGTHS, STEM_WORDS = (3, 4, 5, 6, 7), 4
-#: Entries of a lexicon, at most; the most frequent in toxic documents stay.
-MOST_ENTRIES = 20_000
 
 # Characters that look like the Latin letter beside them.
 HOMOGLYPHS = {
@@ -161,22 +159,28 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, m
             yield pa.RecordBatch.from_arrays([pa.array(signs, pa.int64()), batch.column(1), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))], ["sign", "toxic", "words"])
 
     chosen = common.written(docs.select("doc_id", "text").join(F.broadcast(told), "doc_id").select("text", "toxic"), "toxic-train")
-    once = common.written(chosen.mapInArrow(shaped, "sign long, toxic int, words array<string>").groupBy("sign", "toxic").agg(F.first("words").alias("words")), "toxic-words")
+    once = common.written(chosen.mapInArrow(shaped, "sign long, toxic int, words array<string>").groupBy("sign", "toxic").agg(F.min("words").alias("words")), "toxic-words")
     n = {r.toxic: r["count"] for r in once.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     terms = [F.transform("words", lambda w: F.struct(F.lit(0).alias("stem"), w.alias("term"))), *map(_stems, STEM_LENGTHS)]
     counted = once.select("toxic", F.explode(F.concat(*terms)).alias("x")).groupBy("x.stem", "x.term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1))
-    strong = counted.where(F.col("t") >= 2).withColumn("odds", odds).where(F.col("odds") >= F.when(F.col("stem") == 1, STEM_ODDS).otherwise(WORD_ODDS)).orderBy(F.desc("t"), "term").limit(MOST_ENTRIES).collect() if n_toxic else []
     least = max(3.0, LEAST_SHARE * n_toxic)
-    words = {r.term: (r.t, min(r.odds, WEIGHT)) for r in strong if not r.stem}
+    strong = counted.where(F.col("t") >= 2).withColumn("odds", odds).where(F.col("odds") >= F.when(F.col("stem") == 1, STEM_ODDS).otherwise(WORD_ODDS))
+    strong = common.written(strong, "toxic-terms")
+    # How many strong words each stem begins. What reaches the driver stands in LEAST_SHARE of the toxic documents, so it
+    # is no more than 1 / LEAST_SHARE times the terms of one of them, on average.
+    longer = F.filter(F.array(*map(F.lit, STEM_LENGTHS)), lambda n: n < F.length("term"))
+    begun = strong.where("stem = 0").select(F.explode(F.transform(longer, lambda n: F.substring("term", F.lit(1), n))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_words"))
+    frequent = strong.where((F.col("t") >= least) & ((F.col("stem") == 0) | (F.col("t") >= 2 * least))).join(begun, "term", "left").where(f"stem = 0 or n_words >= {STEM_WORDS}").collect() if n_toxic else []
+    words = {r.term: (r.t, min(r.odds, WEIGHT)) for r in frequent if not r.stem}
     stems: dict[str, float] = {}
     # Stems may begin one another, if the longer one weighs more: of all entries at a place, the heaviest counts.
-    for r in sorted((r for r in strong if r.stem and r.t >= 2 * least), key=lambda r: (len(r.term), r.term)):
+    for r in sorted((r for r in frequent if r.stem), key=lambda r: (len(r.term), r.term)):
         weight = min(r.odds, WEIGHT)
-        if sum(1 for w in words if w.startswith(r.term) and w != r.term) >= STEM_WORDS and not any(r.term.startswith(s) and w >= weight for s, w in stems.items()):
+        if not any(r.term.startswith(s) and w >= weight for s, w in stems.items()):
             stems[r.term] = weight
-    model = Model({w: weight for w, (t, weight) in words.items() if t >= least}, stems, exceptions)
+    model = Model({w: weight for w, (_, weight) in words.items()}, stems, exceptions)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,9 +198,10 @@ def _stems(size: int) -> Column:
 
 
 def score_udf(spark, model: Model):
-    """An Arrow function of a text: its score, 0 to 1. A null text scores as an empty one."""
+    """An Arrow function of a text: its score, 0 to 1. A null text scores as an empty one, which is the curve's least; repeated
+    texts score alike; an empty table stays empty. A text is scored whole, one at a time, whatever its length."""
     common.ship(spark)
-    told = spark.sparkContext.broadcast(model)  # MOST_ENTRIES entries at most
+    told = spark.sparkContext.broadcast(model)  # its size is bounded in train()
 
     def scored(texts: pa.Array) -> pa.Array:
         out = pa.array([told.value.score(x) for x in texts.to_pylist()], pa.float64())
