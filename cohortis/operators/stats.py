@@ -1,6 +1,7 @@
-"""Agreement and inference: closed forms as DataFrame aggregates, exact nulls and resampling as grouped pandas UDFs.
+"""Agreement and inference: closed forms and rank tests as DataFrame aggregates, resampling as grouped pandas UDFs.
 
-Grouped UDFs get one cell (a model, group and metric, a pair of models, ...) at a time, never a whole fact table.
+Rank tests send Python only a cell's sums. Resampling, and the test of normality, get one cell's values (a model, group and
+metric, a pair of models, ...) in a task, and draw in blocks.
 """
 
 from __future__ import annotations
@@ -54,8 +55,8 @@ def spearman(df: DataFrame, x: str, y: str, group: Sequence[str] = ()) -> DataFr
 def kruskal_h(df: DataFrame, group: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """n, k, H (tie-corrected) and, for an even number of degrees, p in closed form; null where there is no spread."""
     some = mid_ranks(df.where(F.col(value).isNotNull()), value, keys, "_r")
-    ties = some.groupBy(*keys, value).agg(F.count(F.lit(1)).cast("double").alias("t")).groupBy(*keys).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("_ties"))
-    sums = some.groupBy(*keys, group).agg(F.sum("_r").alias("s"), F.count(F.lit(1)).alias("m")).groupBy(*keys).agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("s") ** 2 / F.col("m")).alias("_q"))
+    ties = some.groupBy(*keys, value).agg(F.count(F.lit(1)).cast("double").alias("_t")).groupBy(*keys).agg(F.sum(F.col("_t") ** 3 - F.col("_t")).alias("_ties"))
+    sums = some.groupBy(*keys, group).agg(F.sum("_r").alias("_s"), F.count(F.lit(1)).alias("_m")).groupBy(*keys).agg(F.sum("_m").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("_s") ** 2 / F.col("_m")).alias("_q"))
     met = sums.join(ties, [*keys]) if keys else sums.crossJoin(ties)
     n = F.col("n").cast("double")
     h = F.try_divide(12 / (n * (n + 1)) * F.col("_q") - 3 * (n + 1), 1 - F.try_divide(F.col("_ties"), n**3 - n))
@@ -100,25 +101,66 @@ def moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 # -- tests by exact or normal nulls ----------------------------------------------------------------------------------
 
 
-def wilcoxon(df: DataFrame, keys: Sequence[str], difference: str) -> DataFrame:
-    return _cells(df.select(*keys, F.col(difference).cast("double").alias("d")), keys, lambda g: {"n": len(g.d.dropna()), "p": _number(K.wilcoxon(g.d.to_numpy()))}, "n long, p double")
+def _of_sums(tail, *columns: str):
+    """A column: tail(numbers) of each row, null for NaN or where a number is missing. One row a cell, so few."""
 
+    def run(*parts: pd.Series) -> pd.Series:
+        rows = zip(*(p.tolist() for p in parts), strict=True)
+        return pd.Series([None if any(v is None or v != v for v in r) else _number(tail(*r)) for r in rows], dtype="object").astype(float)
 
-def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, side: str) -> DataFrame:
-    """side: a boolean column that tells the two samples apart."""
-    some = df.select(*keys, F.col(value).cast("double").alias("v"), F.col(side).alias("side"))
-    return _cells(some, keys, lambda g: {"n_true": int(g.v[g.side == True].notna().sum()), "n_false": int(g.v[g.side == False].notna().sum()), "p": _number(K.mann_whitney(g.v[g.side == True].to_numpy(), g.v[g.side == False].to_numpy()))}, "n_true long, n_false long, p double")  # noqa: E712
+    return F.pandas_udf(run, "double")(*[F.col(c).cast("double") for c in columns])
 
 
-def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
-    """H and p for any number of groups."""
-    some = df.select(*keys, F.col(group).cast("string").alias("g"), F.col(value).cast("double").alias("v"))
+def _tie_sums(ranked: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, ties (the sum of t cubed less t) and distinct, from counts of equal values."""
+    t = F.col("_t").cast("double")
+    return ranked.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_t")).groupBy(*keys).agg(F.sum(t**3 - t).alias("ties"), F.count(F.lit(1)).alias("distinct"))
+
+
+def signed_rank_sums(df: DataFrame, keys: Sequence[str], difference: str, large_groups: bool = False) -> DataFrame:
+    """keys, n (differences), n_signed (those that aren't zero), w_plus, ties, distinct. All in the JVM. Where every difference is
+    about zero, none counts as signed."""
+    d = F.col(difference).cast("double")
+    all_ = df.select(*keys, F.when(~F.isnan(d), d).alias("_d"))
+    whole = all_.groupBy(*keys).agg(F.count("_d").alias("n"), F.max(F.abs("_d")).alias("_top"))
+    ranked = mid_ranks(all_.where("_d <> 0").withColumn("_a", F.abs("_d")), "_a", keys, "_r", large_groups)
+    sums = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("_w"))
+    met = whole.join(sums, [*keys], "left").join(_tie_sums(ranked, keys, "_a"), [*keys], "left")
+    some = F.coalesce(F.col("_top") > 1e-8, F.lit(False))
+    zero = F.lit(0).cast("long")
+    return met.select(*keys, "n", F.when(some, F.col("_m")).otherwise(zero).alias("n_signed"), F.when(some, F.col("_w")).otherwise(0.0).alias("w_plus"), F.coalesce("ties", F.lit(0.0)).alias("ties"), F.coalesce("distinct", zero).alias("distinct"))
+
+
+def wilcoxon(df: DataFrame, keys: Sequence[str], difference: str, large_groups: bool = False) -> DataFrame:
+    """keys, n, p of the signed-rank test: ranks and sums by aggregates, only the tail of a few numbers in Python."""
+    sums = signed_rank_sums(df, keys, difference, large_groups)
+    tail = lambda n, m, w, ties, distinct: K.wilcoxon_p(int(n), int(m), w, ties, int(distinct))
+    return sums.select(*keys, "n", _of_sums(tail, "n", "n_signed", "w_plus", "ties", "distinct").alias("p"))
 
-    def one(g: pd.DataFrame) -> dict:
-        h, p = K.kruskal(g.v.to_numpy(), g.g.to_numpy())
-        return {"h": _number(h), "p": _number(p)}
 
-    return _cells(some, keys, one, "h double, p double")
+def rank_sums(df: DataFrame, keys: Sequence[str], value: str, side: str, large_groups: bool = False) -> DataFrame:
+    """keys, n_true, n_false, rank_sum (of the true side), ties, distinct. side: a boolean column; rows without one count for
+    neither."""
+    v = F.col(value).cast("double")
+    every = df.select(*keys, F.when(~F.isnan(v), v).alias("_v"), F.col(side).alias("_side"))
+    ranked = mid_ranks(every.where("_v is not null and _side is not null"), "_v", keys, "_r", large_groups)
+    sums = ranked.groupBy(*keys).agg(F.count_if("_side").alias("n_true"), F.count_if(~F.col("_side")).alias("n_false"), F.sum(F.when(F.col("_side"), F.col("_r")).otherwise(0.0)).alias("rank_sum"))
+    met = every.select(*keys).distinct().join(sums, [*keys], "left").join(_tie_sums(ranked, keys, "_v"), [*keys], "left")
+    zero = F.lit(0).cast("long")
+    return met.select(*keys, *[F.coalesce(c, zero).alias(c) for c in ("n_true", "n_false")], *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("rank_sum", "ties")], F.coalesce("distinct", zero).alias("distinct"))
+
+
+def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, side: str, large_groups: bool = False) -> DataFrame:
+    """keys, n_true, n_false, p of the U-test, from rank_sums(). side: a boolean column that tells the two samples apart."""
+    sums = rank_sums(df, keys, value, side, large_groups)
+    tail = lambda n, m, r, ties, distinct: K.mann_whitney_p(int(n), int(m), r, ties, int(distinct))
+    return sums.select(*keys, "n_true", "n_false", _of_sums(tail, "n_true", "n_false", "rank_sum", "ties", "distinct").alias("p"))
+
+
+def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
+    """H and p for any number of groups: H by aggregates, the tail of two numbers in Python."""
+    h = kruskal_h(df.withColumn("_v", F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))), group, "_v", keys)
+    return h.select(*keys, "h", _of_sums(lambda x, k: K.chi2_tail(x, int(k) - 1), "h", "k").alias("p"))
 
 
 def shapiro(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

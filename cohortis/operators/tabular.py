@@ -159,8 +159,20 @@ def min_ranks(df: DataFrame, value: str, higher_is_better: bool, out: str = "ran
     return df.withColumn(out, F.rank().over(Window.partitionBy(*group).orderBy(F.desc_nulls_last(value) if higher_is_better else F.asc_nulls_last(value))))
 
 
-def mid_ranks(df: DataFrame, value: str, group: Sequence[str] = (), out: str = "rank") -> DataFrame:
-    """Average ranks of ties, within groups."""
+def mid_ranks(df: DataFrame, value: str, group: Sequence[str] = (), out: str = "rank", large_groups: bool = False) -> DataFrame:
+    """Average ranks of ties, within groups. large_groups: for groups that one task can't sort; the same result for values
+    that aren't null, from counts of different values in buckets of each group's quantiles."""
+    if large_groups:
+        keys, v = [*group], F.col(value)
+        counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")).where(v.isNotNull())
+        cuts = counts.groupBy(*keys).agg(F.percentile_approx(v, [i / 256 for i in range(1, 256)], 2000).alias("_cuts"))
+        met = counts.join(F.broadcast(cuts), keys) if keys else counts.crossJoin(F.broadcast(cuts))  # 255 numbers a group
+        placed = met.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < v))).drop("_cuts")
+        up = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        before = placed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_m")).select(*keys, "_bucket", F.coalesce(F.sum("_m").over(up), F.lit(0)).alias("_before"))
+        own = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        ranks = placed.withColumn("_own", F.coalesce(F.sum("_n").over(own), F.lit(0))).join(before, [*keys, "_bucket"])
+        return df.join(ranks.select(*keys, value, (F.col("_before") + F.col("_own") + (F.col("_n") + 1) / 2.0).alias(out)), [*keys, value], "left")
     w = Window.partitionBy(*group)
     ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
     return df.withColumn(out, (F.rank().over(w.orderBy(value)) + (ties - 1) / 2.0).cast("double"))

@@ -110,6 +110,31 @@ def wins_with_reference(spark, sf):
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("va") < F.col("vb")).alias("wins"))
 
 
+_RANKED = "rank() OVER (PARTITION BY {k} ORDER BY {v}) + (count(*) OVER (PARTITION BY {k}, {v}) - 1) / 2.0"
+_TIES = "SELECT {k}, sum(CAST(c AS DOUBLE) ** 3 - c) AS ties, count(*) AS distinct_values FROM (SELECT {k}, count(*) AS c FROM r GROUP BY {k}, {v}) GROUP BY {k}"
+
+
+@query("signed_rank_sums", "a b n:l n_signed:l w_plus:d ties:d distinct:l", f"""
+WITH {EV_SQL}, d AS (SELECT x.model AS a, y.model AS b, x.m_n - y.m_n AS d FROM ev x JOIN ev y ON x.participant = y.participant AND x.model < y.model),
+r AS (SELECT a, b, d, abs(d) AS s, {_RANKED.format(k='a, b', v='abs(d)')} AS r FROM d WHERE d <> 0), t AS ({_TIES.format(k='a, b', v='s')}),
+w AS (SELECT a, b, count(*) AS m, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w FROM r GROUP BY 1, 2)
+SELECT n.a, n.b, n.n, coalesce(m, 0) AS n_signed, coalesce(w, 0) AS w_plus, coalesce(ties, 0) AS ties, coalesce(distinct_values, 0) AS "distinct"
+FROM (SELECT a, b, count(*) AS n FROM d GROUP BY 1, 2) n LEFT JOIN w ON w.a = n.a AND w.b = n.b LEFT JOIN t ON t.a = n.a AND t.b = n.b""")
+def signed_rank_sums(spark, sf):
+    """Numbers of orders differ by whole numbers, so there are ties and zeros."""
+    fam = spark.createDataFrame([("main", "F"), ("main", "O"), ("main", "P")], "family string, model string")
+    pairs = R.model_pairs(evaluation(spark, sf), R.member_pairs(fam, "family", "model"), ["participant"], "model", "m_n")
+    return stats.signed_rank_sums(pairs.withColumn("d", F.col("va") - F.col("vb")), ["a", "b"], "d", large_groups=True)
+
+
+@query("rank_sums", "model n_true:l n_false:l rank_sum:d ties:d distinct:l", f"""
+WITH {EV_SQL}, r AS (SELECT model, seen, m_n, {_RANKED.format(k='model', v='m_n')} AS r FROM ev), t AS ({_TIES.format(k='model', v='m_n')})
+SELECT model, count(*) FILTER (WHERE seen) AS n_true, count(*) FILTER (WHERE NOT seen) AS n_false, coalesce(sum(r) FILTER (WHERE seen), 0) AS rank_sum, any_value(ties) AS ties, any_value(distinct_values) AS "distinct"
+FROM r JOIN t USING (model) GROUP BY 1""")
+def rank_sums(spark, sf):
+    return stats.rank_sums(evaluation(spark, sf), ["model"], "m_n", "seen", large_groups=True)
+
+
 # -- exact nulls, resampling and models: SQL has no words for them ------------------------------------------------------
 
 

@@ -289,3 +289,30 @@ def test_resampling_in_blocks_draws_the_same_numbers(monkeypatch):
     monkeypatch.setattr(K, "DRAWN", 70)
     parts = K.bootstrap_means(values, strata, 40, np.random.default_rng(1)), K.stratified_indices(strata, 40, np.random.default_rng(1))
     assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all() and np.allclose(values[whole[1]].mean(axis=1), whole[0])
+
+
+def test_rank_tests_by_aggregates_are_those_of_the_values(spark):
+    rng = np.random.default_rng(12)
+    data = [(g, bool(i % 3), float(v)) for g, n in (("few", 9), ("ties", 60), ("many", 200)) for i, v in enumerate(rng.integers(-4, 5, n) if g == "ties" else rng.normal(size=n))]
+    data += [("one side", True, 1.0), ("one side", True, 2.0), ("zeros", True, 0.0), ("zeros", False, 0.0), ("nothing", True, None), ("many", None, None), ("many", True, math.nan)]
+    df = spark.createDataFrame(data, "g string, side boolean, v double")
+    pdf = df.toPandas()
+    close = lambda a, b: (a is None and math.isnan(b)) or a == pytest.approx(b, rel=1e-9)
+    for large in (False, True):
+        signed = {r.g: r.p for r in stats.wilcoxon(df, ["g"], "v", large).collect()}
+        sides = {r.g: r.p for r in stats.mann_whitney(df, ["g"], "v", "side", large).collect()}
+        assert set(signed) == set(sides) == set(pdf.g)
+        for g, own in pdf.groupby("g"):
+            assert close(signed[g], K.wilcoxon(own.v.to_numpy())), g
+            assert close(sides[g], K.mann_whitney(own.v[own.side == True].to_numpy(), own.v[own.side == False].to_numpy())), g  # noqa: E712
+    kruskal = {r.g: (r.h, r.p) for r in stats.kruskal(df.withColumn("s", F.col("side").cast("string")), ["g"], "s", "v").collect()}
+    for g in ("few", "ties", "many"):
+        own = pdf[(pdf.g == g) & pdf.side.notna()]
+        assert kruskal[g] == pytest.approx(K.kruskal(own.v.to_numpy(), own.side.astype(str).to_numpy()))
+
+
+def test_mid_ranks_of_large_groups(spark):
+    rng = np.random.default_rng(13)
+    df = spark.createDataFrame([(int(i), "ab"[i % 2], float(v)) for i, v in enumerate([*rng.normal(size=900), *rng.integers(0, 5, 900)])], "id long, g string, v double")
+    for keys in (["g"], []):
+        assert sorted(rows(R.mid_ranks(df, "v", keys).select("id", "rank"))) == sorted(rows(R.mid_ranks(df, "v", keys, large_groups=True).select("id", "rank")))
