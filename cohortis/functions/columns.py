@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,12 @@ def case_id(subject: Column) -> Column:
     return F.concat(F.lit("WMH_"), F.regexp_replace(subject, "^[^-]*-", ""))
 
 
+def named(template: str, **parts: Column) -> Column:
+    """A template with every {part} in its place: named("{id}_{kind}.nii.gz", id=..., kind=...). Null where a part is null."""
+    pieces = [F.lit(text) if i % 2 == 0 else parts[text].cast("string") for i, text in enumerate(re.split(r"\{(\w+)\}", template))]
+    return F.concat(*pieces)
+
+
 def observer_code(name: Column) -> Column:
     return F.upper(F.regexp_replace(name, "^observer_", ""))
 

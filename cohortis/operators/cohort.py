@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..functions.columns import from_scale, on_scale, qc_class
+from ..functions.columns import from_scale, geometry, on_scale, qc_class, same_grid, valid_labels, voxel_volume
 from . import ml, stats
 from . import tabular as R
 from .voxel import kernel
@@ -172,6 +172,38 @@ def biomarker_table(long: DataFrame, keys: Sequence[str], sources: dict[str, Col
     return met.select(*keys, "s.source", (F.col("s.n") * voxel_ml).alias("wmh_ml"), F.try_divide(100.0 * F.col("s.n"), "_brain").alias("wmh_pct_brain"), (F.col("_icv") * voxel_ml).alias("icv_ml"), F.try_divide(100.0 * F.col("s.n"), "_icv").alias("wmh_pct_icv"))
 
 
+def inventory(images: DataFrame, key: str, image: str, raters: dict[str, str], defacing: str, allowed: Sequence[float] = (0, 1, 2)) -> DataFrame:
+    """A row for each subject that has the image: its geometry as text, whether all forms agree, for each rater whether the labels are
+    valid and on the image's grid and their volumes in ml, and what was defaced.
+
+    images: key, kind, shape, spacing, affine, axcodes, dtype, forms_agree, data; one of a kind (of several the least by geometry).
+    raters: kind -> prefix of its columns; a subject without the kind has nulls, one with invalid labels no volume. Arrays are
+    measured where they lie; only figures are brought together, and the image's values only for subjects that have the mask
+    `defacing`: the share of values between 0 and 1, the share removed (0), and whether the image is 0 there.
+    """
+    lesion = lambda n: F.size(F.filter("data", lambda v: F.rint(v) == n))
+    fits = valid_labels(F.col("data").cast("array<double>"), list(allowed))
+    row = images.select(
+        key, "kind", "shape", "spacing", "affine", "axcodes", "dtype", "forms_agree", F.when(F.col("kind").isin(*raters), fits).alias("valid"),
+        F.when(F.col("kind").isin(*raters), lesion(1)).alias("ones"), F.when(F.col("kind").isin(*raters), lesion(2)).alias("twos"),
+    )
+    own = F.struct("shape", "spacing", "affine", "axcodes", "dtype", "valid", "ones", "twos")
+    kinds = {image: "_image", defacing: "_mask", **{k: f"_{p}" for k, p in raters.items()}}
+    met = row.groupBy(key).agg(*[F.min(F.when(F.col("kind") == k, own)).alias(c) for k, c in kinds.items()], F.coalesce(F.bool_and(F.when(F.col("kind") == image, F.col("forms_agree"))), F.lit(True)).alias("forms_agree")).where("_image is not null")
+    ml = voxel_volume(F.col("_image.spacing")) / 1000
+    on_grid = lambda c: same_grid(F.col(f"{c}.shape"), F.col(f"{c}.affine"), F.col("_image.shape"), F.col("_image.affine"))
+    volume = lambda p, n: F.when(F.col(f"_{p}.valid"), F.round(F.col(f"_{p}.{n}") * ml, 2))
+    judged = [x for p in raters.values() for x in (F.col(f"_{p}.valid").alias(f"{p}_valid"), on_grid(f"_{p}").alias(f"{p}_same_grid"), volume(p, "ones").alias(f"{p}_wmh_ml"), volume(p, "twos").alias(f"{p}_other_ml"))]
+    figures = met.select(key, geometry(F.col("_image.shape"), "%d").alias("shape"), geometry(F.col("_image.spacing")).alias("voxel_mm"), F.col("_image.axcodes").alias("axcodes"), F.col("_image.dtype").alias("dtype"), "forms_agree", *judged, F.col("_mask").isNotNull().alias("defaced"), on_grid("_mask").alias("mask_same_grid"))
+
+    masks = images.where(F.col("kind") == defacing).select(key, F.col("data").alias("_m"))
+    both = masks.join(images.where(F.col("kind") == image).select(key, F.col("data").alias("_v")), key)
+    share = lambda test: F.try_divide(F.size(F.filter("_m", test)), F.size("_m"))
+    kept = F.forall(F.zip_with("_m", "_v", lambda m, v: (m != 0) | (v == 0)), lambda ok: F.coalesce(ok, F.lit(False)))
+    removed = both.groupBy(key).agg(F.min(F.struct(F.round(share(lambda m: (m > 0) & (m < 1)), 4).alias("partial"), F.round(share(lambda m: m == 0), 3).alias("removed"), kept.alias("zero"))).alias("_d"))
+    return figures.join(removed, key, "left").select(*figures.columns, F.col("_d.partial").alias("mask_partial_fraction"), F.col("_d.removed").alias("defaced_fraction"), F.col("_d.zero").alias("zero_where_defaced"))
+
+
 def covariates(subjects: DataFrame, biomarkers: DataFrame, reference: str, key: str) -> DataFrame:
     """subjects with log_wmh (log1p of the reference source's volume) and icv; nulls where there is none."""
     return R.lookup(subjects, biomarkers.where(F.col("source") == reference).select(key, F.log1p("wmh_ml").alias("log_wmh"), F.col("icv_ml").alias("icv")), key)

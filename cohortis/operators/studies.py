@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..functions.columns import named
 from ..sources.files import MissingInput
 from .tabular import first_n, robust_z
 from .voxel import kernel
@@ -50,6 +51,23 @@ def degradations(subjects: DataFrame, levels: dict[str, Sequence[float]]) -> Dat
     return subjects.crossJoin(F.broadcast(subjects.sparkSession.createDataFrame(cases, "artifact string, level double")))
 
 
+def robustness_cases(subjects: DataFrame, levels: dict[str, Sequence[float]], key: str = "participant_id") -> DataFrame:
+    """key, artifact, level_index, level, case: what a model is run on. A list of levels begins with the undegraded one, which is the
+    one case `none` for all artefacts, and needs no image of its own (case is null)."""
+    listed = [("none", 0, 0.0), *((a, i, float(v)) for a, values in levels.items() for i, v in enumerate(values) if i)]
+    # The levels are a stated list, so this product is as long as the subjects, times a few.
+    met = subjects.select(key).crossJoin(F.broadcast(subjects.sparkSession.createDataFrame(listed, "artifact string, level_index int, level double")))
+    case = F.when(F.col("level_index") > 0, named("{id}_{artifact}{index}", id=F.col(key), artifact=F.col("artifact"), index=F.col("level_index")))
+    return met.withColumn("case", case)
+
+
+def detected_by_class(cases: DataFrame, classes: Sequence[str] = ("check", "exclude")) -> DataFrame:
+    """artifact, level, n, n_detected, rate: degraded cases that the outlier classes find, the forest's included. cases: artifact, level,
+    qc_class; a case that wasn't classified counts as not found."""
+    found = F.coalesce(F.col("qc_class").isin(*classes), F.lit(False)).cast("int")
+    return cases.groupBy("artifact", "level").agg(F.count(F.lit(1)).alias("n"), F.sum(found).alias("n_detected"), F.avg(found).alias("rate"))
+
+
 def _noise(unit: np.ndarray, level: float, seed: int) -> np.ndarray:
     """Gaussian noise; level: its deviation."""
     return unit + np.random.default_rng(seed).normal(0, level, unit.shape)
@@ -196,6 +214,12 @@ def outcome(stage: str, found: DataFrame | None, wanted: DataFrame, key: str = "
     return met.withColumn("status", F.when(F.col("_found"), "done").otherwise("missing")).drop("_found")
 
 
+def accepted(found: DataFrame) -> DataFrame:
+    """outcome() whole: raises while it is run where a row is not `done`, so a batch that an external tool left half done isn't used."""
+    left = F.raise_error(F.format_string("not done: %s", F.to_json(F.struct("*"))))
+    return found.withColumn("status", F.when(F.col("status") == "done", F.col("status")).otherwise(left.cast("string")))
+
+
 def captured(measure: Callable[..., list[dict]]) -> Callable[..., list[dict]]:
     """measure, with a row that says `failed: ...` instead of an exception: one bad volume doesn't stop a cohort."""
 

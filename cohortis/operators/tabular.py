@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -244,6 +245,14 @@ def grid(spark, **axes: Sequence[float]) -> DataFrame:
     return out
 
 
+def steps(start: float, stop: float, step: float, digits: int = 3) -> list[float]:
+    """An axis of a grid: start, start + step, ... as far as stop, which counts where a rounding error parts it from a step."""
+    if step <= 0:
+        raise ValueError("a step is positive")
+    whole = math.floor((stop - start + 1e-9) / step)
+    return [round(start + i * step, digits) for i in range(whole + 1)]
+
+
 # -- sets and incremental maintenance --------------------------------------------------------------------------------
 
 

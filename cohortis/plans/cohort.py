@@ -204,3 +204,30 @@ p AS (SELECT *, 'x' AS plane FROM vox WHERE x = 2 UNION ALL SELECT *, 'y' FROM v
 SELECT vec_id, plane, i, coalesce(greatest(0, least(1, (v - lo) / nullif(hi - lo, 0))), 0) AS shade FROM p JOIN w USING (vec_id)""")
 def central_slices(spark, sf):
     return H.central_slices(voxels(spark, sf), ["vec_id"], SHAPE)
+
+
+#: Subject vec_id // 4: its image, two raters' labels and its mask are four cubes; every fifth subject's second rater is on another grid.
+_KINDS = {0: "image", 1: "one", 2: "two", 3: "mask"}
+
+
+@query("inventory", "subject:l shape voxel_mm axcodes dtype forms_agree a_valid a_same_grid a_wmh_ml:d a_other_ml:d b_valid b_same_grid b_wmh_ml:d defaced mask_same_grid mask_partial_fraction:d defaced_fraction:d zero_where_defaced", f"""
+WITH {VOX}, s AS (SELECT vec_id // 4 AS subject, vec_id % 4 AS kind, i, v, CASE WHEN v > 0.1 THEN 1 WHEN v < -0.1 THEN 2 ELSE 0 END AS l FROM vox),
+img AS (SELECT DISTINCT subject FROM s WHERE kind = 0),
+c AS (SELECT subject, kind, bool_and(kind = 1 OR v < 0.3) AS valid, round(count(*) FILTER (WHERE l = 1) * 0.003, 2) AS ones, round(count(*) FILTER (WHERE l = 2) * 0.003, 2) AS twos FROM s WHERE kind IN (1, 2) GROUP BY 1, 2),
+d AS (SELECT m.subject, round(avg(CASE WHEN m.l = 0 THEN 1.0 ELSE 0.0 END), 4) AS partial, round(avg(CASE WHEN m.l = 2 THEN 1.0 ELSE 0.0 END), 3) AS removed, bool_and(m.l <> 2 OR im.v = 0) AS zero
+  FROM s m JOIN s im ON im.subject = m.subject AND im.i = m.i AND im.kind = 0 WHERE m.kind = 3 GROUP BY 1)
+SELECT img.subject, '4x4x4' AS shape, '1.00x1.00x3.00' AS voxel_mm, 'RAS' AS axcodes, 'float32' AS dtype, true AS forms_agree,
+  a.valid AS a_valid, CASE WHEN a.subject IS NOT NULL THEN true END AS a_same_grid, CASE WHEN a.valid THEN a.ones END AS a_wmh_ml, CASE WHEN a.valid THEN a.twos END AS a_other_ml,
+  b.valid AS b_valid, CASE WHEN b.subject IS NOT NULL THEN img.subject % 5 <> 0 END AS b_same_grid, CASE WHEN b.valid THEN b.ones END AS b_wmh_ml,
+  d.subject IS NOT NULL AS defaced, CASE WHEN d.subject IS NOT NULL THEN true END AS mask_same_grid, d.partial AS mask_partial_fraction, d.removed AS defaced_fraction, d.zero AS zero_where_defaced
+FROM img LEFT JOIN c a ON a.subject = img.subject AND a.kind = 1 LEFT JOIN c b ON b.subject = img.subject AND b.kind = 2 LEFT JOIN d ON d.subject = img.subject""")
+def inventory(spark, sf):
+    c = cubes(spark, sf).select((F.floor(F.col("vec_id") / 4)).cast("long").alias("subject"), (F.col("vec_id") % 4).alias("k"), F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair]), F.col("k").cast("int"))
+    label = lambda v: F.when(v > 0.1, 1.0).when(v < -0.1, 2.0).otherwise(0.0)
+    # The second rater's labels are not whole where the cube is high, the mask is 1, partly 1, or 0.
+    data = F.when(F.col("k") == 0, F.col("v")).when(F.col("k") == 1, F.transform("v", label)).when(F.col("k") == 2, F.transform("v", lambda v: F.when(v >= 0.3, 0.5).otherwise(label(v)))).otherwise(F.transform("v", lambda v: F.when(v > 0.1, 1.0).when(v < -0.1, 0.0).otherwise(0.5)))
+    off = (F.col("k") == 2) & (F.col("subject") % 5 == 0)
+    affine = F.array(*[F.when(off, F.lit(1.0)).otherwise(F.lit(0.0)) if i == 3 else F.lit(float(x)) for i, x in enumerate((1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 3, 0, 0, 0, 0, 1))])
+    images = c.select("subject", kind.alias("kind"), F.array(*map(F.lit, SHAPE)).alias("shape"), F.array(*map(F.lit, SPACING)).alias("spacing"), affine.alias("affine"), F.lit("RAS").alias("axcodes"), F.lit("float32").alias("dtype"), F.lit(True).alias("forms_agree"), data.alias("data"))
+    return H.inventory(images, "subject", "image", {"one": "a", "two": "b"}, "mask")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import named, subject_id
 from ..operators import studies as S
 from ..operators import tabular as R
 from .base import EV_SQL, QUALITY_SQL, SITES_SQL, evaluation, quality, query, sites, table
@@ -75,3 +76,37 @@ def mask_checks(spark, sf):
 def external_outcome(spark, sf):
     found = table(spark, sf, "labels").select(F.col("doc_id").alias("subject"), F.lit("m").alias("model"), F.col("quality").alias("mask"))
     return S.outcome("segmentation", found, table(spark, sf, "documents").select(F.col("doc_id").alias("subject")))
+
+
+@query("robustness_cases", "participant:l artifact level_index:l level:d case", f"""
+WITH {SITES_SQL}, g(artifact, level_index, level) AS (VALUES ('none', 0, 0.0), ('noise', 1, 0.1), ('noise', 2, 0.2), ('bias', 1, 0.5))
+SELECT participant, artifact, level_index, level, CASE WHEN level_index > 0 THEN participant || '_' || artifact || level_index END AS case FROM sites, g WHERE NOT seen""")
+def robustness_cases(spark, sf):
+    return S.robustness_cases(sites(spark, sf).where("not seen"), {"noise": [0.0, 0.1, 0.2], "bias": [0.0, 0.5]}, "participant")
+
+
+@query("detected_by_class", "artifact level:d n:l n_detected:l rate:d", f"""
+WITH {QUALITY_SQL}, c AS (SELECT modality, CASE WHEN snr >= 30 THEN 'exclude' WHEN snr >= 26 THEN 'check' WHEN snr >= 20 THEN 'usable' END AS qc_class FROM q WHERE modality <> 'N')
+SELECT modality AS artifact, 1.0 AS level, count(*) AS n, count(*) FILTER (WHERE qc_class IN ('check', 'exclude')) AS n_detected,
+  avg(CASE WHEN qc_class IN ('check', 'exclude') THEN 1.0 ELSE 0.0 END) AS rate FROM c GROUP BY 1""")
+def detected_by_class(spark, sf):
+    q = quality(spark, sf).where("modality <> 'N'")
+    qc_class = F.when(F.col("snr") >= 30, "exclude").when(F.col("snr") >= 26, "check").when(F.col("snr") >= 20, "usable")
+    return S.detected_by_class(q.select(F.col("modality").alias("artifact"), F.lit(1.0).alias("level"), qc_class.alias("qc_class")))
+
+
+@query("threshold_axis", "t:d", """SELECT round(0.5 + i * 0.1, 3) AS t FROM range(31) r(i)""")
+def threshold_axis(spark, sf):
+    return R.grid(spark, t=R.steps(0.5, 3.5, 0.1))
+
+
+@query("file_plan", "from_path to_path", """
+SELECT 'sub-' || printf('%03d', o_custkey) || '/' || o_orderstatus AS from_path,
+  'anat/' || o_custkey || '_' || CASE o_orderstatus WHEN 'F' THEN 'FLAIR.nii.gz' WHEN 'O' THEN 'T1w.nii.gz' ELSE 'mask.nii.gz' END AS to_path
+FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders)""")
+def file_plan(spark, sf):
+    """A subject's files by kind, placed by each kind's own template."""
+    files = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("kind")).distinct()
+    place = lambda template: named(template, id=F.col("id"))
+    where = F.when(F.col("kind") == "F", place("anat/{id}_FLAIR.nii.gz")).when(F.col("kind") == "O", place("anat/{id}_T1w.nii.gz")).otherwise(place("anat/{id}_mask.nii.gz"))
+    return files.select(named("{subject}/{kind}", subject=subject_id(F.col("id")), kind=F.col("kind")).alias("from_path"), where.alias("to_path"))
