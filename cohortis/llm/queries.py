@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, licenses, quality, sharding, simhash, tokenshards, toxicity, urlfilter
+from . import ann, bpe, decontam, infill, licenses, mixture, quality, sharding, simhash, tokenshards, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [urlfilter.Rule("block", "net", "/"), urlfilter.Rule("allow", "example.net", "/en/"), urlfilter.Rule("block", "example.com", "/de/"), urlfilter.Rule("allow", "org", "/fr/")]
 
 
+#: Weights of sources in order, repeating.
+MIX_WEIGHTS = (5, 2, 1)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -86,6 +90,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op11_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixture.copies(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.infilled(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c, 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 #: Aliases too: components over canonical links and refreshes. The SQL resolves references without dot segments or a base
 #: element, and reads &amp; alone of the references to characters; the rest is for the tests.
 OP4_SQL = r"""
@@ -172,6 +187,46 @@ g AS (SELECT r, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names, max
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_licenses, coalesce(names, '') AS licenses, coalesce(share, 0.0) AS best_containment FROM d LEFT JOIN g USING (r)
 """
 
+#: Targets in closed form: in the order of limit over weight, the first source whose share is within its limit ends the capping.
+OP11_SQL = f"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    sha256('11:' || coalesce(CAST(doc_id AS VARCHAR), 'text:' || text, '')) AS x FROM documents),
+h AS (SELECT doc_id, source, size, CAST('0x' || substr(x, 1, 8) AS BIGINT) AS h, CAST('0x' || substr(x, 9, 8) AS BIGINT) | 1 AS step FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM h GROUP BY 1),
+w AS (SELECT *, (ARRAY[5, 2, 1])[1 + (row_number() OVER (ORDER BY source IS NULL, encode(coalesce(source, ''))) - 1) % 3] AS weight FROM s),
+o AS (
+  SELECT *, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS free,
+    row_number() OVER (ORDER BY CAST(source_size AS DOUBLE) / weight, source) AS place
+  FROM w WINDOW before AS (ORDER BY CAST(source_size AS DOUBLE) / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+stop AS (SELECT place, rest, free FROM o WHERE 3 * source_size * free >= rest * weight ORDER BY place LIMIT 1),
+t AS (
+  SELECT o.source, source_size, CASE WHEN f.place IS NULL OR o.place < f.place THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(f.rest AS DOUBLE) * weight / CAST(f.free AS DOUBLE) END AS target
+  FROM o LEFT JOIN stop f ON true),
+r AS (SELECT *, coalesce(target / nullif(source_size, 0), 0.0) AS rate FROM t),
+k AS (
+  SELECT h.*, source_size, target, seed, CAST(floor(rate) AS BIGINT) + CAST((h + seed * step) % 4294967296 < (rate - floor(rate)) * 4294967296.0::DOUBLE AS BIGINT) AS copies
+  FROM h JOIN r ON h.source IS NOT DISTINCT FROM r.source CROSS JOIN (SELECT unnest(range({mixture.SEEDS})) AS seed)),
+best AS (
+  SELECT source, arg_min(seed, (off, seed)) AS seed FROM (SELECT source, seed, abs(CAST(sum(copies * size) AS DOUBLE) - any_value(target)) AS off FROM k GROUP BY 1, 2) GROUP BY 1)
+SELECT doc_id, size, source_size, target, copies * size AS taken, k.source, copies FROM k JOIN best ON k.source IS NOT DISTINCT FROM best.source AND k.seed = best.seed
+"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || substr(x, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(x, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(x, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(x, 25, 8) AS BIGINT) AS h4 FROM d),
+f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+c AS (SELECT doc_id, n, form, text, coalesce(array_to_string(u[1 : a], ''), '') AS p, coalesce(array_to_string(u[a + 1 : b], ''), '') AS m, coalesce(array_to_string(u[b + 1 : n], ''), '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(p || m || s) AS restored_sha256
+FROM c
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op2_license_scan": op2_license_scan,
@@ -183,6 +238,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
+    "op11_mixture": op11_mixture,
+    "op12_infill": op12_infill,
 }
 
-ORACLES: dict[str, str] = {"op2_license_scan": OP2_SQL, "op4_url_filter": OP4_SQL, "op6_decontamination": OP6_SQL}
+ORACLES: dict[str, str] = {"op2_license_scan": OP2_SQL, "op4_url_filter": OP4_SQL, "op6_decontamination": OP6_SQL, "op11_mixture": OP11_SQL, "op12_infill": OP12_SQL}
