@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -24,6 +25,20 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.config(map=CONF | {k.replace("__", "."): str(v) for k, v in conf.items()}).getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a temporary one if they are one
+    process (tests); on a cluster it raises."""
+    sc = spark.sparkContext
+    told = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if told is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        told = getattr(sc, "_cohortis_base_dir", None)
+        if told is None:
+            told = sc._cohortis_base_dir = f"file://{tempfile.mkdtemp(prefix='cohortis-base-')}"
+    return told.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers once per application, so that executors need no copy of the repository."""
     sc = spark.sparkContext
