@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,7 @@ _ODD = re.compile(f"[{''.join(HOMOGLYPHS)}]|{_INVISIBLE.pattern}|{_WIDE.pattern}
 _HAS_LEET = re.compile("[013457@$]")
 _MIXED = re.compile(r"[^\W\d_]+[013457@$][\w@$]*|[013457@$]+[^\W\d_][\w@$]*")
 _LEET = str.maketrans(LEET)
+_GAP = re.compile(r"[ \n]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -105,18 +108,48 @@ class Model:
             weight = max(kinds.get("stem", 0.0), kinds.get("word", 0.0) if whole else 0.0)
             if weight and weight >= best.get(begin, (0, 0.0))[1]:
                 best[begin] = (end, weight)
-        return [(a, b, w) for a, (b, w) in best.items() if not any(x <= a and b <= y for x, y in spared)]
+        # A hit is spared if a phrase that begins no later ends no earlier: the farthest end so far tells.
+        spared.sort()
+        begins, ends = [a for a, _ in spared], [*accumulate((b for _, b in spared), max)]
+        return [(a, b, w) for a, (b, w) in best.items() if not (n := bisect_right(begins, a)) or ends[n - 1] < b]
+
+    def _parts(self, text: str) -> Iterator[tuple[str, str, str]]:
+        """A text cut at spaces and line ends: what a part may need of the words before it, the part, and of the words after it.
+        Phrases are whole words with one space between, so as many words as the longest has are enough."""
+        words = max((e.count(" ") for e in (*self.words, *self.stems, *self.exceptions)), default=0) + 2
+
+        def back(at: int) -> int:
+            for _ in range(words):
+                at = max(text.rfind(" ", 0, at), text.rfind("\n", 0, at))
+                if at < 0:
+                    return 0
+            return at
+
+        def on(at: int) -> int:
+            for _ in range(words):
+                found = _GAP.search(text, at + 1)
+                if not found:
+                    return len(text)
+                at = found.start()
+            return at
+
+        begin = 0
+        while begin < len(text):
+            gap = _GAP.search(text, begin + common.PIECE)
+            end = gap.start() if gap else len(text)
+            yield text[back(begin) : begin] if begin else "", text[begin:end], text[end : on(end)]
+            begin = end
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """log1p of the summed weights, of the same for each 100 words, and of the hits; zeros for a null or empty text."""
         if not text:
             return 0.0, 0.0, 0.0
-        text = folded(text)
-        hits = self.hits(text)
-        if not hits:
-            return 0.0, 0.0, 0.0
-        total = sum(w for _, _, w in hits)
-        return math.log1p(total), math.log1p(100 * total / (text.count(" ") + text.count("\n") + 1)), math.log1p(len(hits))
+        total, n, gaps = 0.0, 0, 0
+        for before, part, after in [("", text, "")] if len(text) <= common.PIECE else self._parts(text):
+            before, part = folded(before), folded(part)
+            own = [w for a, _, w in self.hits(f"{before}{part}{folded(after)}" if before or after else part) if 0 <= a - len(before) < len(part)]
+            total, n, gaps = total + sum(own), n + len(own), gaps + part.count(" ") + part.count("\n")
+        return (math.log1p(total), math.log1p(100 * total / (gaps + 1)), math.log1p(n)) if n else (0.0, 0.0, 0.0)
 
     def score(self, text: str | None) -> float:
         x = self.curve[0] + sum(c * f for c, f in zip(self.curve[1:], self.features(text), strict=True))
@@ -199,7 +232,8 @@ def _stems(size: int) -> Column:
 
 def score_udf(spark, model: Model):
     """An Arrow function of a text: its score, 0 to 1. A null text scores as an empty one, which is the curve's least; repeated
-    texts score alike; an empty table stays empty. A text is scored whole, one at a time, whatever its length."""
+    texts score alike; an empty table stays empty. A text is scored whole, whatever its length: a long one in parts of a million
+    characters, in time that grows with its length."""
     common.ship(spark)
     told = spark.sparkContext.broadcast(model)  # its size is bounded in train()
 
