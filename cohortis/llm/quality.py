@@ -35,6 +35,8 @@ _KIND[[ord(c) for c in ".,;:'\"-()?"]] = 5
 
 def features(text: bytes) -> list[float]:
     """FEATURES of a text in UTF-8; all 0 for one without words."""
+    if len(text) > common.PIECE:
+        return _features_of_long(text)
     words = text.split()
     n = len(words)
     if not n:
@@ -61,6 +63,46 @@ def features(text: bytes) -> list[float]:
     ]
 
 
+def _different(found: list[np.ndarray]) -> int:
+    codes = np.concatenate(found)
+    codes.sort()
+    return int((codes[1:] != codes[:-1]).sum()) + 1
+
+
+def _features_of_long(text: bytes, most: int = common.PIECE) -> list[float]:
+    """features() of a long text, piece by piece: words and lines are told apart by 64-bit hashes."""
+    import xxhash
+
+    digest, gaps = xxhash.xxh64_intdigest, np.ones(256, dtype=np.uint8)
+    gaps[[9, 10, 11, 12, 13, 32]] = 0
+    n = doubled = upper = 0
+    kinds, words_seen, lines_seen, n_lines = np.zeros(6, dtype=np.int64), [], [], 0
+    for begin, end, shared in common.pieces(text, gaps, 1, most):
+        words = text[begin:end].split()
+        n += len(words) - shared
+        doubled += sum(map(bytes.__eq__, words, words[1:]))  # the shared word meets the next here, and was met before there
+        words_seen.append(np.unique(np.fromiter((digest(w) for w in words), dtype=np.uint64, count=len(words))))
+    if not n:
+        return [0.0] * len(FEATURES)
+    start, raw = 0, np.frombuffer(text, dtype=np.uint8)
+    for begin in range(0, len(text), most):
+        part = raw[begin : begin + most + 1]
+        kinds += np.bincount(_KIND[part[:most]], minlength=6)
+        upper += int(((part[:-1] == 0xC3) & (part[1:] >= 0x80) & (part[1:] <= 0x9E)).sum())
+        own = []
+        for at in (np.flatnonzero(part[:most] == 10) + begin).tolist():
+            own.append(digest(text[start:at]))
+            start = at + 1
+        n_lines += len(own)
+        lines_seen.append(np.unique(np.array(own, dtype=np.uint64)))
+    lines_seen.append(np.array([digest(text[start:])], dtype=np.uint64))
+    n_lines, letters, seen = n_lines + 1, max(1, int(kinds[1] + kinds[2])), int(len(text) - kinds[4]) or 1
+    return [
+        float(np.log1p(n)), float((kinds[2] + upper) / letters), float(kinds[3] / seen), float(kinds[0] / seen), float(kinds[5] / seen), doubled / n,
+        _different(words_seen) / n**0.8, seen / n, 1 - _different(lines_seen) / n_lines,
+    ]
+
+
 @dataclass
 class Classifier:
     """Standardisation, coefficients (intercept first), and the training data's log odds, which evidence leaves out."""
