@@ -181,7 +181,11 @@ class Words:
         return at, mixed(h[at])
 
 
-def pieces(text: bytes, table: np.ndarray, overlap: int, most: int = 1 << 20) -> Iterator[tuple[int, int, int]]:
+#: Bytes of a piece of a long text.
+PIECE = 1 << 20
+
+
+def pieces(text: bytes, table: np.ndarray, overlap: int, most: int = PIECE) -> Iterator[tuple[int, int, int]]:
     """(begin, end, shared) of the pieces of a text, about `most` bytes each, cut between words by the table. A piece begins
     with the last `overlap` (at least 1) words of the one before, shared of them; the first shares none. A piece of too few
     words is made larger."""

@@ -59,6 +59,23 @@ def sets_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return doc[fresh], code[fresh]
 
 
+def codes_of(text: bytes, most: int = common.PIECE) -> np.ndarray:
+    """The different shingles of one text, in order. A long text is read in pieces that share four words."""
+    if len(text) <= most:
+        return sets_of([text])[1]
+    found = []
+    for begin, end, _ in common.pieces(text, _table(), SHINGLE - 1, most):
+        found.append(np.unique(common.Words([text[begin:end]], _table()).windows(SHINGLE)[1]))
+    codes = np.concatenate(found)
+    del found
+    if not len(codes):  # a few words, of which one at least is very long
+        return sets_of([text])[1]
+    codes.sort()
+    fresh = np.ones(len(codes), dtype=bool)
+    np.not_equal(codes[1:], codes[:-1], out=fresh[1:])
+    return codes[fresh]
+
+
 def _majorities(code: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """SimHashes of n sets: a bit is 1 if set in over half of the set's codes. owner: of each code its set."""
     out, bits = np.zeros(n, dtype=np.uint64), np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int32)
@@ -93,9 +110,41 @@ def sketches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return node, size, prints, keys
 
 
+def sketch_of_long(text: bytes, most: int = common.PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """sketches() of one text. Digest, bits and minima are added up over runs of the codes of its pieces."""
+    codes, run = codes_of(text, most), max(1, most >> 3)
+    n, total = len(codes), np.zeros(1, dtype=np.uint64)
+    counts, least = np.zeros(64, dtype=np.int64), np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
+    for begin in range(0, n, run):
+        part = codes[begin : begin + run]
+        total += common.mixed(part + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64, keepdims=True)
+        counts += np.array([int(((part >> np.uint64(i)) & np.uint64(1)).sum()) for i in range(64)], dtype=np.int64)
+        short = (part >> np.uint64(32)).astype(np.uint32)
+        least = np.minimum(least, np.array([(short * f).min() for f in _FACTORS], dtype=np.uint32))
+    prints = np.array([sum(1 << i for i in range(64) if 2 * counts[i] > n)], dtype=np.uint64)
+    keys = np.zeros((1, BANDS), dtype=np.uint64)
+    for band in range(BANDS if n else 0):
+        h = np.full(1, band + 1, dtype=np.uint64)
+        for minimum in least[band * ROWS : (band + 1) * ROWS]:
+            h = common.mixed(h * np.uint64(0x9E3779B97F4A7C15) + minimum.astype(np.uint64))
+        keys[0, band] = h[0]
+    node = common.mixed(total + np.uint64(n)) if n else total
+    return node, np.array([n]), prints, keys
+
+
 def similarities(left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """The Jaccard similarity of each pair of texts; 1 for two without words."""
+    """The Jaccard similarity of each pair of texts; 1 for two without words. A pair with a long text is compared by itself, from
+    sets that are made piece by piece."""
     out = np.ones(len(left))
+    long = [i for i, (a, b) in enumerate(zip(left, right, strict=True)) if max(len(a), len(b)) > common.PIECE]
+    if long:
+        short = [i for i in range(len(left)) if i not in set(long)]
+        out[short] = similarities([left[i] for i in short], [right[i] for i in short])
+        for i in long:
+            a, b = codes_of(left[i]), codes_of(right[i])
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            out[i] = both / max(1, len(a) + len(b) - both)
+        return out
     for begin, end in common.slices([a + b for a, b in zip(left, right, strict=True)]):
         n = end - begin
         doc, code = sets_of([*left[begin:end], *right[begin:end]])
@@ -116,7 +165,8 @@ def sketched(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = common.text_bytes(batch.column(2))
             for begin, end in common.slices(texts):
-                node, size, prints, keys = sketches(texts[begin:end])
+                long = end - begin == 1 and len(texts[begin]) > common.PIECE
+                node, size, prints, keys = sketch_of_long(texts[begin]) if long else sketches(texts[begin:end])
                 lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, end - begin) for i in (0, 1)), pa.array(node.view(np.int64)), pa.array(size.astype(np.int64)), pa.array(prints.view(np.int64)), lists], ["doc_id", "text_hash", "node", "size", "print", "keys"])
         common.tidy()
@@ -225,6 +275,9 @@ def _sets(texts: DataFrame) -> DataFrame:
         for batch in batches:
             raw = common.text_bytes(batch.column(1))
             for begin, end in common.slices(raw):
+                if end - begin == 1 and len(raw[begin]) > common.PIECE:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, 1), pa.array([codes_of(raw[begin]).tobytes()], pa.binary())], ["node", "codes"])
+                    continue
                 doc, code = sets_of(raw[begin:end])
                 cuts = np.searchsorted(doc, np.arange(end - begin + 1))
                 codes = pa.array([code[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())

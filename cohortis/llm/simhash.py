@@ -40,19 +40,19 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BITS = None
 
 
-def fingerprint(text: bytes) -> int:
-    """SimHash of a text in UTF-8: A-Z lower-cased, words between ASCII white space, XXH64 (seed 42) of each run of four
-    words, repeats included; fewer words: the whole sequence; none: 0. A bit is 1 if set in over half the hashes."""
+def _words_table() -> np.ndarray:
+    """Byte -> nonzero, but for the white space between words."""
+    table = np.ones(256, dtype=np.uint8)
+    table[[9, 10, 11, 12, 13, 32]] = 0
+    return table
+
+
+def _set_bits(words: list[bytes]) -> np.ndarray:
+    """For each bit the number of shingles of the words whose hash has it set."""
     import xxhash
 
     global _BITS
-    words = text.translate(_LOWER).split()
-    if not words:
-        return 0
-    n = len(words)
-    digest = xxhash.xxh64_digest
-    if n <= SHINGLE:
-        return int.from_bytes(digest(b" ".join(words), SEED), "big")
+    digest, n = xxhash.xxh64_digest, len(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=n) + 1)
     joined = b" ".join(words)
     begins = [0, *ends[: n - SHINGLE].tolist()]
@@ -63,7 +63,25 @@ def fingerprint(text: bytes) -> int:
     counts = np.empty(64, dtype=np.int64)
     for i in range(8):
         counts[8 * i : 8 * i + 8] = np.bincount(each[:, i], minlength=256) @ _BITS
-    return int.from_bytes(np.packbits(2 * counts > n - SHINGLE + 1).tobytes(), "big")
+    return counts
+
+
+def fingerprint(text: bytes, most: int = common.PIECE) -> int:
+    """SimHash of a text in UTF-8: A-Z lower-cased, words between ASCII white space, XXH64 (seed 42) of each run of four
+    words, repeats included; fewer words: the whole sequence; none: 0. A bit is 1 if set in over half the hashes. Longer
+    texts are read in pieces of about `most` bytes that share three words, and their counts added."""
+    import xxhash
+
+    counts, total = np.zeros(64, dtype=np.int64), 0
+    for begin, end, _ in common.pieces(text, _words_table(), SHINGLE - 1, most) if len(text) > most else [(0, len(text), 0)]:
+        words = text[begin:end].translate(_LOWER).split()
+        if len(words) < SHINGLE:
+            if not begin:
+                return int.from_bytes(xxhash.xxh64_digest(b" ".join(words), SEED), "big") if words else 0
+            continue  # only what the piece before has had
+        counts += _set_bits(words)
+        total += len(words) - SHINGLE + 1
+    return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
 
 
 def signed(x: int) -> int:
@@ -350,4 +368,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     one = one.join(kept, same, "left_semi")
     if repeats:
         one = one.dropDuplicates(["__cohortis_id", "__cohortis_text"])
-    return one.select(*docs.columns)
+    # Names of its own: a self-join that kept the attributes of docs could not be compared with docs again.
+    return one.select(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
