@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -156,3 +156,53 @@ def elastix_parameters(text: Column, name: str) -> Column:
 def utc_stamp(ts: Column) -> Column:
     """ISO 8601 to the second, for a session in UTC."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+# The published coefficients of Wichura's AS 241 (numerator, denominator), for the middle, the tails, the far tails.
+QUANTILE_MIDDLE = (
+    (3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3),
+    (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3, 2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3),
+)
+QUANTILE_TAIL = (
+    (1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0, 1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+    (1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1, 1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9),
+)
+QUANTILE_FAR = (
+    (6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1, 2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+    (1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2, 7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15),
+)
+
+
+def with_normal_quantiles(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with the standard normal's quantile of each column, by its name, for 0 < p < 1; in the JVM. In steps, so that what the
+    polynomials share is computed once and generated code stays short."""
+    parts = df.withColumns({f"__p_{n}": c for n, c in columns.items()})
+    parts = parts.withColumns({f"__r_{n}": F.sqrt(-F.log(F.least(F.col(f"__p_{n}"), 1 - F.col(f"__p_{n}")))) for n in columns})
+    made = parts.withColumns({n: _normal_quantile(F.col(f"__p_{n}"), F.col(f"__r_{n}")) for n in columns})
+    return made.drop(*[f"__{x}_{n}" for n in columns for x in "pr"])
+
+
+def _normal_quantile(p: Column, r: Column) -> Column:
+
+    def ratio(coefficients, t: Column) -> Column:
+        top, bottom = (F.lit(c[-1]) for c in coefficients)
+        for a, b in zip(*(reversed(c[:-1]) for c in coefficients), strict=True):
+            top, bottom = top * t + a, bottom * t + b
+        return top / bottom
+
+    q = p - 0.5
+    tail = F.when(r <= 5, ratio(QUANTILE_TAIL, r - 1.6)).otherwise(ratio(QUANTILE_FAR, r - 5))
+    return F.when(F.abs(q) <= 0.425, q * ratio(QUANTILE_MIDDLE, 0.180625 - q * q)).otherwise(F.signum(q) * tail)
+
+
+def normal_quantile_sql(p: str) -> str:
+    """The same as an SQL expression."""
+
+    def ratio(coefficients, t: str) -> str:
+        top, bottom = (repr(c[-1]) for c in coefficients)
+        for a, b in zip(*(reversed(c[:-1]) for c in coefficients), strict=True):
+            top, bottom = f"({top} * {t} + {a!r})", f"({bottom} * {t} + {b!r})"
+        return f"{top} / {bottom}"
+
+    q, r = f"({p} - 0.5e0)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    return f"CASE WHEN abs{q} <= 0.425e0 THEN {q} * {ratio(QUANTILE_MIDDLE, f'(0.180625e0 - {q} * {q})')} WHEN {r} <= 5 THEN sign{q} * {ratio(QUANTILE_TAIL, f'({r} - 1.6e0)')} ELSE sign{q} * {ratio(QUANTILE_FAR, f'({r} - 5)')} END"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.columns import from_scale, geometry, on_scale, qc_class, same_grid, valid_labels, voxel_volume
+from ..session import written
 from . import ml, stats
 from . import tabular as R
 from .voxel import kernel
@@ -96,7 +97,7 @@ def classified(badness: DataFrame, key: str, position: Column, check: float = 3.
     top = R.worst(badness, [key], "z", "name", position).withColumnsRenamed({"max_value": "max_z", "worst": "worst_metric"})
     names = sorted(r.name for r in badness.select("name").distinct().collect())  # judged measures, a stated list
     wide = R.wide(badness.join(top.where("max_z is not null").select(key), key, "left_semi"), [key], "name", names, "z")
-    wide = wide.persist()  # a row for each subject, read again for the fit, the cut and the scores
+    wide = written(wide, "badness")  # a row for each subject, read again for the fit, the cut and the scores
     forest = ml.isolation_forest(wide.withColumnsRenamed({n: f"z_{i}" for i, n in enumerate(names)}), key, [f"z_{i}" for i in range(len(names))], trees, contamination, seed)
     met = top.join(forest.select(key, "iforest_score", "iforest_outlier"), key, "left").withColumn("iforest_outlier", F.coalesce("iforest_outlier", F.lit(False)))
     return met.withColumn("qc_class", qc_class(F.col("max_z"), F.col("iforest_outlier"), F.col("max_z").isNotNull(), check, exclude))

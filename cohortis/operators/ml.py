@@ -1,7 +1,7 @@
 """Models over feature tables: outlier forest, ComBat, and the cross-validated site classifier.
 
-Cohort tables are small by nature (a row for each subject), so a model is fitted in one task or on the driver from a
-stated bound of rows, and scored wherever the rows are.
+The forest learns from samples of all rows, a tree a task; ComBat from sums over all rows; the classifier from a stated bound of
+labelled rows. All are applied wherever the rows are.
 """
 
 from __future__ import annotations
@@ -11,41 +11,80 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..session import ship
+from . import scans
 from .quantiles import exact_quantile
 
 #: Rows that a model is fitted on, about (by a hash of their keys; all of them where there are fewer).
 MOST_ROWS = 100_000
 
 
-def _bounded(df: DataFrame, key: str, most: int) -> pd.DataFrame:
-    return _about(df, key, most).toPandas().sort_values(key)
-
-
 def _about(df: DataFrame, key: str, most: int) -> DataFrame:
     """All rows, or about `most`: those whose key's hash falls into their share. No sort; the same rows at every run."""
     n = df.count()
-    return df if n <= most else df.where(F.pmod(F.xxhash64(key), F.lit(n)) < most).limit(2 * most)
+    return df if n <= most else df.where(F.pmod(F.xxhash64(key), F.lit(n)) < most)
+
+
+def _samples(rows: DataFrame, trees: int, seed: int, share: float) -> DataFrame:
+    """(tree, hash, x): of each tree the rows of (id, x) whose hash is among the smallest `share` of all, one for each copy.
+
+    Equal rows are counted first and numbered as copies, so a hash never has many rows and every copy its own chance. What is left
+    is about that share of rows a tree, wherever they came from.
+    """
+    block = 1 << 16
+    once = rows.groupBy("id", "x").agg(F.count(F.lit(1)).alias("copies"))
+    blocks = once.select("id", "x", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / block))).alias("block"))
+    upto = F.least(F.col("copies"), (F.col("block") + 1) * block) - 1
+    each = blocks.select("x", F.explode(F.transform(F.sequence(F.col("block") * block, upto), lambda c: F.xxhash64("id", "x", c))).alias("copy"))
+    least = F.lit(min((1 << 63) - 1, -(1 << 63) + int(min(1.0, share) * (1 << 64))))
+    drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), t, F.col("copy")).alias("hash"))), lambda s: s["hash"] <= least)
+    return each.select("x", F.explode(drawn).alias("s")).select("s.tree", "s.hash", "x")
+
 
+def fitted_forest(rows: DataFrame, trees: int = 500, sample: int = 256, seed: int = 42) -> K.IsolationForest | None:
+    """A forest of rows (id, x array<double>), of all of which each tree has the `sample` with the smallest hashes of its own. The
+    same forest however the rows are partitioned. None for fewer than two rows.
 
-def isolation_forest(df: DataFrame, key: str, features: Sequence[str], trees: int = 500, contamination: float = 0.05, seed: int = 42, most: int = MOST_ROWS) -> DataFrame:
+    A tree is grown in a task from its own sample; the driver gets the trees, which are no larger than samples.
+    """
+    n = rows.count()
+    if n < 2:
+        return None
+    ship(rows.sparkSession)
+    size = min(sample, n)
+    # Ten standard deviations above the mean; if a tree still got too few, once more with twice the share.
+    share = (size + 10 * size**0.5 + 20) / n
+
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["x"].to_numpy())
+        first = np.lexsort((*x.T[::-1], pdf["hash"].to_numpy()))[:size]
+        tree = K.IsolationForest.grown(x[first], np.random.default_rng([seed, int(key[0])]))
+        return pd.DataFrame({"tree": [key[0]], "rows": [len(first)], "grown": [pickle.dumps(tree)]})
+
+    while True:
+        got = _samples(rows, trees, seed, share).groupBy("tree").applyInPandas(grow, "tree int, rows int, grown binary").collect()
+        if len(got) == trees and all(r.rows == size for r in got):
+            return K.IsolationForest([pickle.loads(bytes(r.grown)) for r in sorted(got, key=lambda r: r.tree)], size)
+        share *= 2
+
+
+def isolation_forest(df: DataFrame, key: str, features: Sequence[str], trees: int = 500, contamination: float = 0.05, seed: int = 42) -> DataFrame:
     """df with iforest_score (larger: more isolated) and iforest_outlier, the top `contamination` share of all rows.
-    Missing features count as 0; fewer than two rows: nulls."""
-    x = df.select(key, *[F.greatest(F.coalesce(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f) for f in features])
-    fit = _bounded(x, key, most)
-    if len(fit) < 2:
+    Missing features count as 0; fewer than two rows: nulls. Fitted on samples of all rows, scored wherever they are."""
+    of = F.array(*[F.greatest(F.coalesce(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in features])
+    forest = fitted_forest(df.select(F.col(key).alias("id"), of.alias("x")), trees, seed=seed)
+    if forest is None:
         return df.withColumns({"iforest_score": F.lit(None).cast("double"), "iforest_outlier": F.lit(None).cast("boolean")})
-    forest = K.IsolationForest(fit[[*features]].to_numpy(), trees, seed=seed)
     told = df.sparkSession.sparkContext.broadcast(forest)
 
     def scored(rows: pd.Series) -> pd.Series:
         return pd.Series(told.value.score(np.stack(rows.to_numpy())) if len(rows) else [], dtype=float)
 
     # A column function, so that rows keep all they have, whatever their keys are.
-    of = F.array(*[F.greatest(F.coalesce(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in features])
     scores = df.withColumn("iforest_score", F.pandas_udf(scored, "double")(of))
     cut = exact_quantile(scores, [], "iforest_score", 1 - contamination).first()["quantile"]
     return scores.withColumn("iforest_outlier", F.col("iforest_score") > cut)
@@ -53,8 +92,8 @@ def isolation_forest(df: DataFrame, key: str, features: Sequence[str], trees: in
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """fold 0 to k - 1, balanced in every class: rows of a class dealt round by the order of a seeded hash."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    at = scans.numbered(df, [label], [F.xxhash64(F.lit(seed), F.col(key)), key], "_at")
+    return at.withColumn("fold", ((F.col("_at") - 1) % k).cast("int")).drop("_at")
 
 
 def _combat_sums(df: DataFrame, features: Sequence[str], site: str, covariates: Sequence[str], part: str | None = None) -> dict:

@@ -1,7 +1,7 @@
-"""Agreement and inference: closed forms and rank tests as DataFrame aggregates, resampling as grouped pandas UDFs.
+"""Agreement and inference: closed forms, rank tests and the test of normality as DataFrame aggregates, resampling by parts.
 
-Rank tests send Python only a cell's sums. Resampling, and the test of normality, get one cell's values (a model, group and
-metric, a pair of models, ...) in a task, and draw in blocks.
+Tests send Python only a cell's sums; resampling, one part of a cell at a time (resample.py). So a cell (a model, group and
+metric, a pair of models, ...) may be of any size.
 """
 
 from __future__ import annotations
@@ -10,38 +10,19 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import kernels as K
-from ..functions.columns import on_scale
+from ..functions.columns import on_scale, with_normal_quantiles
+from . import resample, scans
 from .tabular import holm, mid_ranks
 
 
-def _cells(df: DataFrame, keys: Sequence[str], measure, schema: str) -> DataFrame:
-    """measure(group's pandas frame) -> dict, for each group of keys; schema: DDL of what measure returns."""
-    made = T.StructType([*[df.schema[k] for k in keys], *T.StructType.fromDDL(schema).fields])
-    names = [f.name for f in made.fields[len(keys) :]]
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        got = measure(pdf)
-        return pd.DataFrame([[*key, *[got.get(n) for n in names]]], columns=[f.name for f in made.fields])
-
-    return df.groupBy(*keys).applyInPandas(one, made)
-
-
 def _number(x: float) -> float | None:
     return None if x is None or np.isnan(x) else float(x)
 
 
-def seed_of(seed: int, cell: Sequence) -> np.random.Generator:
-    """A generator of a cell's own, so cells can be drawn anywhere and in any order."""
-    import zlib
-
-    return np.random.default_rng([seed, zlib.crc32("\x1f".join(map(str, cell)).encode())])
-
-
 # -- closed forms ----------------------------------------------------------------------------------------------------
 
 
@@ -67,15 +48,17 @@ def kruskal_h(df: DataFrame, group: str, value: str, keys: Sequence[str] = ()) -
     return out.withColumn("p", F.when(F.col("k") % 2 == 1, F.exp(-half) * series)).drop("_q", "_ties")
 
 
+def _icc(n: Column, d: Column, va: Column, vb: Column, c: Column) -> Column:
+    """ICC(A,1) of two ratings from their number, difference of means, (population) variances and covariance."""
+    msr, msc, mse = F.try_divide(n * (va + vb + 2 * c), 2 * (n - 1)), n * d * d / 2, F.try_divide(n * (va + vb - 2 * c), 2 * (n - 1))
+    return F.try_divide(msr - mse, msr + mse + 2 * (msc - mse) / n)
+
+
 def icc_a1(pairs: DataFrame, keys: Sequence[str] = (), x: str = "rater", y: str = "ref") -> DataFrame:
     """ICC(A,1) of two ratings a subject, from sums alone: one aggregation."""
-    n, a, b = F.count(F.lit(1)).cast("double"), F.col(x), F.col(y)
-    sums = pairs.where(a.isNotNull() & b.isNotNull()).groupBy(*keys).agg(n.alias("n"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.var_pop(a).alias("va"), F.var_pop(b).alias("vb"), F.covar_pop(a, b).alias("c"))
-    n, d = F.col("n"), F.col("ma") - F.col("mb")
-    msr = F.try_divide(n * (F.col("va") + F.col("vb") + 2 * F.col("c")), 2 * (n - 1))
-    msc = n * d * d / 2
-    mse = F.try_divide(n * (F.col("va") + F.col("vb") - 2 * F.col("c")), 2 * (n - 1))
-    return sums.withColumns({"_r": msr, "_c": msc, "_e": mse}).select(*keys, F.col("n").cast("long").alias("n"), F.try_divide(F.col("_r") - F.col("_e"), F.col("_r") + F.col("_e") + 2 * (F.col("_c") - F.col("_e")) / n).alias("icc"))
+    a, b = F.col(x), F.col(y)
+    sums = pairs.where(a.isNotNull() & b.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.var_pop(a).alias("va"), F.var_pop(b).alias("vb"), F.covar_pop(a, b).alias("c"))
+    return sums.select(*keys, "n", _icc(F.col("n").cast("double"), F.col("ma") - F.col("mb"), F.col("va"), F.col("vb"), F.col("c")).alias("icc"))
 
 
 def bland_altman(pairs: DataFrame, keys: Sequence[str] = (), x: str = "rater", y: str = "ref") -> DataFrame:
@@ -117,13 +100,13 @@ def _tie_sums(ranked: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return ranked.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_t")).groupBy(*keys).agg(F.sum(t**3 - t).alias("ties"), F.count(F.lit(1)).alias("distinct"))
 
 
-def signed_rank_sums(df: DataFrame, keys: Sequence[str], difference: str, large_groups: bool = False) -> DataFrame:
+def signed_rank_sums(df: DataFrame, keys: Sequence[str], difference: str) -> DataFrame:
     """keys, n (differences), n_signed (those that aren't zero), w_plus, ties, distinct. All in the JVM. Where every difference is
     about zero, none counts as signed."""
     d = F.col(difference).cast("double")
     all_ = df.select(*keys, F.when(~F.isnan(d), d).alias("_d"))
     whole = all_.groupBy(*keys).agg(F.count("_d").alias("n"), F.max(F.abs("_d")).alias("_top"))
-    ranked = mid_ranks(all_.where("_d <> 0").withColumn("_a", F.abs("_d")), "_a", keys, "_r", large_groups)
+    ranked = mid_ranks(all_.where("_d <> 0").withColumn("_a", F.abs("_d")), "_a", keys, "_r")
     sums = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("_w"))
     met = whole.join(sums, [*keys], "left").join(_tie_sums(ranked, keys, "_a"), [*keys], "left")
     some = F.coalesce(F.col("_top") > 1e-8, F.lit(False))
@@ -131,28 +114,28 @@ def signed_rank_sums(df: DataFrame, keys: Sequence[str], difference: str, large_
     return met.select(*keys, "n", F.when(some, F.col("_m")).otherwise(zero).alias("n_signed"), F.when(some, F.col("_w")).otherwise(0.0).alias("w_plus"), F.coalesce("ties", F.lit(0.0)).alias("ties"), F.coalesce("distinct", zero).alias("distinct"))
 
 
-def wilcoxon(df: DataFrame, keys: Sequence[str], difference: str, large_groups: bool = False) -> DataFrame:
+def wilcoxon(df: DataFrame, keys: Sequence[str], difference: str) -> DataFrame:
     """keys, n, p of the signed-rank test: ranks and sums by aggregates, only the tail of a few numbers in Python."""
-    sums = signed_rank_sums(df, keys, difference, large_groups)
+    sums = signed_rank_sums(df, keys, difference)
     tail = lambda n, m, w, ties, distinct: K.wilcoxon_p(int(n), int(m), w, ties, int(distinct))
     return sums.select(*keys, "n", _of_sums(tail, "n", "n_signed", "w_plus", "ties", "distinct").alias("p"))
 
 
-def rank_sums(df: DataFrame, keys: Sequence[str], value: str, side: str, large_groups: bool = False) -> DataFrame:
+def rank_sums(df: DataFrame, keys: Sequence[str], value: str, side: str) -> DataFrame:
     """keys, n_true, n_false, rank_sum (of the true side), ties, distinct. side: a boolean column; rows without one count for
     neither."""
     v = F.col(value).cast("double")
     every = df.select(*keys, F.when(~F.isnan(v), v).alias("_v"), F.col(side).alias("_side"))
-    ranked = mid_ranks(every.where("_v is not null and _side is not null"), "_v", keys, "_r", large_groups)
+    ranked = mid_ranks(every.where("_v is not null and _side is not null"), "_v", keys, "_r")
     sums = ranked.groupBy(*keys).agg(F.count_if("_side").alias("n_true"), F.count_if(~F.col("_side")).alias("n_false"), F.sum(F.when(F.col("_side"), F.col("_r")).otherwise(0.0)).alias("rank_sum"))
     met = every.select(*keys).distinct().join(sums, [*keys], "left").join(_tie_sums(ranked, keys, "_v"), [*keys], "left")
     zero = F.lit(0).cast("long")
     return met.select(*keys, *[F.coalesce(c, zero).alias(c) for c in ("n_true", "n_false")], *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("rank_sum", "ties")], F.coalesce("distinct", zero).alias("distinct"))
 
 
-def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, side: str, large_groups: bool = False) -> DataFrame:
+def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, side: str) -> DataFrame:
     """keys, n_true, n_false, p of the U-test, from rank_sums(). side: a boolean column that tells the two samples apart."""
-    sums = rank_sums(df, keys, value, side, large_groups)
+    sums = rank_sums(df, keys, value, side)
     tail = lambda n, m, r, ties, distinct: K.mann_whitney_p(int(n), int(m), r, ties, int(distinct))
     return sums.select(*keys, "n_true", "n_false", _of_sums(tail, "n_true", "n_false", "rank_sum", "ties", "distinct").alias("p"))
 
@@ -163,120 +146,189 @@ def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataF
     return h.select(*keys, "h", _of_sums(lambda x, k: K.chi2_tail(x, int(k) - 1), "h", "k").alias("p"))
 
 
-def shapiro(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return _cells(df.select(*keys, F.col(value).cast("double").alias("v")), keys, lambda g: {"n": int(g.v.notna().sum()), "p": _number(K.shapiro(g.v.to_numpy()))}, "n long, p double")
+def shapiro_sums(ranked: DataFrame, keys: Sequence[str], value: str, row: str, sizes: DataFrame) -> DataFrame:
+    """keys, n, w of Shapiro and Wilk's test, from rows numbered by value in their cell. sizes: keys, n.
+
+    W is the square of a weighted sum of the ordered values over their sum of squares. Weights are normal scores of the ranks but for
+    the two outermost on each side, which depend on n alone; so one aggregate has all that W needs.
+    """
+    x, i, n = F.col(value), F.col(row), F.col("n")
+    score = F.col("_score")
+    outer = F.when(n > 5, 2).otherwise(1)
+    at = lambda k: F.max(F.when(i == k, x))
+    scored = with_normal_quantiles(scans.beside(ranked, sizes, keys, "n"), _score=(i - 0.375) / (n + 0.25))
+    sums = scored.groupBy(*keys).agg(
+        F.first("n").alias("n"), F.sum(score * score).alias("_total"), F.sum(F.when((i > outer) & (i <= n - outer), score * x)).alias("_inner"), (F.var_pop(x) * F.count(x)).alias("_ss"),
+        at(1).alias("_x1"), at(2).alias("_x2"), at(n - 1).alias("_y2"), at(n).alias("_y1"),
+    )
+    n, total = F.col("n").cast("double"), F.col("_total")
+    sums = with_normal_quantiles(sums, _last=(n - 0.375) / (n + 0.25), _next=F.greatest(n - 1.375, F.lit(0.5)) / (n + 0.25))
+    u, last, next_ = 1 / F.sqrt(n), F.col("_last"), F.col("_next")
+    poly = lambda c: sum((F.lit(k) * F.pow(u, F.lit(float(p))) for p, k in enumerate(c) if k), F.lit(0.0))
+    sums = sums.withColumns({"_a1": last / F.sqrt(total) + poly(K.SHAPIRO_LAST), "_a2": next_ / F.sqrt(total) + poly(K.SHAPIRO_NEXT)})
+    a1, a2 = F.col("_a1"), F.col("_a2")
+    many, few = (total - 2 * last**2 - 2 * next_**2) / (1 - 2 * a1**2 - 2 * a2**2), (total - 2 * last**2) / (1 - 2 * a1**2)
+    ends = F.col("_y1") - F.col("_x1")
+    inner = F.coalesce("_inner", F.lit(0.0))
+    weighed = F.when(n == 3, F.sqrt(F.lit(0.5)) * ends).when(n > 5, inner / F.sqrt(many) + a1 * ends + a2 * (F.col("_y2") - F.col("_x2"))).otherwise(inner / F.sqrt(few) + a1 * ends)
+    w = F.when((n >= 3) & (ends > 0), F.least(F.lit(1.0), F.try_divide(weighed * weighed, F.col("_ss"))))
+    return sums.select(*keys, "n", w.alias("w"))
 
 
-# -- resampling ------------------------------------------------------------------------------------------------------
+def shapiro(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, n, w, p of the test of normality; null under three values or without spread. Only w and n reach Python."""
+    v = F.col(value).cast("double")
+    every = df.select(*keys, F.when(~F.isnan(v), v).alias("_v"))
+    sizes = every.groupBy(*keys).agg(F.count("_v").alias("n"))
+    ranked = scans.numbered(every.where("_v is not null"), keys, ["_v"], "_row")
+    w = shapiro_sums(ranked, keys, "_v", "_row", sizes)
+    met = scans.beside(sizes, w, keys, "w")
+    return met.select(*keys, "n", "w", _of_sums(lambda n, w: K.shapiro_p(int(n), w), "n", "w").alias("p"))
 
 
-def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str, stratum: str, order: str, n_boot: int = 2000, seed: int = 42) -> DataFrame:
-    """n, n_missing, mean and a percentile interval of the mean, resampled within strata. Each cell has a generator of
-    its own and is sorted first, so results don't depend on partitioning."""
-    keys = [*keys]
-    some = df.select(*keys, F.col(value).cast("double").alias("v"), F.col(stratum).alias("s"), F.col(order).alias("o"))
+# -- resampling ------------------------------------------------------------------------------------------------------
 
-    def one(g: pd.DataFrame) -> dict:
-        ok = g.dropna(subset=["v"]).sort_values(["s", "o"])
-        if ok.empty:
-            return {"n": 0, "n_missing": len(g), "mean": None, "low": None, "high": None}
-        low, high = K.interval(K.bootstrap_means(ok.v.to_numpy(), ok.s.to_numpy(), n_boot, seed_of(seed, g[keys].iloc[0])))
-        return {"n": len(ok), "n_missing": len(g) - len(ok), "mean": float(ok.v.mean()), "low": low, "high": high}
 
-    return _cells(some, keys, one, "n long, n_missing long, mean double, low double, high double")
+SCALES = ("log", "log1p", "raw")
 
 
-def sequential_ci(df: DataFrame, cells: Sequence[tuple[str, object]], metrics: Sequence[str], model: str, stratum: str, order: str, n_boot: int = 2000, seed: int = 42) -> DataFrame:
-    """As bootstrap_ci, with one generator that all cells draw from in turn: models in order, then `cells` (name, filter),
-    then metrics; empty cells draw nothing. One task: for published tables that fixed this order."""
+def _clean(c: Column) -> Column:
+    """A number, null for NaN."""
+    return F.when(~F.isnan(c.cast("double")), c.cast("double"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng, out = np.random.default_rng(seed), []
-        pdf = pdf.sort_values([model, order])
-        for name in pdf[model].drop_duplicates():
-            for label, query in cells:
-                part = pdf[pdf[model] == name]
-                part = part if query is None else part.query(query)
-                for metric in metrics:
-                    ok = part.dropna(subset=[metric])
-                    low = high = mean = None
-                    if len(ok):
-                        mean = float(ok[metric].mean())
-                        low, high = K.interval(K.bootstrap_means(ok[metric].to_numpy(), ok[stratum].to_numpy(), n_boot, rng))
-                    out.append([name, label, metric, len(ok), len(part) - len(ok), mean, low, high])
-        return pd.DataFrame(out, columns=["model", "group", "metric", "n", "n_missing", "mean", "low", "high"])
 
-    return df.groupBy().applyInPandas(run, "model string, group string, metric string, n long, n_missing long, mean double, low double, high double")
+def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str, stratum: str, order: str, n_boot: int = 2000, seed: int = 42) -> DataFrame:
+    """n, n_missing, mean and a percentile interval of the mean, resampled within strata. Draws are seeded by cell and part, so
+    results don't depend on partitioning."""
+    keys = [*keys]
+    some = df.select(*keys, _clean(F.col(value)).alias("v"), F.col(stratum).alias("s"), F.col(order).alias("o"))
+    sums = some.groupBy(*keys).agg(F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("n_missing"), F.avg("v").alias("mean"))
+    drawn = resample.means(some.where("v is not null"), keys, "v", "s", "o", n_boot, seed)
+    found = resample.intervals(drawn, keys, ci="_mean").withColumnsRenamed({"ci_from": "low", "ci_to": "high"})
+    return scans.beside(sums, found, keys, "low", "high")
 
 
 def paired_table(pairs: DataFrame, stratum: str, subject: str, n_boot: int = 2000, seed: int = 42) -> DataFrame:
     """From (family, a, b, metric, va, vb): n, means, mean difference with interval, signed-rank p, and Holm within family."""
     keys = ["family", "a", "b", "metric"]
-
-    def one(g: pd.DataFrame) -> dict:
-        g = g.dropna(subset=["va", "vb"]).sort_values([stratum, subject])
-        if g.empty:
-            return {"n": 0}
-        d = (g.va - g.vb).to_numpy(dtype=float)
-        low, high = K.interval(K.bootstrap_means(d, g[stratum].to_numpy(), n_boot, seed_of(seed, g[keys].iloc[0])))
-        return {"n": len(g), "mean_a": float(g.va.mean()), "mean_b": float(g.vb.mean()), "mean_diff": float(d.mean()), "low": low, "high": high, "p": _number(K.wilcoxon(d))}
-
-    return holm(_cells(pairs.select(*keys, stratum, subject, "va", "vb"), keys, one, "n long, mean_a double, mean_b double, mean_diff double, low double, high double, p double"), ["family"], "p", ["a", "b", "metric"])
+    every = pairs.select(*keys, F.col(stratum).alias("s"), F.col(subject).alias("o"), _clean(F.col("va")).alias("va"), _clean(F.col("vb")).alias("vb")).withColumn("d", F.col("va") - F.col("vb"))
+    both = F.col("d").isNotNull()
+    mean = lambda c: F.avg(F.when(both, F.col(c)))
+    sums = every.groupBy(*keys).agg(F.count("d").alias("n"), mean("va").alias("mean_a"), mean("vb").alias("mean_b"), F.avg("d").alias("mean_diff"))
+    found = resample.intervals(resample.means(every.where(both), keys, "d", "s", "o", n_boot, seed), keys, ci="_mean").withColumnsRenamed({"ci_from": "low", "ci_to": "high"})
+    met = scans.beside(scans.beside(sums, found, keys, "low", "high"), wilcoxon(every, keys, "d"), keys, "p")
+    return holm(met, ["family"], "p", ["a", "b", "metric"])
 
 
 def unpaired_table(long: DataFrame, keys: Sequence[str], side: str, stratum: str, subject: str, family: Sequence[str], n_boot: int = 2000, seed: int = 42) -> DataFrame:
     """Unseen less seen (side: whether seen) of (keys, value): means, difference with interval, U-test p, Holm in the family.
-    Cells with an empty side are left out; the seen side is drawn first."""
+    Cells with an empty side are left out; the sides are drawn apart."""
     keys = [*keys]
-
-    def one(g: pd.DataFrame) -> dict:
-        g = g.dropna(subset=["value"]).sort_values([stratum, subject])
-        s, u = g[g[side] == True], g[g[side] == False]  # noqa: E712
-        if s.empty or u.empty:
-            return {"n_seen": len(s), "n_unseen": len(u)}
-        rng = seed_of(seed, g[keys].iloc[0])
-        seen = K.bootstrap_means(s.value.to_numpy(), s[stratum].to_numpy(), n_boot, rng)
-        low, high = K.interval(K.bootstrap_means(u.value.to_numpy(), u[stratum].to_numpy(), n_boot, rng) - seen)
-        return {"n_seen": len(s), "n_unseen": len(u), "mean_seen": float(s.value.mean()), "mean_unseen": float(u.value.mean()), "diff": float(u.value.mean() - s.value.mean()), "low": low, "high": high, "p": _number(K.mann_whitney(u.value.to_numpy(), s.value.to_numpy()))}
-
-    cells = _cells(long.select(*keys, side, stratum, subject, F.col("value").cast("double").alias("value")), keys, one, "n_seen long, n_unseen long, mean_seen double, mean_unseen double, diff double, low double, high double, p double")
-    return holm(cells.where("n_seen > 0 and n_unseen > 0"), family, "p", keys)
-
-
-def agreement(pairs: DataFrame, keys: Sequence[str], kind: str, stratum: str, subject: str, n_boot: int = 2000, seed: int = 42, least: int = 3) -> DataFrame:
-    """ICC and limits of agreement of (rater, ref) on a scale (log, log1p or raw), with bootstrap intervals, the number left
-    out of the scale, and bias back on the ratio scale for log. Fewer than `least` subjects: counts only."""
+    some = long.select(*keys, F.col(side).alias("_side"), F.col(stratum).alias("s"), F.col(subject).alias("o"), _clean(F.col("value")).alias("v")).where("v is not null and _side is not null")
+    seen, unseen = F.when(F.col("_side"), F.col("v")), F.when(~F.col("_side"), F.col("v"))
+    sums = some.groupBy(*keys).agg(F.count(seen).alias("n_seen"), F.count(unseen).alias("n_unseen"), F.avg(seen).alias("mean_seen"), F.avg(unseen).alias("mean_unseen")).where("n_seen > 0 and n_unseen > 0")
+    sums = sums.withColumn("diff", F.col("mean_unseen") - F.col("mean_seen"))
+    drawn = resample.means(some, [*keys, "_side"], "v", "s", "o", n_boot, seed)
+    apart = drawn.groupBy(*keys, "_draw").agg((F.max(F.when(~F.col("_side"), F.col("_mean"))) - F.max(F.when(F.col("_side"), F.col("_mean")))).alias("_diff"))
+    found = resample.intervals(apart, keys, ci="_diff").withColumnsRenamed({"ci_from": "low", "ci_to": "high"})
+    met = scans.beside(scans.beside(sums, found, keys, "low", "high"), mann_whitney(some, keys, "v", "_side"), keys, "p")
+    return holm(met, family, "p", keys)
+
+
+def _scaled(c: Column, kind: str | Column) -> Column:
+    """A number on a scale, which may be a column's."""
+    if isinstance(kind, str):
+        return _clean(on_scale(c, kind))
+    out = F.when(kind == SCALES[0], on_scale(c, SCALES[0]))
+    for k in SCALES[1:]:
+        out = out.when(kind == k, on_scale(c, k))
+    return _clean(out)
+
+
+def agreement(pairs: DataFrame, keys: Sequence[str], kind: str | Column, stratum: str, subject: str, n_boot: int = 2000, seed: int = 42, least: int = 3, part: int = resample.PART) -> DataFrame:
+    """ICC and limits of agreement of (rater, ref) on a scale (one of SCALES, or a column that says which, one for a cell), with bootstrap
+    intervals, the number left out of the scale, and bias back on the ratio scale for log. Fewer than `least` subjects: counts only.
+
+    Rows are numbered by difference in their cell once. Of each resample, the ICC comes from sums over the parts, and a limit is the
+    value at two ranks (interpolated, as a percentile is), which the one part that holds them finds.
+    """
     keys = [*keys]
-    some = pairs.select(*keys, stratum, subject, on_scale(F.col("rater"), kind).alias("x"), on_scale(F.col("ref"), kind).alias("y"), (F.col("rater") - F.col("ref")).alias("raw"))
-
-    def one(g: pd.DataFrame) -> dict:
-        ok = g.dropna(subset=["x", "y"]).sort_values([stratum, subject])
-        out = {"n": len(ok), "n_excluded": len(g) - len(ok)}
-        if len(ok) < least:
-            return out
-        x, d = ok[["x", "y"]].to_numpy(dtype=float), (ok.x - ok.y).to_numpy(dtype=float)
-        index = K.stratified_indices(ok[stratum].to_numpy(), n_boot, seed_of(seed, g[keys].iloc[0]))
-        icc = np.array([K.icc_a1(x[i]) for i in index])
-        low, high = np.percentile(d[index], 2.5, axis=1), np.percentile(d[index], 97.5, axis=1)
-        out |= {"icc": _number(K.icc_a1(x)), "bias": float(d.mean()), "sd": float(d.std(ddof=1)), "loa_low": float(np.percentile(d, 2.5)), "loa_high": float(np.percentile(d, 97.5)), "shapiro_p": _number(K.shapiro(d)), "raw_diff": float(ok.raw.mean()), "ratio": float(np.exp(d.mean())) if kind == "log" else None}
-        for name, values in (("icc", icc), ("loa_low", low), ("loa_high", high)):
-            out[f"{name}_from"], out[f"{name}_to"] = (_number(v) for v in np.nanquantile(values, [0.025, 0.975]))
-        return out
-
-    columns = "icc icc_from icc_to bias sd loa_low loa_low_from loa_low_to loa_high loa_high_from loa_high_to shapiro_p raw_diff ratio"
-    return _cells(some, keys, one, "n long, n_excluded long, " + ", ".join(f"{c} double" for c in columns.split()))
-
-
-def bias_by_scanner(pairs: DataFrame, keys: Sequence[str], scanner: str, subject: str, kind: str, n_boot: int = 2000, seed: int = 42, least: int = 3) -> DataFrame:
-    """Mean difference on the scale in each scanner with at least `least` subjects, its interval, signed-rank p, Holm over all rows."""
+    q = (0.025, 0.975)
+    x, y = _scaled(F.col("rater"), kind), _scaled(F.col("ref"), kind)
+    every = pairs.select(*keys, F.coalesce(F.col(stratum).cast("string"), F.lit("\x00")).alias("_s"), F.col(subject).alias("_o"), x.alias("x"), y.alias("y"), (F.col("rater") - F.col("ref")).alias("raw"), (F.lit(kind) == "log").alias("_log"))
+    every = every.withColumns({"d": F.col("x") - F.col("y"), "_cell": resample.cell_name(keys)})
+    ok = F.col("d").isNotNull()
+    of = lambda f, c: f(F.when(ok, F.col(c)))
+    sums = every.groupBy("_cell", *keys).agg(F.count("d").alias("n"), F.count_if(~ok).alias("n_excluded"), of(F.avg, "x").alias("mx"), of(F.avg, "y").alias("my"), of(F.var_pop, "x").alias("vx"), of(F.var_pop, "y").alias("vy"), F.covar_pop(F.when(ok, F.col("x")), F.when(ok, F.col("y"))).alias("c"), F.avg("d").alias("bias"), F.stddev_samp("d").alias("sd"), of(F.avg, "raw").alias("raw_diff"), F.first("_log").alias("_log"))
+    enough = sums.where(F.col("n") >= least).select("_cell", "n", ((F.col("mx") + F.col("my")) / 2).alias("_mid"))
+    rows = scans.placed(every.where(ok).select("_cell", "_s", "_o", "x", "y", "d"), ["_cell"], ["d", "_s", "_o", "x"])
+    rows = scans.row_numbers(rows, ["_cell"], "_row").drop(scans.AT).join(enough, "_cell")
+    # Sums of values about the cell's middle, so that squares keep their digits.
+    u, v = F.col("x") - F.col("_mid"), F.col("y") - F.col("_mid")
+    dealt = rows.withColumns({"_part": F.floor((F.col("_row") - 1) / part), "_levels": resample.levels(F.ceil(F.col("n") / part)), "u": u, "v": v, "uu": u * u, "vv": v * v, "uv": u * v})
+    dealt = resample.with_paths(dealt)
+    by_part = resample.written(resample.draws(dealt, ["_o", "d"], ["u", "v", "uu", "vv", "uv"], n_boot, seed, by_part=True), "agreement-draws")
+    whole = by_part.groupBy("_cell", "_draw").agg(*[F.sum(c).alias(c) for c in ("_n", "u", "v", "uu", "vv", "uv")])
+    m = {c: F.col(c) / F.col("_n") for c in ("u", "v", "uu", "vv", "uv")}
+    icc = _icc(F.col("_n").cast("double"), m["u"] - m["v"], m["uu"] - m["u"] ** 2, m["vv"] - m["v"] ** 2, m["uv"] - m["u"] * m["v"])
+    # A percentile lies between two ranks, the same of every resample of a cell.
+    place = [(F.col("n") - 1) * p for p in q]
+    ends = F.array(*[F.struct(F.lit(i).alias("limit"), f(at).cast("long").alias("_rank"), (at - F.floor(at)).alias("_share"), F.lit(high).alias("high")) for i, at in enumerate(place) for high, f in ((False, F.floor), (True, F.ceil))])
+    wanted = enough.select("_cell", F.explode(ends).alias("e")).select("_cell", "e.*")
+    between = lambda value: F.max(F.when(~F.col("high"), F.col(value) * (1 - F.col("_share")))) + F.max(F.when(F.col("high"), F.col(value) * F.col("_share")))
+    found = resample.order_statistics(dealt, ["_o", "d"], "d", by_part, wanted.select("_cell", "_rank").distinct(), n_boot, seed)
+    limits = found.join(wanted, ["_cell", "_rank"]).groupBy("_cell", "_draw", "limit").agg(between("d").alias("at"))
+    limits = limits.groupBy("_cell", "_draw").agg(*[F.max(F.when(F.col("limit") == i, F.col("at"))).alias(f"loa_{w}") for i, w in enumerate(("low", "high"))])
+    spread = scans.beside(resample.intervals(whole.withColumn("icc", icc), ["_cell"], icc="icc"), resample.intervals(limits, ["_cell"], loa_low="loa_low", loa_high="loa_high"), ["_cell"], *[f"loa_{w}_{e}" for w in ("low", "high") for e in ("from", "to")])
+    own = rows.withColumn("_rank", F.col("_row") - 1).join(wanted, ["_cell", "_rank"]).groupBy("_cell", "limit").agg(between("d").alias("at"))
+    own = own.groupBy("_cell").agg(*[F.max(F.when(F.col("limit") == i, F.col("at"))).alias(f"loa_{w}") for i, w in enumerate(("low", "high"))])
+    w = shapiro_sums(rows.select("_cell", "d", "_row"), ["_cell"], "d", "_row", enough.select("_cell", "n")).select("_cell", "w")
+    met = sums.join(spread, "_cell", "left").join(own, "_cell", "left").join(w, "_cell", "left")
+    some = lambda c: F.when(F.col("n") >= least, c)
+    p = _of_sums(lambda n, w: K.shapiro_p(int(n), w), "n", "w")
+    whole_icc = _icc(F.col("n").cast("double"), F.col("mx") - F.col("my"), F.col("vx"), F.col("vy"), F.col("c"))
+    ratio = F.when(F.col("_log"), F.exp("bias"))
+    return met.select(
+        *keys, "n", "n_excluded", some(whole_icc).alias("icc"), "icc_from", "icc_to", some(F.col("bias")).alias("bias"), some(F.col("sd")).alias("sd"),
+        "loa_low", "loa_low_from", "loa_low_to", "loa_high", "loa_high_from", "loa_high_to", p.alias("shapiro_p"), some(F.col("raw_diff")).alias("raw_diff"), some(ratio).alias("ratio"),
+    )
+
+
+def biases(pairs: DataFrame, keys: Sequence[str], scanner: str, subject: str, kind: str | Column, n_boot: int = 2000, seed: int = 42, least: int = 3) -> DataFrame:
+    """Mean difference on the scale in each scanner with at least `least` subjects, its interval, and the signed-rank p."""
     keys = [*keys, scanner]
-    some = pairs.select(*keys, subject, (on_scale(F.col("rater"), kind) - on_scale(F.col("ref"), kind)).alias("d")).where("d is not null")
+    some = pairs.select(*keys, F.col(subject).alias("o"), (_scaled(F.col("rater"), kind) - _scaled(F.col("ref"), kind)).alias("d")).where("d is not null")
+    sums = some.groupBy(*keys).agg(F.count("d").alias("n"), F.avg("d").alias("bias")).where(F.col("n") >= least)
+    found = resample.intervals(resample.means(some, keys, "d", None, "o", n_boot, seed), keys, ci="_mean").withColumnsRenamed({"ci_from": "low", "ci_to": "high"})
+    return scans.beside(scans.beside(sums, found, keys, "low", "high"), wilcoxon(some, keys, "d"), keys, "p")
 
-    def one(g: pd.DataFrame) -> dict:
-        d = g.sort_values(subject).d.to_numpy(dtype=float)
-        if len(d) < least:
-            return {"n": len(d)}
-        low, high = K.interval(K.bootstrap_means(d, np.zeros(len(d)), n_boot, seed_of(seed, g[keys].iloc[0])))
-        return {"n": len(d), "bias": float(d.mean()), "low": low, "high": high, "p": _number(K.wilcoxon(d))}
 
-    return holm(_cells(some, keys, one, "n long, bias double, low double, high double, p double").where(F.col("n") >= least), [], "p", keys)
+def bias_by_scanner(pairs: DataFrame, keys: Sequence[str], scanner: str, subject: str, kind: str, n_boot: int = 2000, seed: int = 42, least: int = 3) -> DataFrame:
+    """biases() with Holm over all rows."""
+    return holm(biases(pairs, keys, scanner, subject, kind, n_boot, seed, least), [], "p", [*keys, scanner])
+
+
+def agreement_run(table: DataFrame, kinds: dict[str, str], reference: str, sources: Sequence[str] | None = None, only_in: dict[str, Sequence[str]] | None = None, subject: str = "participant_id", source: str = "source", scanner: str = "scanner", split: str = "split", n_boot: int = 2000, seed: int = 42, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(overall, by scanner) for every biomarker, split and source beside the reference source.
+
+    kinds: biomarker column -> its scale. sources: those that count (all). only_in: split -> the only sources that count there.
+    overall: split, rater_name, biomarker, what agreement() says, and Kruskal and Wallis's test of the differences between scanners, adjusted by Holm
+    over all of overall's tests. By scanner: biases(), adjusted by Holm over all rows of all biomarkers and sources.
+    """
+    named = ["split", "rater_name", "biomarker"]
+    long = table.select(F.col(subject).alias("subject"), F.col(scanner).alias("scanner"), F.col(split).alias("split"), F.col(source).alias("source"), *kinds)
+    long = long.unpivot(["subject", "scanner", "split", "source"], [*kinds], "biomarker", "value")
+    ref = long.where(F.col("source") == reference).select("subject", "split", "biomarker", F.col("value").alias("ref"))
+    pairs = long.where(F.col("source") != reference).select("subject", "scanner", "split", "biomarker", F.col("source").alias("rater_name"), F.col("value").alias("rater")).join(ref, ["subject", "split", "biomarker"])
+    if sources is not None:
+        pairs = pairs.where(F.col("rater_name").isin(*sources))
+    for part, own in (only_in or {}).items():
+        pairs = pairs.where((F.col("split") != part) | F.col("rater_name").isin(*own))
+    # One run over all biomarkers: each row knows its scale.
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("biomarker"))
+    # Differences that only a rounding error parts are ties.
+    d = pairs.select(*named, "scanner", F.round(_scaled(F.col("rater"), kind) - _scaled(F.col("ref"), kind), 12).alias("d"))
+    tested = holm(kruskal(d, named, "scanner", "d"), [], "p", named).withColumnsRenamed({"h": "h_site", "p": "p_site", "p_holm": "p_site_holm"})
+    overall = agreement(pairs, named, kind, "scanner", "subject", n_boot, seed, least)
+    by_scanner = biases(pairs, named, "scanner", "subject", kind, n_boot, seed, least)
+    return scans.beside(overall, tested, named, "h_site", "p_site", "p_site_holm"), holm(by_scanner, [], "p", [*named, "scanner"])

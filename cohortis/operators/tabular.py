@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
 from .quantiles import exact_quantile
 
 # -- summaries -------------------------------------------------------------------------------------------------------
@@ -121,13 +122,13 @@ def robust_z(df: DataFrame, group: Sequence[str], value: str, least: int = 1, ou
 
 
 def holm(df: DataFrame, family: Sequence[str], p: str, order: Sequence[str], out: str = "p_holm") -> DataFrame:
-    """Holm's adjusted p within each family: (m - k + 1) p by rank, running maximum, at most 1. Null p stay null."""
-    w = Window.partitionBy(*family, F.col(p).isNull())
-    at = F.row_number().over(w.orderBy(p, *order))
-    m = F.count(p).over(w)
-    raw = df.withColumn("_step", (m - at + 1) * F.col(p)).withColumn("_at", at)
-    top = F.max("_step").over(w.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
-    return raw.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), top))).drop("_step", "_at")
+    """Holm's adjusted p within each family: (m - k + 1) p by rank, running maximum, at most 1. Null p stay null. Families may
+    be of any size: ranks and maxima come from scans over ranges, m from an aggregate."""
+    rows = scans.row_numbers(scans.placed(df, family, [F.asc_nulls_last(p), *order]), family, "_at")
+    m = df.groupBy(*family).agg(F.count(p).alias("_m")) if family else df.agg(F.count(p).alias("_m"))
+    met = scans.beside(rows, m, family, "_m").withColumn("_step", (F.col("_m") - F.col("_at") + 1) * F.col(p))
+    top = scans.running_max(met, family, "_step", "_top")
+    return top.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), "_top"))).drop("_step", "_at", "_m", "_top", scans.AT)
 
 
 def first_n(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
@@ -137,13 +138,14 @@ def first_n(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int) -
 
 def block_folds(df: DataFrame, stratum: str, order: Sequence[str], k: int, hashed: Column) -> DataFrame:
     """Deal each stratum, in order, in blocks of k; a block's rows get different folds by the rank of a hash."""
-    at = df.withColumn("_block", F.floor((F.row_number().over(Window.partitionBy(stratum).orderBy(*order)) - 1) / k))
-    return at.withColumn("fold", F.row_number().over(Window.partitionBy(stratum, "_block").orderBy(hashed, *order)) - 1).drop("_block")
+    at = scans.numbered(df, [stratum], order, "_row").withColumn("_block", F.floor((F.col("_row") - 1) / k))
+    # A window over k rows.
+    return at.withColumn("fold", F.row_number().over(Window.partitionBy(stratum, "_block").orderBy(hashed, *order)) - 1).drop("_block", "_row")
 
 
 def round_robin(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     """With turn, from 1 in each group: in the order of (turn, group) come the first of each group, then the second, ..."""
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return scans.numbered(df, [group], order, "turn")
 
 
 def first_family(models: DataFrame, families: DataFrame, default: str = "other") -> DataFrame:
@@ -156,27 +158,15 @@ def first_family(models: DataFrame, families: DataFrame, default: str = "other")
 
 
 def min_ranks(df: DataFrame, value: str, higher_is_better: bool, out: str = "rank", group: Sequence[str] = ()) -> DataFrame:
-    """Competition ranks: ties share the smallest."""
-    return df.withColumn(out, F.rank().over(Window.partitionBy(*group).orderBy(F.desc_nulls_last(value) if higher_is_better else F.asc_nulls_last(value))))
+    """Competition ranks: ties share the smallest; rows without a value share the one after all others."""
+    ranks = scans.ranked(df, group, value, F.col("__before") + 1, "_rank", descending=higher_is_better)
+    have = df.groupBy(*group).agg((F.count(value) + 1).alias("_last")) if group else df.agg((F.count(value) + 1).alias("_last"))
+    return scans.beside(ranks, have, group, "_last").withColumn(out, F.coalesce("_rank", "_last").cast("int")).drop("_rank", "_last")
 
 
-def mid_ranks(df: DataFrame, value: str, group: Sequence[str] = (), out: str = "rank", large_groups: bool = False) -> DataFrame:
-    """Average ranks of ties, within groups. large_groups: for groups that one task can't sort; the same result for values
-    that aren't null, from counts of different values in buckets of each group's quantiles."""
-    if large_groups:
-        keys, v = [*group], F.col(value)
-        counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")).where(v.isNotNull())
-        cuts = counts.groupBy(*keys).agg(F.percentile_approx(v, [i / 256 for i in range(1, 256)], 2000).alias("_cuts"))
-        met = counts.join(F.broadcast(cuts), keys) if keys else counts.crossJoin(F.broadcast(cuts))  # 255 numbers a group
-        placed = met.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < v))).drop("_cuts")
-        up = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        before = placed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_m")).select(*keys, "_bucket", F.coalesce(F.sum("_m").over(up), F.lit(0)).alias("_before"))
-        own = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        ranks = placed.withColumn("_own", F.coalesce(F.sum("_n").over(own), F.lit(0))).join(before, [*keys, "_bucket"])
-        return df.join(ranks.select(*keys, value, (F.col("_before") + F.col("_own") + (F.col("_n") + 1) / 2.0).alias(out)), [*keys, value], "left")
-    w = Window.partitionBy(*group)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
-    return df.withColumn(out, (F.rank().over(w.orderBy(value)) + (ties - 1) / 2.0).cast("double"))
+def mid_ranks(df: DataFrame, value: str, group: Sequence[str] = (), out: str = "rank") -> DataFrame:
+    """Average ranks of ties, within groups of any size; null for a null."""
+    return scans.ranked(df, group, value, F.col("__before") + (F.col("__n") + 1) / 2.0, out)
 
 
 def scores(df: DataFrame, metrics: dict[str, bool], group: Sequence[str] = (), out: str = "score") -> DataFrame:
@@ -196,11 +186,19 @@ def scores(df: DataFrame, metrics: dict[str, bool], group: Sequence[str] = (), o
 
 
 def inserted(board: DataFrame, ours: DataFrame, metrics: dict[str, bool], team: str = "team") -> DataFrame:
-    """For each of ours, inserted alone into the board: position, of (teams), score. All models at once, by model."""
+    """For each of ours, inserted alone into the board: position, of (teams), score. All models at once, by model.
+
+    A position is counted, not sorted for: it is one more than the teams that come before by score, then name.
+    """
     mine = ours.select(F.col(team).alias("model"), F.col(team), *metrics)
-    everyone = board.select(team, *metrics).crossJoin(F.broadcast(mine.select("model"))).select("model", team, *metrics).unionByName(mine.select("model", team, *metrics))
-    ranked = scores(everyone, metrics, ["model"]).withColumn("position", F.row_number().over(Window.partitionBy("model").orderBy("score", team))).withColumn("teams", F.count(F.lit(1)).over(Window.partitionBy("model")))
-    return ranked.where(F.col(team) == F.col("model")).select("model", "position", "teams", "score")
+    everyone = board.select(team, *metrics).crossJoin(mine.select("model")).select("model", team, *metrics).unionByName(mine.select("model", team, *metrics))
+    scored = scores(everyone, metrics, ["model"])
+    own = scored.where(F.col(team) == F.col("model")).groupBy("model").agg(F.min("score").alias("_score"))
+    s, mark = F.col("score"), F.col("_score")
+    level = s.eqNullSafe(mark)
+    ahead = (s < mark) | (s.isNull() & mark.isNotNull()) | (level & (F.col(team) < F.col("model")))
+    met = scored.join(own, "model")
+    return met.groupBy("model").agg((F.count_if(F.coalesce(ahead, F.lit(False))) + 1).alias("position"), F.count(F.lit(1)).alias("teams"), F.first("_score").alias("score"))
 
 
 def best_cell(grid: DataFrame, score: str, order: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
@@ -245,6 +243,15 @@ def grid(spark, **axes: Sequence[float]) -> DataFrame:
     return out
 
 
+def grid_in(spans: DataFrame, digits: int = 3, **axes: tuple[Column, Column, float]) -> DataFrame:
+    """Each row of spans with every point of its own grid. An axis: its first value, its last, and the step, as in steps()."""
+    out = spans
+    for name, (low, high, step) in axes.items():
+        whole = F.floor((high - low + 1e-9) / step).cast("int")
+        out = out.withColumn("_i", F.explode(F.when(whole >= 0, F.sequence(F.lit(0), whole)))).withColumn(f"_{name}", F.round(low + F.col("_i") * step, digits)).drop("_i")
+    return out.withColumns({name: F.col(f"_{name}") for name in axes}).drop(*[f"_{name}" for name in axes])
+
+
 def steps(start: float, stop: float, step: float, digits: int = 3) -> list[float]:
     """An axis of a grid: start, start + step, ... as far as stop, which counts where a rounding error parts it from a step."""
     if step <= 0:

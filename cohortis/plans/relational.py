@@ -200,10 +200,14 @@ def crosstab_classes(spark, sf):
     return R.crosstab(table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
 
 
-@query("grid_product", "t:d e:d m:d", """
-SELECT t / 10.0 AS t, CAST(e AS DOUBLE) AS e, CAST(m AS DOUBLE) AS m FROM range(10, 41) a(t), range(0, 12) b(e), range(0, 7) c(m)""")
+@query("grid_product", "modality t:d e:d m:d", f"""
+WITH {QUALITY_SQL}, b AS (SELECT modality, floor(min(snr)) AS lo, least(ceil(max(snr)), floor(min(snr)) + 3) AS hi, least(max(CAST(ceil(cnr * 100) AS BIGINT)), 11) AS e, count(DISTINCT scanner) AS m FROM q GROUP BY 1)
+SELECT modality, round(lo + i / 10.0, 3) AS t, CAST(j AS DOUBLE) AS e, CAST(k AS DOUBLE) AS m FROM b, range(31) a(i), range(12) c(j), range(7) d(k) WHERE lo + i / 10.0 <= hi + 1e-9 AND j <= e AND k < m""")
 def grid_product(spark, sf):
-    return R.grid(spark, t=[i / 10 for i in range(10, 41)], e=range(12), m=range(7))
+    """A grid for each modality, whose axes its own measures span."""
+    lo, cnr = F.floor(F.min("snr")), F.least(F.max(F.ceil(F.col("cnr") * 100)), F.lit(11))
+    spans = quality(spark, sf).groupBy("modality").agg(lo.alias("lo"), F.least(F.ceil(F.max("snr")), lo + 3).alias("hi"), cnr.alias("e"), F.count_distinct("scanner").alias("m"))
+    return R.grid_in(spans, t=(F.col("lo"), F.col("hi"), 0.1), e=(F.lit(0), F.col("e"), 1), m=(F.lit(0), F.col("m") - 1, 1))
 
 
 @query("manifest_parse", "page_id:l scheme host section number:l kept", r"""
@@ -251,11 +255,18 @@ def sidecar_json(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.to_json(F.struct(F.col("p_size").alias("Size"), F.when(F.col("p_size") > 25, F.col("p_type")).alias("Type"))).alias("doc"))
 
 
-@query("param_document", "t:d e:d", """SELECT 2.2 AS t, 14.0 AS e""")
+@query("param_document", "modality t:d e:d scanner t_scanner:d", f"""
+WITH {QUALITY_SQL}, w AS (SELECT modality, round(avg(snr), 3) AS t, round(min(efc), 6) AS e FROM q GROUP BY 1), s AS (SELECT modality, scanner, round(avg(snr), 3) AS t FROM q GROUP BY 1, 2)
+SELECT w.modality, w.t, w.e, scanner, s.t AS t_scanner FROM w JOIN s ON w.modality = s.modality""")
 def param_document(spark, sf):
-    """A parameter document written as JSON and read with a declared schema."""
-    doc = spark.range(1).select(F.to_json(F.struct(F.lit(2.2).alias("t"), F.lit(14.0).alias("e"), F.create_map(F.lit("s"), F.struct(F.lit(1.0).alias("t"))).alias("by_scanner"))).alias("d"))
-    return doc.select(F.from_json("d", "t double, e double, by_scanner map<string, struct<t: double>>").alias("p")).select("p.t", "p.e")
+    """Each modality's parameters as one JSON document, with a map by scanner, read again with a declared schema."""
+    q = quality(spark, sf)
+    each = q.groupBy("modality", "scanner").agg(F.round(F.avg("snr"), 3).alias("t"))
+    maps = each.groupBy("modality").agg(F.map_from_entries(F.collect_list(F.struct("scanner", F.struct("t")))).alias("by_scanner"))  # scanners are few
+    whole = q.groupBy("modality").agg(F.round(F.avg("snr"), 3).alias("t"), F.round(F.min("efc"), 6).alias("e")).join(maps, "modality")
+    docs = whole.select("modality", F.to_json(F.struct("t", "e", "by_scanner")).alias("d"))
+    read = docs.select("modality", F.from_json("d", "t double, e double, by_scanner map<string, struct<t: double>>").alias("p"))
+    return read.select("modality", "p.t", "p.e", F.explode("p.by_scanner").alias("scanner", "own")).withColumn("t_scanner", F.col("own.t"))
 
 
 @query("scale_transforms", "event_id:l log:d log1p:d back:d rounded:d clipped:d", """
@@ -326,10 +337,11 @@ def worst_metric(spark, sf):
 
 @query("qc_class", "subject:l qc_class", f"""
 WITH {BAD_SQL}, w AS (SELECT subject, max(z) AS m FROM bad GROUP BY 1)
-SELECT subject, CASE WHEN m IS NULL THEN 'not_assessed' WHEN m >= 5 THEN 'exclude' WHEN m >= 3 OR subject % 20 = 0 THEN 'check' ELSE 'usable' END AS qc_class FROM w""")
+SELECT subject, CASE WHEN m IS NULL THEN 'not_assessed' WHEN m >= 5 THEN 'exclude' WHEN m >= 3 THEN 'check' ELSE 'usable' END AS qc_class FROM w""")
 def qc_class(spark, sf):
+    """By the largest z alone; qc_flags adds the forest's say."""
     w = badness(spark, sf).groupBy("subject").agg(F.max("z").alias("m"))
-    return w.select("subject", C.qc_class(F.col("m"), F.col("subject") % 20 == 0, F.col("m").isNotNull()).alias("qc_class"))
+    return w.select("subject", C.qc_class(F.col("m"), F.lit(False), F.col("m").isNotNull()).alias("qc_class"))
 
 
 @query("forest_features", "subject:l modality metric feature:d", f"WITH {BAD_SQL} SELECT subject, modality, metric, greatest(coalesce(z, 0), 0) AS feature FROM bad")
@@ -388,11 +400,14 @@ def holm_families(spark, sf):
     return R.holm(t, ["family"], "p", ["id"])
 
 
-@query("first_family", "model family", """SELECT * FROM (VALUES ('F', 'main'), ('O', 'main'), ('P', 'open'), ('X', 'other')) t(model, family)""")
+@query("first_family", "model family", f"""
+WITH {EV_SQL}, f AS (SELECT scanner, model, count(*) AS n, sum(CAST(seen AS INT)) AS seen FROM ev GROUP BY 1, 2)
+SELECT model, coalesce(min_by(scanner, scanner) FILTER (WHERE n > seen AND n >= 2), 'other') AS family FROM f GROUP BY 1""")
 def first_family(spark, sf):
-    models = spark.createDataFrame([("F",), ("O",), ("P",), ("X",)], "model string")
-    families = spark.createDataFrame([("main", "F", 0), ("main", "O", 0), ("open", "O", 1), ("open", "P", 1)], "family string, model string, position int")
-    return R.first_family(models, families)
+    """A model's family is the first scanner, of those it wasn't trained on, that has two subjects of it."""
+    ev = evaluation(spark, sf)
+    listed = ev.groupBy("scanner", "model").agg(F.count(F.lit(1)).alias("n"), F.count_if("seen").alias("k")).where("n > k and n >= 2")
+    return R.first_family(ev.select("model").distinct(), listed.select("model", F.col("scanner").alias("family"), F.col("scanner").alias("position")))
 
 
 BOARD_SQL = """t AS (SELECT CAST(l_suppkey AS VARCHAR) AS team, avg(l_quantity) AS dice, avg(l_extendedprice) AS hd95_mm, avg(l_discount) AS lesion_recall, avg(l_tax) AS avd_pct, CAST(count(*) AS DOUBLE) AS lesion_f1 FROM lineitem GROUP BY 1)"""

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..functions.columns import named, subject_id
 from ..operators import studies as S
 from ..operators import tabular as R
 from .base import EV_SQL, QUALITY_SQL, SITES_SQL, evaluation, quality, query, sites, table
+from .relational import BAD_SQL, badness
 from .volumes import SHAPE, VOX, cubes, voxels
 
 
@@ -86,18 +88,22 @@ def robustness_cases(spark, sf):
 
 
 @query("detected_by_class", "artifact level:d n:l n_detected:l rate:d", f"""
-WITH {QUALITY_SQL}, c AS (SELECT modality, CASE WHEN snr >= 30 THEN 'exclude' WHEN snr >= 26 THEN 'check' WHEN snr >= 20 THEN 'usable' END AS qc_class FROM q WHERE modality <> 'N')
+WITH {BAD_SQL}, w AS (SELECT subject, modality, max(z) AS m FROM bad GROUP BY 1, 2), c AS (SELECT modality, CASE WHEN m IS NULL THEN 'not_assessed' WHEN m >= 5 THEN 'exclude' WHEN m >= 3 THEN 'check' ELSE 'usable' END AS qc_class FROM w)
 SELECT modality AS artifact, 1.0 AS level, count(*) AS n, count(*) FILTER (WHERE qc_class IN ('check', 'exclude')) AS n_detected,
   avg(CASE WHEN qc_class IN ('check', 'exclude') THEN 1.0 ELSE 0.0 END) AS rate FROM c GROUP BY 1""")
 def detected_by_class(spark, sf):
-    q = quality(spark, sf).where("modality <> 'N'")
-    qc_class = F.when(F.col("snr") >= 30, "exclude").when(F.col("snr") >= 26, "check").when(F.col("snr") >= 20, "usable")
-    return S.detected_by_class(q.select(F.col("modality").alias("artifact"), F.lit(1.0).alias("level"), qc_class.alias("qc_class")))
+    """Classes come from the measures' own z, by subject and modality."""
+    w = badness(spark, sf).groupBy("subject", "modality").agg(F.max("z").alias("m"))
+    return S.detected_by_class(w.select(F.col("modality").alias("artifact"), F.lit(1.0).alias("level"), C.qc_class(F.col("m"), F.lit(False), F.col("m").isNotNull()).alias("qc_class")))
 
 
-@query("threshold_axis", "t:d", """SELECT round(0.5 + i * 0.1, 3) AS t FROM range(31) r(i)""")
+@query("threshold_axis", "modality t:d", f"""
+WITH {QUALITY_SQL}, b AS (SELECT modality, floor(min(snr)) AS lo, ceil(max(snr)) AS hi FROM q GROUP BY 1)
+SELECT modality, round(lo + i * 0.1, 3) AS t FROM b, range(1000) r(i) WHERE lo + i * 0.1 <= hi + 1e-9""")
 def threshold_axis(spark, sf):
-    return R.grid(spark, t=R.steps(0.5, 3.5, 0.1))
+    """The thresholds that a modality's own measures span."""
+    spans = quality(spark, sf).groupBy("modality").agg(F.floor(F.min("snr")).alias("lo"), F.ceil(F.max("snr")).alias("hi"))
+    return R.grid_in(spans, t=(F.col("lo"), F.col("hi"), 0.1))
 
 
 @query("file_plan", "from_path to_path", """

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import transforms as X
 from ..operators import voxel as V
 from ..schemas import LANDMARKS
 from .base import query, table
@@ -165,15 +166,58 @@ def same_grid(spark, sf):
     return met.select("vec_id", C.same_grid(shape, F.col("a"), shape, F.col("b"), 0.5).alias("same"))
 
 
-@query("transform_compare", "vec_id:l shift:d angle:d", """
-WITH t AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings)
-SELECT vec_id, sqrt((10 * (cos(a) - cos(b))) ** 2 + (10 * (sin(a) - sin(b))) ** 2 + 1) AS shift, degrees(acos(greatest(-1, least(1, (2 * cos(a - b) + 1 - 1) / 2)))) AS angle FROM t""")
+def _angles(first: int) -> list:
+    """Six parameters of a cube from its own values: angles in radians, shifts in mm."""
+    v = lambda i: F.get("embedding", F.lit(first + i)).cast("double")
+    return [v(0), v(1), v(2), v(3) * 10, v(4) * 10, v(5) * 10]
+
+
+def _turn_sql(name: str, at: int) -> str:
+    """The rows of the transform with six parameters from the element `at` on, about (2, 2, 6)."""
+    v = lambda i: f"CAST(embedding[{at + i}] AS DOUBLE)"
+    return f"""{name}p AS (SELECT vec_id, cos({v(0)}) AS cx, sin({v(0)}) AS sx, cos({v(1)}) AS cy, sin({v(1)}) AS sy, cos({v(2)}) AS cz, sin({v(2)}) AS sz, 10 * {v(3)} AS tx, 10 * {v(4)} AS ty, 10 * {v(5)} AS tz FROM embeddings WHERE len(embedding) = 64),
+{name}r AS (SELECT vec_id, cz * cy - sz * sx * sy AS a, -sz * cx AS b, cz * sy + sz * sx * cy AS c, sz * cy + cz * sx * sy AS d, cz * cx AS e, sz * sy - cz * sx * cy AS f, -cx * sy AS g, sx AS h, cx * cy AS i, tx, ty, tz FROM {name}p),
+{name} AS (SELECT vec_id, a, b, c, d, e, f, g, h, i, 2 + tx - (a * 2 + b * 2 + c * 6) AS u, 2 + ty - (d * 2 + e * 2 + f * 6) AS v, 6 + tz - (g * 2 + h * 2 + i * 6) AS w FROM {name}r)"""
+
+
+@query("transform_compare", "vec_id:l n:l disp_mean_mm:d disp_max_mm:d rot_diff_deg:d", f"""
+WITH {VOX}, {_turn_sql("p", 1)}, {_turn_sql("q", 7)},
+d AS (SELECT x.vec_id, sqrt(((p.a - q.a) * x + (p.b - q.b) * y + (p.c - q.c) * 3 * z + p.u - q.u) ** 2 + ((p.d - q.d) * x + (p.e - q.e) * y + (p.f - q.f) * 3 * z + p.v - q.v) ** 2
+  + ((p.g - q.g) * x + (p.h - q.h) * y + (p.i - q.i) * 3 * z + p.w - q.w) ** 2) AS far FROM vox x JOIN p ON p.vec_id = x.vec_id JOIN q ON q.vec_id = x.vec_id WHERE x.v > 0),
+s AS (SELECT vec_id, count(*) AS n, avg(far) AS m, max(far) AS x FROM d GROUP BY 1)
+SELECT p.vec_id, coalesce(n, 0) AS n, round(m, 3) AS disp_mean_mm, round(x, 3) AS disp_max_mm,
+  round(degrees(acos(greatest(-1, least(1, (p.a * q.a + p.b * q.b + p.c * q.c + p.d * q.d + p.e * q.e + p.f * q.f + p.g * q.g + p.h * q.h + p.i * q.i - 1) / 2)))), 3) AS rot_diff_deg
+FROM p JOIN q ON q.vec_id = p.vec_id LEFT JOIN s ON s.vec_id = p.vec_id""")
 def transform_compare(spark, sf):
-    """Displacement of the point (10, 0, 0) and the relative rotation of two rotations about z, one shifted by 1 mm along z."""
-    e = table(spark, sf, "embeddings")
-    turn = lambda i, dz: (lambda t: F.array(F.cos(t), -F.sin(t), F.lit(0.0), F.lit(0.0), F.sin(t), F.cos(t), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(dz)))(F.get("embedding", F.lit(i)).cast("double"))
-    a, b = turn(0, 0.0), turn(1, 1.0)
-    return e.select("vec_id", C.displacement(a, b, F.array(F.lit(10.0), F.lit(0.0), F.lit(0.0))).alias("shift"), C.rotation_angle(a, b).alias("angle"))
+    """Two registrations of each cube: one as parameters, one by way of its parameter text; compared over the voxels above 0, in mm."""
+    c, centre = cubes(spark, sf), [F.lit(2.0), F.lit(2.0), F.lit(6.0)]
+    ours, theirs = _angles(0), _angles(6)
+    text = F.concat(F.lit("(TransformParameters "), F.concat_ws(" ", *[x.cast("string") for x in theirs]), F.lit(")\n(CenterOfRotationPoint 2.0 2.0 6.0)"))
+    pairs = c.select("vec_id", X.rigid(ours[:3], ours[3:], centre).alias("ours"), X.rigid_of_parameters(text).alias("theirs"))
+    points = voxels(spark, sf).where("v > 0").select("vec_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), (F.col("z") * 3.0).alias("z"))
+    return X.compared(pairs, ["vec_id"], "ours", "theirs", points)
+
+
+@query("resampled_volume", "vec_id:l inside:l total:d greatest:d mask_ml:d nearest_total:d", f"""
+WITH {VOX}, g AS (SELECT c.vec_id, t, tx * 0.75 AS px, ty * 0.75 + 0.1 * c.label AS py, tz * 0.5 AS pz FROM (SELECT DISTINCT vec_id, label FROM vox) c, (SELECT i AS t, i % 5 AS tx, (i // 5) % 5 AS ty, i // 25 AS tz FROM range(175) r(i)) s),
+f AS (SELECT *, px >= -1e-9 AND px <= 3 + 1e-9 AND py >= -1e-9 AND py <= 3 + 1e-9 AND pz >= -1e-9 AND pz <= 3 + 1e-9 AS ok,
+  least(greatest(floor(px + 1e-9), 0), 2) AS lx, least(greatest(floor(py + 1e-9), 0), 2) AS ly, least(greatest(floor(pz + 1e-9), 0), 2) AS lz FROM g),
+e AS (SELECT f.vec_id, t, v, (CASE WHEN v > 0.1 THEN 1.0 ELSE 0.0 END) AS m, (CASE WHEN x = lx THEN 1 - least(greatest(px - lx, 0), 1) ELSE least(greatest(px - lx, 0), 1) END) * (CASE WHEN y = ly THEN 1 - least(greatest(py - ly, 0), 1) ELSE least(greatest(py - ly, 0), 1) END)
+  * (CASE WHEN z = lz THEN 1 - least(greatest(pz - lz, 0), 1) ELSE least(greatest(pz - lz, 0), 1) END) AS w
+  FROM f JOIN vox ON vox.vec_id = f.vec_id AND x >= lx AND x <= lx + 1 AND y >= ly AND y <= ly + 1 AND z >= lz AND z <= lz + 1 WHERE ok),
+r AS (SELECT vec_id, t, sum(w * v) AS v, sum(w * m) AS m FROM e GROUP BY 1, 2),
+k AS (SELECT f.vec_id, sum(v) AS total FROM f JOIN vox ON vox.vec_id = f.vec_id AND x = floor(px + 0.5) AND y = floor(py + 0.5) AND z = floor(pz + 0.5) GROUP BY 1),
+a AS (SELECT vec_id, count(*) AS inside, sum(v) AS total, max(v) AS top, sum(m) * 0.75 * 0.75 * 1.5 / 1000 AS ml FROM r GROUP BY 1), n AS (SELECT vec_id, count(*) AS n FROM g GROUP BY 1)
+SELECT a.vec_id, inside, a.total, CASE WHEN inside < n THEN greatest(top, 0) ELSE top END AS greatest, ml AS mask_ml, k.total AS nearest_total FROM a JOIN k ON k.vec_id = a.vec_id JOIN n ON n.vec_id = a.vec_id""")
+def resampled_volume(spark, sf):
+    """Each cube on a finer grid (0.75 x 0.75 x 1.5 mm, 5 x 5 x 7), shifted along y by a tenth of a millimetre a label."""
+    to, eye = (5, 5, 7), lambda a, b, c, y: F.array(*[x if not isinstance(x, float) else F.lit(x) for x in (a, 0.0, 0.0, 0.0, 0.0, b, 0.0, y, 0.0, 0.0, c, 0.0)])
+    v = F.col("embedding").cast("array<double>")
+    places = X.index_map(eye(1.0, 1.0, 3.0, 0.0), eye(0.75, 0.75, 1.5, F.col("label") * 0.1))
+    mask = F.transform(v, lambda x: (x > 0.1).cast("double"))
+    made = cubes(spark, sf).select("vec_id", X.resampled(v, SHAPE, places, to).alias("r"), X.resampled(mask, SHAPE, places, to).alias("m"), X.resampled(v, SHAPE, places, to, nearest=True).alias("k"), X.resampled(F.array_repeat(F.lit(1.0), 64), SHAPE, places, to).alias("in"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return made.select("vec_id", F.size(F.filter("in", lambda x: x > 0.5)).alias("inside"), total("r").alias("total"), F.array_max("r").alias("greatest"), X.fraction_volume(F.col("m"), 0.75 * 0.75 * 1.5).alias("mask_ml"), total("k").alias("nearest_total"))
 
 
 @query("zscore_volume", "vec_id:l i:l z:d", f"""

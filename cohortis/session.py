@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -39,6 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
     return told.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table of its own in the shared folder: computed once, and a lost executor costs nothing that was done."""
+    path = f"{shared_dir(df.sparkSession)}/cohortis-base/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers once per application, so that executors need no copy of the repository."""
     sc = spark.sparkContext

@@ -1,6 +1,7 @@
 """Hand-computed answers on small tables."""
 
 import math
+from bisect import bisect_left
 
 import numpy as np
 import pytest
@@ -311,8 +312,21 @@ def test_rank_tests_by_aggregates_are_those_of_the_values(spark):
         assert kruskal[g] == pytest.approx(K.kruskal(own.v.to_numpy(), own.side.astype(str).to_numpy()))
 
 
-def test_mid_ranks_of_large_groups(spark):
+def test_mid_ranks_and_ranks(spark):
     rng = np.random.default_rng(13)
-    df = spark.createDataFrame([(int(i), "ab"[i % 2], float(v)) for i, v in enumerate([*rng.normal(size=900), *rng.integers(0, 5, 900)])], "id long, g string, v double")
+    data = [(int(i), "ab"[i % 2], float(v)) for i, v in enumerate([*rng.normal(size=900), *rng.integers(0, 5, 900)])] + [(9000, "a", None), (9001, None, 1.0), (9002, None, 1.0), (9003, None, None)]
+    df = spark.createDataFrame(data, "id long, g string, v double")
     for keys in (["g"], []):
-        assert sorted(rows(R.mid_ranks(df, "v", keys).select("id", "rank"))) == sorted(rows(R.mid_ranks(df, "v", keys, large_groups=True).select("id", "rank")))
+        groups = {}
+        for i, g, v in data:
+            groups.setdefault(g if keys else None, []).append((i, v))
+        want, up, down = {}, {}, {}
+        for members in groups.values():
+            values = sorted(v for _, v in members if v is not None)
+            for i, v in members:
+                below, same = bisect_left(values, v) if v is not None else None, values.count(v)
+                want[i] = None if v is None else below + (same + 1) / 2
+                up[i] = len(values) + 1 if v is None else below + 1
+                down[i] = len(values) + 1 if v is None else len(values) - below - same + 1
+        got = R.min_ranks(R.min_ranks(R.mid_ranks(df, "v", keys), "v", False, "up", keys), "v", True, "down", keys).collect()
+        assert {r.id: r["rank"] for r in got} == want and {r.id: r.up for r in got} == up and {r.id: r.down for r in got} == down

@@ -32,8 +32,8 @@ def test_degrade():
     brain = np.ones(x.shape, dtype=bool)
     assert (S.degrade(x, brain, "noise", 0, 1) == x).all() and abs(S.degrade(x, brain, "noise", 0.1, 1).std() - 10) < 2
     assert np.ptp(S.degrade(x, brain, "bias", 0.3, 1)) > 10 and (S.degrade(x, brain, "noise", 5, 1) >= 0).all()
-    with pytest.raises(MissingInput, match="motion"):
-        S.degrade(x, brain, "motion", 1, 1)
+    with pytest.raises(MissingInput, match="spike"):
+        S.degrade(x, brain, "spike", 1, 1)
 
 
 def test_tissue_masks():
@@ -99,3 +99,48 @@ def test_workflow(spark, tmp_path):
         w.build("a")
     with pytest.raises(MissingInput, match="no rule"):
         w.build("nothing")
+
+
+def test_ghosting_damps_lines_of_the_spectrum():
+    rng = np.random.default_rng(1)
+    image = 5 + rng.uniform(0, 1, (8, 12, 3))
+    for seed in range(6):
+        got = S.ARTIFACTS["ghosting"](image, 0.4, seed)
+        ratio = np.abs(np.fft.fftn(got) / np.fft.fftn(image))
+        axis = int(np.random.default_rng(seed).integers(0, 2))
+        n = image.shape[axis]
+        lines = np.moveaxis(ratio, axis, 0)
+        for k in range(n):
+            assert np.allclose(lines[k], 0.6 if k % 4 == 0 and k else 1.0)
+    # A point along the axis gets a copy at each quarter: the mean of the damped lines.
+    point = np.zeros((8, 8, 1))
+    point[0, 0, 0] = 1.0
+    seed = next(s for s in range(20) if int(np.random.default_rng(s).integers(0, 2)) == 0)
+    got = S.ARTIFACTS["ghosting"](point, 0.5, seed)[:, 0, 0]
+    assert got[0] == pytest.approx(1 - 0.5 / 8) and got[4] == pytest.approx(0.5 / 8) and got[1] == pytest.approx(0.5 / 8)
+
+
+def test_motion_changes_phases_only_where_nothing_turns(monkeypatch):
+    rng = np.random.default_rng(2)
+    image = 3 + rng.uniform(0, 1, (6, 8, 4))
+    assert np.array_equal(S._turned(image, 0.0), image) and np.allclose(S._turned(image, 360.0)[1:-1, 1:-1], image[1:-1, 1:-1])
+    monkeypatch.setattr(S, "_turned", lambda unit, degrees: unit)
+    captured = []
+    monkeypatch.setattr(np.fft, "ifftn", lambda x, real=np.fft.ifftn: captured.append(x) or real(x))
+    S.ARTIFACTS["motion"](image, 2.0, 5)
+    assert np.allclose(np.abs(captured[0]), np.abs(np.fft.fftn(image))) and not np.allclose(captured[0], np.fft.fftn(image))
+    # Lines taken before the first movement are as they were.
+    first = np.sort(np.random.default_rng(5).uniform(0, 1, 2))[0]
+    _, when = S._lines(image.shape, 1)
+    assert np.allclose(np.where(when < first, captured[0], 0), np.where(when < first, np.fft.fftn(image), 0))
+
+
+@pytest.mark.parametrize("artifact", sorted(S.ARTIFACTS))
+def test_degrading(artifact):
+    rng = np.random.default_rng(3)
+    image = rng.uniform(50, 100, (8, 8, 4))
+    brain = np.ones(image.shape, dtype=bool)
+    assert np.array_equal(S.degrade(image, brain, artifact, 0, 1), image)
+    one, again, other = (S.degrade(image, brain, artifact, 0.3, seed) for seed in (1, 1, 2))
+    assert np.array_equal(one, again) and (one >= 0).all() and not np.allclose(one, image) and one.shape == image.shape
+    assert artifact == "bias" or not np.allclose(one, other)

@@ -42,5 +42,5 @@ def test_the_forest_keeps_every_row(spark):
 
 def test_outlier_share_is_of_all_rows(spark):
     df = spark.createDataFrame([(i, float(i % 97), float(i * 7 % 101)) for i in range(1000)], "id long, a double, b double")
-    got = ml.isolation_forest(df, "id", ["a", "b"], trees=20, contamination=0.05, most=60).toPandas()
+    got = ml.isolation_forest(df, "id", ["a", "b"], trees=20, contamination=0.05).toPandas()
     assert (got.iforest_outlier == (got.iforest_score > np.quantile(got.iforest_score, 0.95))).all() and 0 < got.iforest_outlier.sum() <= 50
