@@ -153,7 +153,8 @@ def biology(features: DataFrame, key: str, names: Sequence[str], site: str, cova
     covariate, before and after ComBat that keeps the covariate."""
     both = None
     for when, table in (("before", features), ("after", ml.combat(features, key, names, site, [covariate]).join(features.select(key, covariate), key))):
-        long = R.long(table, [key, site, covariate], names, "feature")
+        # Written: what follows reads it several times, and its plan names each feature in each of them.
+        long = written(R.long(table, [key, site, covariate], names, "feature"), "biology")
         eta = stats.eta_squared(long, site, "value", ["feature"]).select("feature", F.col("eta2").alias(f"eta2_{when}"))
         rho = stats.spearman(long, "value", covariate, ["feature"]).select("feature", F.col("rho").alias(f"rho_{when}"))
         met = eta.join(rho, "feature")

@@ -212,6 +212,7 @@ def paired_table(pairs: DataFrame, stratum: str, subject: str, n_boot: int = 200
     """From (family, a, b, metric, va, vb): n, means, mean difference with interval, signed-rank p, and Holm within family."""
     keys = ["family", "a", "b", "metric"]
     every = pairs.select(*keys, F.col(stratum).alias("s"), F.col(subject).alias("o"), _clean(F.col("va")).alias("va"), _clean(F.col("vb")).alias("vb")).withColumn("d", F.col("va") - F.col("vb"))
+    every = resample.written(every, "pairs")  # read by sums, ranks, and draws
     both = F.col("d").isNotNull()
     mean = lambda c: F.avg(F.when(both, F.col(c)))
     sums = every.groupBy(*keys).agg(F.count("d").alias("n"), mean("va").alias("mean_a"), mean("vb").alias("mean_b"), F.avg("d").alias("mean_diff"))
@@ -225,6 +226,7 @@ def unpaired_table(long: DataFrame, keys: Sequence[str], side: str, stratum: str
     Cells with an empty side are left out; the sides are drawn apart."""
     keys = [*keys]
     some = long.select(*keys, F.col(side).alias("_side"), F.col(stratum).alias("s"), F.col(subject).alias("o"), _clean(F.col("value")).alias("v")).where("v is not null and _side is not null")
+    some = resample.written(some, "sides")  # read by sums, ranks, and draws
     seen, unseen = F.when(F.col("_side"), F.col("v")), F.when(~F.col("_side"), F.col("v"))
     sums = some.groupBy(*keys).agg(F.count(seen).alias("n_seen"), F.count(unseen).alias("n_unseen"), F.avg(seen).alias("mean_seen"), F.avg(unseen).alias("mean_unseen")).where("n_seen > 0 and n_unseen > 0")
     sums = sums.withColumn("diff", F.col("mean_unseen") - F.col("mean_seen"))
@@ -257,6 +259,7 @@ def agreement(pairs: DataFrame, keys: Sequence[str], kind: str | Column, stratum
     x, y = _scaled(F.col("rater"), kind), _scaled(F.col("ref"), kind)
     every = pairs.select(*keys, F.coalesce(F.col(stratum).cast("string"), F.lit("\x00")).alias("_s"), F.col(subject).alias("_o"), x.alias("x"), y.alias("y"), (F.col("rater") - F.col("ref")).alias("raw"), (F.lit(kind) == "log").alias("_log"))
     every = every.withColumns({"d": F.col("x") - F.col("y"), "_cell": resample.cell_name(keys)})
+    every = resample.written(every, "agreement")  # read by sums, order, and draws
     ok = F.col("d").isNotNull()
     of = lambda f, c: f(F.when(ok, F.col(c)))
     sums = every.groupBy("_cell", *keys).agg(F.count("d").alias("n"), F.count_if(~ok).alias("n_excluded"), of(F.avg, "x").alias("mx"), of(F.avg, "y").alias("my"), of(F.var_pop, "x").alias("vx"), of(F.var_pop, "y").alias("vy"), F.covar_pop(F.when(ok, F.col("x")), F.when(ok, F.col("y"))).alias("c"), F.avg("d").alias("bias"), F.stddev_samp("d").alias("sd"), of(F.avg, "raw").alias("raw_diff"), F.first("_log").alias("_log"))
@@ -298,6 +301,7 @@ def biases(pairs: DataFrame, keys: Sequence[str], scanner: str, subject: str, ki
     """Mean difference on the scale in each scanner with at least `least` subjects, its interval, and the signed-rank p."""
     keys = [*keys, scanner]
     some = pairs.select(*keys, F.col(subject).alias("o"), (_scaled(F.col("rater"), kind) - _scaled(F.col("ref"), kind)).alias("d")).where("d is not null")
+    some = resample.written(some, "biases")  # read by sums, ranks, and draws
     sums = some.groupBy(*keys).agg(F.count("d").alias("n"), F.avg("d").alias("bias")).where(F.col("n") >= least)
     found = resample.intervals(resample.means(some, keys, "d", None, "o", n_boot, seed), keys, ci="_mean").withColumnsRenamed({"ci_from": "low", "ci_to": "high"})
     return scans.beside(scans.beside(sums, found, keys, "low", "high"), wilcoxon(some, keys, "d"), keys, "p")
@@ -324,6 +328,7 @@ def agreement_run(table: DataFrame, kinds: dict[str, str], reference: str, sourc
         pairs = pairs.where(F.col("rater_name").isin(*sources))
     for part, own in (only_in or {}).items():
         pairs = pairs.where((F.col("split") != part) | F.col("rater_name").isin(*own))
+    pairs = resample.written(pairs, "agreement-pairs")
     # One run over all biomarkers: each row knows its scale.
     kind = F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("biomarker"))
     # Differences that only a rounding error parts are ties.

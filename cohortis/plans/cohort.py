@@ -9,7 +9,7 @@ from ..operators import cohort as H
 from ..operators import tabular as R
 from ..operators import voxel as V
 from .base import EV_SQL, METRICS, evaluation, query, table
-from .inference import features
+from .inference import FEATURES, features
 from .relational import BAD_SQL, badness
 from .volumes import GRID, PAIR, SHAPE, SPACING, VOX, cubes, voxels
 
@@ -163,11 +163,18 @@ def feature_rows(spark, sf):
 
 @query("biology_table", "feature eta2_before:d eta2_after:d rho_before:d rho_after:d")
 def biology_table(spark, sf):
-    f = features(spark, sf).withColumn("covariate", F.log1p(F.abs("f7")))
-    return H.biology(f, "vec_id", [f"f{i}" for i in range(7)], "site", "covariate")
-
-
-@query("mean_abs_rho", "n:l mean_eta2:d mean_abs_rho:d")
+    """The first seven components, and a covariate made of the eighth."""
+    f = features(spark, sf, FEATURES[:8]).withColumn("covariate", F.log1p(F.abs("f7")))
+    return H.biology(f, "vec_id", FEATURES[:7], "site", "covariate")
+
+
+@query("mean_abs_rho", "n:l mean_eta2:d mean_abs_rho:d", """
+WITH u AS (SELECT label, i, CAST(embedding[i + 1] AS DOUBLE) AS v, ln(1 + abs(CAST(embedding[8] AS DOUBLE))) AS c FROM embeddings, range(7) r(i) WHERE embedding IS NOT NULL),
+g AS (SELECT i, avg(v) AS g FROM u GROUP BY 1), s AS (SELECT i, label, avg(v) AS m FROM u GROUP BY 1, 2),
+e AS (SELECT u.i, sum((m - g) ** 2) / sum((v - g) ** 2) AS eta2 FROM u JOIN g ON g.i = u.i JOIN s ON s.i = u.i AND s.label = u.label GROUP BY 1),
+k AS (SELECT i, rank() OVER (PARTITION BY i ORDER BY v) + (count(*) OVER (PARTITION BY i, v) - 1) / 2.0 AS a, rank() OVER (PARTITION BY i ORDER BY c) + (count(*) OVER (PARTITION BY i, c) - 1) / 2.0 AS b FROM u),
+r AS (SELECT i, corr(a, b) AS rho FROM k GROUP BY 1)
+SELECT count(*) AS n, avg(eta2) AS mean_eta2, avg(abs(rho)) AS mean_abs_rho FROM e JOIN r USING (i)""")
 def mean_abs_rho(spark, sf):
     return biology_table(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.avg("eta2_before").alias("mean_eta2"), F.avg(F.abs("rho_before")).alias("mean_abs_rho"))
 

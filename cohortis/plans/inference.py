@@ -246,10 +246,10 @@ def agreement_by_scanner(spark, sf):
 FEATURES = [f"f{i}" for i in range(64)]
 
 
-def features(spark, sf):
-    """vec_id, site, FEATURES."""
+def features(spark, sf, names=FEATURES):
+    """vec_id, site, FEATURES (or the first of them)."""
     v = F.col("embedding")
-    return table(spark, sf, "embeddings").where("embedding is not null").select("vec_id", F.col("label").cast("string").alias("site"), *[F.get(v, F.lit(i)).cast("double").alias(f) for i, f in enumerate(FEATURES)])
+    return table(spark, sf, "embeddings").where("embedding is not null").select("vec_id", F.col("label").cast("string").alias("site"), *[F.get(v, F.lit(i)).cast("double").alias(f) for i, f in enumerate(names)])
 
 
 @query("isolation_forest", "vec_id:l iforest_score:d iforest_outlier")
