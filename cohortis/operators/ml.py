@@ -1,7 +1,7 @@
 """Models over feature tables: outlier forest, ComBat, and the cross-validated site classifier.
 
-The forest learns from samples of all rows, a tree a task; ComBat from sums over all rows; the classifier from a stated bound of
-labelled rows. All are applied wherever the rows are.
+The forest learns from samples of all rows, a tree a task; ComBat from sums over all rows; the classifier from sums of gradients and
+curvatures over all rows, one pass a Newton step. All are applied wherever the rows are.
 """
 
 from __future__ import annotations
@@ -15,18 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..session import ship
+from ..session import ship, written
 from . import scans
 from .quantiles import exact_quantile
 
-#: Rows that a model is fitted on, about (by a hash of their keys; all of them where there are fewer).
-MOST_ROWS = 100_000
-
-
-def _about(df: DataFrame, key: str, most: int) -> DataFrame:
-    """All rows, or about `most`: those whose key's hash falls into their share. No sort; the same rows at every run."""
-    n = df.count()
-    return df if n <= most else df.where(F.pmod(F.xxhash64(key), F.lit(n)) < most)
+#: Numbers of a long sum that travel together.
+_CHUNK = 1 << 15
 
 
 def _samples(rows: DataFrame, trees: int, seed: int, share: float) -> DataFrame:
@@ -130,39 +124,106 @@ def combat(df: DataFrame, key: str, features: Sequence[str], site: str, covariat
     return some.mapInPandas(applied, ", ".join(f"{c} {kinds[c]}" for c in (key, site, *features)))
 
 
-def site_classifier(df: DataFrame, key: str, features: Sequence[str], site: str, covariates: Sequence[str] = (), k: int = 5, seed: int = 42, harmonise: bool = True, most: int = MOST_ROWS) -> DataFrame:
+def _added(parts: DataFrame) -> dict[int, np.ndarray]:
+    """model -> the elementwise sum of its vectors, of which every task gives one in chunks (model, chunk, v). Added up by chunk in
+    tasks, a batch at a time; the driver gets one vector a model, however many tasks there were."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, chunk, total = 0, 0, 0.0
+        for pdf in batches:
+            if len(pdf):
+                model, chunk, total = int(pdf.model.iloc[0]), int(pdf.chunk.iloc[0]), total + sum(np.frombuffer(v) for v in pdf.v)
+        yield pd.DataFrame({"model": [model], "chunk": [chunk], "v": [total.tobytes()]})
+
+    found: dict[int, dict[int, list]] = {}
+    for r in parts.groupBy("model", "chunk").applyInPandas(add, "model int, chunk int, v binary").toLocalIterator():
+        found.setdefault(r.model, {})[r.chunk] = np.frombuffer(bytes(r.v))
+    return {m: np.concatenate([own[i] for i in sorted(own)]) for m, own in found.items()}
+
+
+def _vectors(rows: DataFrame, of) -> DataFrame:
+    """(model, chunk, v) for _added: of(rows) gives pairs of a model and a vector, which are added up in each task first."""
+
+    def summed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for pdf in parts:
+            for model, v in of(pdf):
+                held[model] = held[model] + v if model in held else v
+        for model, v in held.items():
+            cut = range(0, len(v), _CHUNK)
+            yield pd.DataFrame({"model": model, "chunk": range(len(cut)), "v": [v[i : i + _CHUNK].tobytes() for i in cut]})
+
+    return rows.mapInPandas(summed, "model int, chunk int, v binary")
+
+
+def site_classifier(df: DataFrame, key: str, features: Sequence[str], site: str, covariates: Sequence[str] = (), k: int = 5, seed: int = 42, harmonise: bool = True, rounds: int = 100) -> DataFrame:
     """harmonised, fold, n_test, balanced_accuracy: how well a linear classifier tells sites apart, raw and after ComBat.
 
-    Every row is dealt to a fold and tested in it. ComBat learns from all rows of the training folds; scaler and classifier
-    learn on those of about `most` rows (where there are more) that are in the training folds, one task for each fold and way.
+    Every row without nulls is dealt to a fold and tested in it. ComBat, scaler and classifier learn from all rows of the other
+    folds: the classifiers of all folds and ways take a Newton step in one pass over the rows, from sums that tasks add up. What
+    tasks hold grows with the square of sites times features, not with rows. Without rows to learn from a fold has no result;
+    a site that only the tested fold has counts as missed (after ComBat, which can't place it, it is left out).
+    RuntimeError where a fit needs more than `rounds` passes.
     """
     need = [*features, *covariates]
-    folds = stratified_folds(df.select(key, site, *[F.col(c).cast("double").alias(c) for c in need]).dropna(), key, site, k, seed)
+    ship(df.sparkSession)
+    kept = df.select(key, F.col(site).alias("_site"), *[F.col(c).cast("double").alias(c) for c in need]).dropna()
+    folds = written(stratified_folds(kept, key, "_site", k, seed).select("fold", "_site", *need), "folds")
+    seen = folds.groupBy("fold", "_site").agg(F.count(F.lit(1)).alias("n")).collect()
     ways = [False, True] if harmonise else [False]
     combats: dict = {}
     if harmonise:
-        sums = _combat_sums(folds, features, site, covariates, "fold")
-        training = {i: K.Combat.merged(x for f, x in sums.items() if f != i) for i in sums}
+        sums = _combat_sums(folds, features, "_site", covariates, "fold")
+        training = {i: K.Combat.merged(x for f, x in sums.items() if f != i) for i in range(k)}
         combats = {i: K.Combat.from_sums(x, len(features)) for i, x in training.items() if x}
-    told = df.sparkSession.sparkContext.broadcast(combats)
+    names = {i: np.array(sorted({r["_site"] for r in seen if r["fold"] != i})) for i in range(k)}
+    keys = [(w, i) for w in ways for i in range(k) if len(names[i])]
+    sc = df.sparkSession.sparkContext
+    told = sc.broadcast(combats)
 
     def shaped(pdf: pd.DataFrame, way: bool, fold: int) -> tuple[np.ndarray, np.ndarray]:
         """Features and sites; after ComBat, of the sites that the training folds have."""
-        x, y = pdf[[*features]].to_numpy(dtype=float), pdf[site].to_numpy()
+        x, y = pdf[[*features]].to_numpy(dtype=float), pdf["_site"].to_numpy()
         if not way:
             return x, y
         known = np.isin(y, told.value[fold].sites)
         cov = pdf[[*covariates]].to_numpy(dtype=float)[known] if covariates else None
         return told.value[fold].apply(x[known], y[known], cov), y[known]
 
-    def fitted(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = shaped(pdf.sort_values(key), *keys)
-        mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-12
-        return pd.DataFrame([[*keys, pickle.dumps((mean, sd, *K.softmax_fit((x - mean) / sd, y)))]], columns=["harmonised", "test", "model"])
-
-    tasks = _about(folds, key, most).select("*", F.explode(F.array(*[F.struct(F.lit(w).alias("harmonised"), F.lit(i).alias("test")) for w in ways for i in range(k)])).alias("task")).select("*", "task.*").drop("task").where("fold != test")
-    models = tasks.groupBy("harmonised", "test").applyInPandas(fitted, "harmonised boolean, test int, model binary").collect()
-    learnt = df.sparkSession.sparkContext.broadcast({(r.harmonised, r.test): pickle.loads(bytes(r.model)) for r in models})
+    middle = np.array([v or 0.0 for v in folds.agg(*[F.avg(f) for f in features]).first()], dtype=float)
+
+    def spread(pdf: pd.DataFrame):
+        for m, (way, test) in enumerate(keys):
+            own = pdf[pdf.fold != test]
+            if len(own):
+                x = shaped(own, way, test)[0] - middle
+                yield m, np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
+
+    d = len(features)
+    scales = {}
+    for m, v in _added(_vectors(folds, spread)).items():
+        mean = v[1 : 1 + d] / v[0]
+        scales[m] = (mean + middle, np.sqrt(np.maximum(v[1 + d :] / v[0] - mean**2, 0)) + 1e-12)
+    fits = {m: K.Softmax(d, len(names[keys[m][1]])) for m in scales}
+    for _ in range(rounds):
+        now = sc.broadcast({m: fit.at for m, fit in fits.items() if not fit.done})
+
+        def sloped(pdf: pd.DataFrame, now=now):
+            for m, w in now.value.items():
+                way, test = keys[m]
+                own = pdf[pdf.fold != test]
+                if len(own):
+                    x, y = shaped(own, way, test)
+                    yield m, K.softmax_sums(np.concatenate([np.ones((len(x), 1)), (x - scales[m][0]) / scales[m][1]], axis=1), np.searchsorted(names[test], y), w)
+
+        if not now.value:
+            break
+        for m, v in _added(_vectors(folds, sloped)).items():
+            fits[m].take(v)
+    else:
+        if not all(fit.done for fit in fits.values()):
+            raise RuntimeError(f"no fit in {rounds} passes")
+    learnt = sc.broadcast({keys[m]: (*scales[m], names[keys[m][1]], fit.w) for m, fit in fits.items()})
 
     def tested(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -170,11 +231,11 @@ def site_classifier(df: DataFrame, key: str, features: Sequence[str], site: str,
                 for way in ways:
                     if (way, fold) not in learnt.value:
                         continue
-                    mean, sd, names, w = learnt.value[way, fold]
+                    mean, sd, known, w = learnt.value[way, fold]
                     x, y = shaped(own, way, fold)
-                    guess = names[np.argmax(np.concatenate([np.ones((len(x), 1)), (x - mean) / sd], axis=1) @ w, axis=1)]
+                    guess = known[np.argmax(np.concatenate([np.ones((len(x), 1)), (x - mean) / sd], axis=1) @ w, axis=1)]
                     got = pd.DataFrame({"site": y, "n": 1, "hits": (guess == y).astype(int)}).groupby("site", as_index=False).sum()
                     yield got.assign(harmonised=way, fold=int(fold))[["harmonised", "fold", "site", "n", "hits"]]
 
-    by_site = folds.mapInPandas(tested, f"harmonised boolean, fold int, site {dict(folds.dtypes)[site]}, n long, hits long").groupBy("harmonised", "fold", "site").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    by_site = folds.mapInPandas(tested, f"harmonised boolean, fold int, site {dict(folds.dtypes)['_site']}, n long, hits long").groupBy("harmonised", "fold", "site").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
     return by_site.groupBy("harmonised", "fold").agg(F.sum("n").alias("n_test"), F.avg(F.col("hits") / F.col("n")).alias("balanced_accuracy"))

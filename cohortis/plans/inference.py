@@ -264,4 +264,4 @@ def combat(spark, sf):
 
 @query("site_classifier", "harmonised fold:l n_test:l balanced_accuracy:d")
 def site_classifier(spark, sf):
-    return ml.site_classifier(features(spark, sf), "vec_id", FEATURES, "site", most=20_000)
+    return ml.site_classifier(features(spark, sf), "vec_id", FEATURES, "site")
