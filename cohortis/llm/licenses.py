@@ -5,7 +5,8 @@ shingles begin every s shingles, for s = 2, 8, 32, ... as far as the templates n
 shingles lies whole in a window of the smallest s that is enough, and shares at least an eighth of that window's shingles. With BANDS bands of one minimum
 each, a window that holds the whole template is retrieved with a probability of 1 - (1 - 1/8)**48 = 0.998 or more, and
 one that holds only the required four fifths of it with 0.99 or more. Which templates match is then decided exactly:
-the share of a template's different shingles in the best span of 2s shingles about the window, compared word by word.
+the share of a template's different shingles in the best span of 2s shingles about the window, compared word by word. A span
+ends with the last shingle that adds to its share, so where it ends doesn't depend on the windows.
 A template of fewer than five words is one shingle of its own length, found wherever these words follow one another.
 Very long texts are taken in pieces that overlap by more than the longest span.
 """
@@ -27,7 +28,7 @@ STRIDE, STEP = 2, 4
 #: Bytes of a text that are taken at once.
 PIECE = 1 << 20
 
-# Notices as licenses ask for them or as they are commonly given.
+# Notices as licenses ask for them or as they are commonly given, and whole texts of short licenses.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
@@ -42,6 +43,11 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "All-rights-reserved": "All rights reserved.",
+    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "ISC-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "BSD-2-Clause-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 MATCH = "array<struct<template: string, containment: double, begin: int, end: int>>"
@@ -131,10 +137,14 @@ class Templates:
                 for i, p in enumerate(own):
                     if goes_on and p + 2 * s > len(code):
                         break
-                    span = [q for q in own[i:] if q < p + 2 * s]
-                    share = len({same[q] for q in span}) / len(self.words[t])
+                    met, last = set(), p
+                    for q in own[i:]:
+                        if q < p + 2 * s and same[q] not in met:
+                            met.add(same[q])
+                            last = q
+                    share = len(met) / len(self.words[t])
                     if share >= least:
-                        begin, end = int(words.start[at[p]] - offset[doc]), int(words.end[at[span[-1]] + SHINGLE - 1] - offset[doc])
+                        begin, end = int(words.start[at[p]] - offset[doc]), int(words.end[at[last] + SHINGLE - 1] - offset[doc])
                         key, name = (-share, begin, end), self.names[t]
                         best[doc][name] = min(best[doc].get(name, key), key)
         for size, (hashes, templates) in self.short.items():

@@ -176,11 +176,12 @@ _TEMPLATES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t i
 OP2_SQL = f"""
 WITH tpl(name, text) AS (VALUES {_TEMPLATES}),
 tw AS (SELECT name, {_LOWER_WORDS} AS w FROM tpl),
-ts AS (SELECT DISTINCT name, array_to_string(w[i : i + 4], ' ') AS sh, CASE WHEN len(w) - 4 <= 3 THEN 2 WHEN len(w) - 4 <= 9 THEN 8 WHEN len(w) - 4 <= 33 THEN 32 ELSE 128 END AS s
-  FROM (SELECT name, w, unnest(range(1, len(w) - 3)) AS i FROM tw)),
+ts AS (SELECT DISTINCT name, size, array_to_string(w[i : i + size - 1], ' ') AS sh, CASE WHEN len(w) - 4 <= 3 THEN 2 WHEN len(w) - 4 <= 9 THEN 8 WHEN len(w) - 4 <= 33 THEN 32 WHEN len(w) - 4 <= 129 THEN 128 ELSE 512 END AS s
+  FROM (SELECT name, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM (SELECT name, w, least(5, len(w)) AS size FROM tw))),
 tn AS (SELECT name, any_value(s) AS s, count(*) AS n FROM ts GROUP BY 1),
 d AS (SELECT row_number() OVER () AS r, doc_id, {_LOWER_WORDS} AS w FROM documents),
-h AS (SELECT r, name, i, sh FROM (SELECT r, i, array_to_string(w[i : i + 4], ' ') AS sh FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)) JOIN ts USING (sh)),
+h AS (SELECT r, name, i, sh FROM (SELECT r, size, i, array_to_string(w[i : i + size - 1], ' ') AS sh
+  FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d JOIN (SELECT DISTINCT size FROM ts) ON len(w) >= size)) JOIN ts USING (size, sh)),
 m AS (SELECT a.r, a.name, a.i, CAST(count(DISTINCT b.sh) AS DOUBLE) / any_value(n) AS share FROM h a JOIN tn ON tn.name = a.name JOIN h b ON b.r = a.r AND b.name = a.name AND b.i >= a.i AND b.i < a.i + 2 * tn.s GROUP BY 1, 2, 3),
 f AS (SELECT r, name, max(share) AS share FROM m WHERE share >= 0.8 GROUP BY 1, 2),
 g AS (SELECT r, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names, max(share) AS share FROM f GROUP BY 1)

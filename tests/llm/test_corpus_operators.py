@@ -107,10 +107,11 @@ def test_token_shards_of_nothing(spark, empty):
 def brute_licenses(text, least=0.8):
     cut = lambda t: re.findall(r"[0-9a-z\u0080-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
     words, out = cut(text), set()
-    have = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
     for name, template in licenses.TEMPLATES.items():
         w = cut(template)
-        own = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        n = min(5, len(w))
+        own = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+        have = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
         if len(own & have) / len(own) >= least:
             out.add(name)
     return out
@@ -133,6 +134,14 @@ def test_licenses_found_wherever_they_stand(spark):
             assert part.split()[0].strip('"').lower() in licenses.TEMPLATES[m.template].lower()
 
 
+def test_license_bodies_without_their_opening_and_short_notices(spark):
+    body = lambda name, cut: " ".join(licenses.TEMPLATES[name].split()[cut:])
+    texts = [body("MIT-text", 25), body("ISC-text", 15), body("BSD-2-Clause-text", 25), body("Zlib-text", 14), "Copyright 2020 X. ALL RIGHTS\nRESERVED!", "all rights are reserved", body("MIT-text", 60)]
+    df = spark.createDataFrame(list(enumerate("lorem ipsum " * 50 + t + " dolor sit" * 300 for t in texts)), "doc_id long, text string")
+    got = {r.doc_id: [m.template for m in r.matches] for r in licenses.scan(df).collect()}
+    assert got == {0: ["MIT-text"], 1: ["ISC-text"], 2: ["BSD-2-Clause-text"], 3: ["Zlib-text"], 4: ["All-rights-reserved"], 5: [], 6: []}
+
+
 def test_license_odd_rows(odd, empty):
     got = licenses.scan(odd).collect()
     assert len(got) == len(ODD) and not any(r.matches for r in got) and licenses.scan(empty).count() == 0
