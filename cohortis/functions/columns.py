@@ -107,6 +107,28 @@ def valid_labels(values: Column, allowed: list[float], atol: float = 1e-3) -> Co
     return F.when(whole, known).otherwise(F.lit(False))
 
 
+def offending_values(values: Column, allowed: list[float], atol: float = 1e-3, fractions: int = 5, unknown: int = 10) -> Column:
+    """What valid_labels objects to, as a struct: n_not_finite, n_fractional, and examples of each, smallest first and each once: up to
+    so many fractional values, and whole ones that aren't allowed. A null array gives a null; a null in it counts as not finite."""
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    told = F.filter(values, finite)
+    apart = F.filter(told, lambda v: F.abs(v - F.rint(v)) > atol)
+    # Adding 0 makes -0 and 0 one value.
+    whole = F.transform(F.filter(told, lambda v: F.abs(v - F.rint(v)) <= atol), lambda v: F.rint(v) + 0.0)
+    other = F.array_except(whole, F.array(*[F.lit(float(a)) for a in allowed]))
+    first = lambda a, n: F.slice(F.array_sort(F.array_distinct(a)), 1, n)
+    found = F.struct(
+        (F.size(values) - F.size(told)).cast("long").alias("n_not_finite"), F.size(apart).cast("long").alias("n_fractional"),
+        first(apart, fractions).alias("fractional"), first(other, unknown).alias("unknown"),
+    )
+    return F.when(values.isNotNull(), found)
+
+
+def case_problem(same: Column, found: Column) -> Column:
+    """grid, not finite, fractional or unknown labels: the first that a case with same_grid() and offending_values() has; null without."""
+    return F.when(~F.coalesce(same, F.lit(False)), "grid").when(found.isNull(), "no labels").when(found["n_not_finite"] > 0, "not finite").when(found["n_fractional"] > 0, "fractional labels").when(F.size(found["unknown"]) > 0, "unknown labels")
+
+
 def first_match(*cases: tuple[Column, str], otherwise: str) -> Column:
     out = F.when(*cases[0])
     for condition, value in cases[1:]:

@@ -242,6 +242,16 @@ def frequency_map(long: DataFrame, groups: Sequence[str], mask: Column) -> DataF
     return long.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in (*groups, "x", "y", "z")]).agg(F.avg(mask.cast("double")).alias("freq"))
 
 
+def cohort_maps(long: DataFrame, mask: Column, source: str = "source", split: str = "split", site: str = "site", pooled: str = "O1") -> DataFrame:
+    """Mean of the mask at each voxel and its subjects, by source, split and site; `all` for a site stands for all of them, and `all`
+    for a split too, of the pooled source alone (others have no training of their own). One aggregation, and one shuffle."""
+    xyz = ["x", "y", "z"]
+    sets = [[source, split, site, *xyz], [source, split, *xyz], [source, site, *xyz], [source, *xyz]]
+    made = long.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in (source, split, site, *xyz)]).agg(F.avg(mask.cast("double")).alias("freq"), F.count(F.lit(1)).alias("n"), F.grouping(split).alias("_split"), F.grouping(site).alias("_site"))
+    named = {c: F.when(F.col(g) == 1, "all").otherwise(F.col(c).cast("string")) for c, g in ((split, "_split"), (site, "_site"))}
+    return made.where((F.col("_split") == 0) | (F.col(source) == pooled)).withColumns(named).drop("_split", "_site")
+
+
 def map_agreement(maps: DataFrame, group: str, reference, value: str = "freq") -> DataFrame:
     """r of each group's map with the reference group's over the same voxels, and both means."""
     ref = maps.where(F.col(group) == reference).select("x", "y", "z", F.col(value).alias("_ref"))

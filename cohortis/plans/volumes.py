@@ -150,6 +150,20 @@ def label_validation(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", C.valid_labels(F.transform("embedding", lambda v: v.cast("double") * 5), [-1, 0, 1], 0.45).alias("valid"))
 
 
+@query("label_findings", "vec_id:l n_not_finite:l n_fractional:l least_fractional:d unknown problem", """
+WITH v AS (SELECT vec_id, CAST(embedding[i] AS DOUBLE) * 5 AS v FROM embeddings, range(1, 65) r(i) WHERE len(embedding) = 64),
+w AS (SELECT *, v IS NOT NULL AND NOT isnan(v) AND abs(v) < CAST('inf' AS DOUBLE) AS fin FROM v),
+o AS (SELECT vec_id, count(*) FILTER (WHERE NOT fin) AS n_not_finite, count(*) FILTER (WHERE fin AND abs(v - round_even(v, 0)) > 0.45) AS n_fractional, min(v) FILTER (WHERE fin AND abs(v - round_even(v, 0)) > 0.45) AS least_fractional FROM w GROUP BY 1),
+u AS (SELECT vec_id, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) FILTER (WHERE place <= 10) AS unknown FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY k) AS place FROM (SELECT DISTINCT vec_id, CAST(round_even(v, 0) AS BIGINT) AS k FROM w WHERE fin AND abs(v - round_even(v, 0)) <= 0.45) WHERE k NOT IN (-1, 0, 1)) GROUP BY 1)
+SELECT vec_id, n_not_finite, n_fractional, least_fractional, coalesce(unknown, '') AS unknown,
+  CASE WHEN n_not_finite > 0 THEN 'not finite' WHEN n_fractional > 0 THEN 'fractional labels' WHEN unknown IS NOT NULL THEN 'unknown labels' END AS problem FROM o LEFT JOIN u USING (vec_id)""")
+def label_findings(spark, sf):
+    found = cubes(spark, sf).select("vec_id", C.offending_values(F.transform("embedding", lambda v: v.cast("double") * 5), [-1, 0, 1], 0.45).alias("f"))
+    unknown = F.array_join(F.transform("f.unknown", lambda v: v.cast("long").cast("string")), ",")
+    return found.select("vec_id", "f.n_not_finite", "f.n_fractional", F.get("f.fractional", F.lit(0)).alias("least_fractional"), unknown.alias("unknown"), C.case_problem(F.lit(True), F.col("f")).alias("problem"))
+
+
 @query("describe_volumes", "vec_id:l low:d p1:d mid:d p99:d high:d", f"""
 WITH {VOX} SELECT vec_id, min(v) AS low, quantile_cont(v, CAST(0.01 AS DOUBLE)) AS p1, quantile_cont(v, CAST(0.5 AS DOUBLE)) AS mid, quantile_cont(v, CAST(0.99 AS DOUBLE)) AS p99, max(v) AS high FROM vox GROUP BY 1""")
 def describe_volumes(spark, sf):
@@ -314,6 +328,22 @@ def frequency_map(spark, sf):
     return maps.withColumn("i", F.col("x") + 4 * F.col("y") + 16 * F.col("z"))
 
 
+#: A cube's mean sign is its split; the sources are two cuts of the same cube.
+@query("cohort_maps", "source split site i:l freq:d n:l", f"""
+WITH {VOX}, c AS (SELECT vec_id, CASE WHEN sum(v) > 0 THEN 'training' ELSE 'test' END AS split FROM vox GROUP BY 1),
+s AS (SELECT split, CAST(label AS VARCHAR) AS site, i, source, v > cut AS m FROM vox JOIN c USING (vec_id), (VALUES ('O1', 0.1), ('O2', 0.2)) t(source, cut)),
+g AS (SELECT source, split, site, i, avg(CASE WHEN m THEN 1.0 ELSE 0.0 END) AS freq, count(*) AS n, grouping(split) AS gp, grouping(site) AS gs FROM s
+  GROUP BY GROUPING SETS ((source, split, site, i), (source, split, i), (source, site, i), (source, i)))
+SELECT source, CASE WHEN gp = 1 THEN 'all' ELSE split END AS split, CASE WHEN gs = 1 THEN 'all' ELSE site END AS site, i, freq, n FROM g WHERE gp = 0 OR source = 'O1'""")
+def cohort_maps(spark, sf):
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double"))
+    some = cubes(spark, sf).select("vec_id", F.col("label").cast("string").alias("site"), F.when(total > 0, "training").otherwise("test").alias("split"), "embedding")
+    long = V.voxels(some, ["vec_id", "site", "split"], "embedding", SHAPE)
+    cuts = F.explode(F.array(*[F.struct(F.lit(s).alias("source"), (F.col("v") > cut).alias("m")) for s, cut in (("O1", 0.1), ("O2", 0.2))]))
+    maps = V.cohort_maps(long.withColumn("c", cuts).select("*", "c.*"), F.col("m"))
+    return maps.withColumn("i", F.col("x") + 4 * F.col("y") + 16 * F.col("z"))
+
+
 @query("map_agreement", "label:l r:d mean:d mean_ref:d", f"""
 WITH {VOX}, f AS (SELECT label, i, avg(CASE WHEN v > 0.1 THEN 1.0 ELSE 0.0 END) AS f FROM vox GROUP BY 1, 2)
 SELECT a.label, corr(a.f, b.f) AS r, avg(a.f) AS mean, avg(b.f) AS mean_ref FROM f a JOIN f b ON a.i = b.i AND b.label = 0 WHERE a.label <> 0 GROUP BY 1""")

@@ -329,3 +329,25 @@ def test_mid_ranks_and_ranks(spark):
                 down[i] = len(values) + 1 if v is None else len(values) - below - same + 1
         got = R.min_ranks(R.min_ranks(R.mid_ranks(df, "v", keys), "v", False, "up", keys), "v", True, "down", keys).collect()
         assert {r.id: r["rank"] for r in got} == want and {r.id: r.up for r in got} == up and {r.id: r.down for r in got} == down
+
+
+def test_offending_values_and_problems_of_cases(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [0.0, 1.0, 2.0]), (2, [nan, inf, None, 0.5]), (3, [0.4, 0.2, 0.2, 9.0] + [k / 100 for k in range(30, 39)]), (4, [float(k) for k in range(20, 0, -1)]), (5, []), (6, None), (7, [1.0005, -0.0])]
+    df = spark.createDataFrame(rows, "id int, v array<double>").select("id", C.offending_values(F.col("v"), [0, 1, 2]).alias("f"))
+    got = {r.id: (r.f and tuple(r.f), r.p, r.g) for r in df.select("*", C.case_problem(F.lit(True), F.col("f")).alias("p"), C.case_problem(F.lit(None).cast("boolean"), F.col("f")).alias("g")).collect()}
+    assert got[1] == ((0, 0, [], []), None, "grid") and got[2][:2] == ((3, 1, [0.5], []), "not finite")
+    assert got[3][:2] == ((0, 12, [0.2, 0.3, 0.31, 0.32, 0.33], [9.0]), "fractional labels")
+    assert got[4][:2] == ((0, 0, [], [float(k) for k in range(3, 13)]), "unknown labels")
+    assert got[5][:2] == ((0, 0, [], []), None) and got[6][:2] == (None, "no labels") and got[7][1] is None
+
+
+def test_maps_pool_splits_of_one_source_only(spark):
+    rows = [("O1", "training", "a", 0, 1), ("O1", "test", "b", 0, 0), ("O1", "test", None, 0, 0), ("m", "test", "a", 0, 1), ("m", "test", "b", 0, 0)]
+    df = spark.createDataFrame(rows, "source string, split string, site string, x int, v int").withColumns({"y": F.lit(0), "z": F.lit(0)})
+    got = {(r.source, r.split, r.site): (round(r.freq, 4), r.n) for r in voxel.cohort_maps(df, F.col("v") > 0).collect()}
+    assert got == {
+        ("O1", "training", "a"): (1.0, 1), ("O1", "training", "all"): (1.0, 1), ("O1", "test", "b"): (0.0, 1), ("O1", "test", None): (0.0, 1), ("O1", "test", "all"): (0.0, 2),
+        ("O1", "all", "a"): (1.0, 1), ("O1", "all", "b"): (0.0, 1), ("O1", "all", None): (0.0, 1), ("O1", "all", "all"): (0.3333, 3),
+        ("m", "test", "a"): (1.0, 1), ("m", "test", "b"): (0.0, 1), ("m", "test", "all"): (0.5, 2),
+    }
