@@ -101,9 +101,9 @@ def same_grid(shape_a: Column, affine_a: Column, shape_b: Column, affine_b: Colu
 
 
 def valid_labels(values: Column, allowed: list[float], atol: float = 1e-3) -> Column:
-    """Whether all values are finite, whole within atol, and allowed."""
+    """Whether all values are finite, whole within atol, and allowed; -0 is 0."""
     whole = F.forall(values, lambda v: ~F.isnan(v) & (F.abs(v) < float("inf")) & (F.abs(v - F.rint(v)) <= atol))
-    known = F.size(F.array_except(F.array_distinct(F.transform(values, lambda v: F.rint(v))), F.array(*[F.lit(float(a)) for a in allowed]))) == 0
+    known = F.size(F.array_except(F.array_distinct(F.transform(values, lambda v: F.rint(v) + 0.0)), F.array(*[F.lit(float(a)) for a in allowed]))) == 0
     return F.when(whole, known).otherwise(F.lit(False))
 
 

@@ -331,6 +331,11 @@ def test_mid_ranks_and_ranks(spark):
         assert {r.id: r["rank"] for r in got} == want and {r.id: r.up for r in got} == up and {r.id: r.down for r in got} == down
 
 
+def test_zeros_below_zero_are_the_label_zero(spark):
+    df = spark.createDataFrame([([-0.0001, 1.0],), ([-0.0],), ([0.0, -0.0],), ([-1.0],)], "v array<double>")
+    assert [r[0] for r in df.select(C.valid_labels(F.col("v"), [0, 1, 2])).collect()] == [True, True, True, False]
+
+
 def test_offending_values_and_problems_of_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [0.0, 1.0, 2.0]), (2, [nan, inf, None, 0.5]), (3, [0.4, 0.2, 0.2, 9.0] + [k / 100 for k in range(30, 39)]), (4, [float(k) for k in range(20, 0, -1)]), (5, []), (6, None), (7, [1.0005, -0.0])]
