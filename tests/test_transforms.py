@@ -96,3 +96,28 @@ def test_resampling_against_a_plain_loop(spark, nearest):
     assert df.select(X.fraction_volume(F.array(F.lit(0.5), F.lit(1.0)), 3.0).alias("ml")).first().ml == pytest.approx(0.0045)
     none = spark.createDataFrame([(None,)], "v array<double>").select(X.resampled(F.col("v"), shape, F.array(*[F.lit(0.0)] * 12), to).alias("r")).first()
     assert none.r is None
+
+
+def test_mask_volume_is_rounded_from_its_exact_value(spark, data):
+    from decimal import ROUND_HALF_UP, Decimal
+    from fractions import Fraction
+
+    from cohortis.plans import catalogue
+    from cohortis.plans.base import table
+
+    def axis(step, n, shift=Fraction(0)):
+        """(voxel, its weight) of the one or two voxels about each place inside four voxels."""
+        for p in (step * i + shift for i in range(n)):
+            if p <= 3:
+                low = min(p.numerator // p.denominator, 2)
+                yield [(low, 1 - (p - low)), (low + 1, p - low)]
+
+    want = {}
+    for r in table(spark, data, "embeddings").collect():
+        if r.embedding is None or len(r.embedding) != 64:
+            continue
+        places = [(x, y, z) for z in axis(Fraction(1, 2), 7) for y in axis(Fraction(3, 4), 5, Fraction(r.label, 10)) for x in axis(Fraction(3, 4), 5)]
+        total = sum(a * b * c for x, y, z in places for i, a in x for j, b in y for k, c in z if r.embedding[i + 4 * j + 16 * k] > 0.1)
+        ml = total * Fraction(27, 32) / 1000
+        want[r.vec_id] = float((Decimal(ml.numerator) / Decimal(ml.denominator)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    assert {r.vec_id: r.mask_ml for r in catalogue.queries()["resampled_volume"](spark, data).collect()} == want
