@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import scans
 from .quantiles import exact_quantile
 
@@ -188,15 +189,16 @@ def scores(df: DataFrame, metrics: dict[str, bool], group: Sequence[str] = (), o
 def inserted(board: DataFrame, ours: DataFrame, metrics: dict[str, bool], team: str = "team") -> DataFrame:
     """For each of ours, inserted alone into the board: position, of (teams), score. All models at once, by model.
 
-    A position is counted, not sorted for: it is one more than the teams that come before by score, then name.
+    A position is counted, not sorted for: it is one more than the teams that come before by score (those without one last), then
+    name. The figures are written first: averages made twice can differ in their last bits, and a team would come before itself.
     """
     mine = ours.select(F.col(team).alias("model"), F.col(team), *metrics)
     everyone = board.select(team, *metrics).crossJoin(mine.select("model")).select("model", team, *metrics).unionByName(mine.select("model", team, *metrics))
-    scored = scores(everyone, metrics, ["model"])
+    scored = scores(written(everyone, "inserted"), metrics, ["model"])
     own = scored.where(F.col(team) == F.col("model")).groupBy("model").agg(F.min("score").alias("_score"))
     s, mark = F.col("score"), F.col("_score")
     level = s.eqNullSafe(mark)
-    ahead = (s < mark) | (s.isNull() & mark.isNotNull()) | (level & (F.col(team) < F.col("model")))
+    ahead = (s < mark) | (s.isNotNull() & mark.isNull()) | (level & (F.col(team) < F.col("model")))
     met = scored.join(own, "model")
     return met.groupBy("model").agg((F.count_if(F.coalesce(ahead, F.lit(False))) + 1).alias("position"), F.count(F.lit(1)).alias("teams"), F.first("_score").alias("score"))
 
