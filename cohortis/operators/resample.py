@@ -43,13 +43,14 @@ def levels(parts: Column) -> Column:
     return F.ceil(F.log2(parts.cast("double")) - 1e-9).cast("int")
 
 
-def with_paths(rows: DataFrame) -> DataFrame:
-    """Rows (_cell, _s, _part, _levels, ...) with _path: from the root down, each node's rows, those of its left half, and
-    whether the part is in the right one. Only numbers of rows are aggregated and joined."""
-    parts = rows.groupBy("_cell", "_s", "_part", "_levels").agg(F.count(F.lit(1)).alias("n"))
-    if not parts.where("_levels > 0").limit(1).count():  # no cell has more than one part
-        return rows.withColumn("_path", F.expr("cast(array() as array<struct<level int, n long, left long, right boolean>>)"))
-    deep = parts.where("_levels > 0")
+_NO_PATH = "cast(array() as array<struct<level int, n long, left long, right boolean>>)"
+
+
+def paths(rows: DataFrame) -> DataFrame:
+    """_cell, _s, _part, _path of rows (_cell, _s, _part, _levels, ...): from the root down, each node's rows, those of its left half,
+    and whether the part is in the right one. Only numbers of rows are aggregated and joined; a cell of one part has no row."""
+    parts = rows.where("_levels > 0").groupBy("_cell", "_s", "_part", "_levels").agg(F.count(F.lit(1)).alias("n"))
+    deep = written(parts, "parts")  # read three times
     each = deep.select("_cell", "_s", "_part", "n", "_levels", F.explode(F.sequence(F.lit(0), F.col("_levels"))).alias("level"))
     each = each.withColumn("node", F.expr("shiftright(_part, _levels - level)"))
     nodes = each.groupBy("_cell", "_s", "level", "node").agg(F.sum("n").alias("n"))
@@ -58,8 +59,13 @@ def with_paths(rows: DataFrame) -> DataFrame:
     beside = nodes.select("_cell", "_s", "level", F.col("node").alias("first"), F.col("n").alias("left"))
     met = steps.join(above, ["_cell", "_s", "up", "parent"]).join(beside, ["_cell", "_s", "level", "first"], "left")
     step = F.struct(F.col("level").cast("int").alias("level"), "n", F.coalesce("left", F.lit(0)).cast("long").alias("left"), "right")
-    paths = met.groupBy("_cell", "_s", "_part").agg(F.array_sort(F.collect_list(step)).alias("_path"))  # a row a level
-    return rows.join(paths, ["_cell", "_s", "_part"], "left").withColumn("_path", F.coalesce("_path", F.expr("cast(array() as array<struct<level int, n long, left long, right boolean>>)")))
+    return met.groupBy("_cell", "_s", "_part").agg(F.array_sort(F.collect_list(step)).alias("_path"))  # a row a level
+
+
+def with_paths(rows: DataFrame, walks: DataFrame | None = None) -> DataFrame:
+    """Rows (_cell, _s, _part, _levels, ...) with their _path, of paths()."""
+    walks = paths(rows) if walks is None else walks
+    return rows.join(walks, ["_cell", "_s", "_part"], "left").withColumn("_path", F.coalesce("_path", F.expr(_NO_PATH)))
 
 
 def _generator(seed: int, *name) -> np.random.Generator:
@@ -118,12 +124,54 @@ def draws(rows: DataFrame, order: Sequence[str], values: Sequence[str], n_boot:
     return made if by_part else made.groupBy("_cell", "_draw").agg(F.sum("_n").alias("_n"), *[F.sum(v).alias(v) for v in names])
 
 
-def means(df: DataFrame, keys: Sequence[str], value: str, stratum: str | None, order: str, n_boot: int, seed: int, part: int = PART) -> DataFrame:
-    """keys, _draw, _mean: the mean of each resample of each cell. df: rows whose value isn't null."""
-    rows = df.select(*keys, cell_name(keys).alias("_cell"), F.coalesce(F.col(stratum).cast("string"), F.lit("\x00")).alias("_s") if stratum else F.lit("").alias("_s"), F.col(order).alias("_o"), F.col(value).cast("double").alias("_v"))
-    dealt = with_paths(hashed_parts(rows, ["_s", "_o", "_v"], part))
-    made = draws(dealt, ["_o", "_v"], ["_v"], n_boot, seed)
-    return made.select("_cell", "_draw", (F.col("_v") / F.col("_n")).alias("_mean")).join(rows.select("_cell", *keys).distinct(), "_cell").drop("_cell")
+def few(table: DataFrame, most: int = 500_000) -> DataFrame:
+    """A written table with a row a cell, told to every task where it has at most so many rows (counted first)."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def stratum_sums(df: DataFrame, keys: Sequence[str], value: str, stratum: str | None, order: str, n_boot: int, seed: int, part: int = PART, together: Sequence[str] = ()) -> DataFrame:
+    """keys, _s, _draw, _v, _n: the sum and number of each resample of each stratum of each cell, written. df: rows whose value isn't null.
+
+    together: those of the keys (a metric, say) whose cells take the same draws where they have the same rows. Each cell's draws have
+    the distribution they would have alone; rows that several cells share are drawn once for all of them.
+    """
+    own, many = [k for k in keys if k not in together], [k for k in keys if k in together]
+    s = F.coalesce(F.col(stratum).cast("string"), F.lit("\x00")) if stratum else F.lit("")
+    rows = df.select(*keys, s.alias("_stratum"), F.col(order).alias("_o"), F.col(value).cast("double").alias("_v"))
+    rows = rows.withColumns({"_cell": cell_name([*own, "_stratum"]), "_s": cell_name(many)})
+    cells = written(rows.groupBy("_cell", "_s", "_stratum", *keys).agg(F.count(F.lit(1)).alias("_n")), "cells")
+    sizes = cells.groupBy("_cell").agg(F.greatest(F.ceil(F.max("_n") / part), F.lit(1)).cast("long").alias("_parts"))
+    # Rows that go together have to meet in one part: they are dealt by their order alone.
+    at = F.xxhash64("_o") if many else F.xxhash64("_o", "_v")
+    dealt = rows.select("_cell", "_s", "_o", "_v").join(few(sizes), "_cell").withColumns({"_part": F.pmod(at, F.col("_parts")), "_levels": levels(F.col("_parts"))}).drop("_parts")
+    walks = written(paths(dealt), "paths")
+
+    def one(key: tuple, pdf: pd.DataFrame, walk: pd.DataFrame) -> pd.DataFrame:
+        path = dict(zip(walk["_s"], walk["_path"], strict=True))
+        alike: dict[tuple, list] = {}  # rows and path -> the cells that have them
+        for name, mine in pdf.sort_values(["_s", "_o", "_v"]).groupby("_s", sort=True):
+            steps = path.get(name, [])
+            told = (tuple((x["level"], x["n"], x["left"], x["right"]) for x in steps), mine["_o"].to_numpy().tobytes() if mine["_o"].dtype != object else tuple(mine["_o"]))
+            alike.setdefault(told, []).append((name, steps, mine["_v"].to_numpy(dtype=float)))
+        out = []
+        for them in alike.values():
+            x = np.stack([v for _, _, v in them], axis=1)
+            sums = np.empty((n_boot, len(them)))
+            for block, c in counts(key[0], int(key[1]), [("", len(x), them[0][1])], n_boot, seed):
+                sums[block] = c @ x
+            out += [(key[0], name, sums[:, i]) for i, (name, _, _) in enumerate(them)]
+        return pd.DataFrame(out, columns=["_cell", "_s", "_sums"])
+
+    made = dealt.select("_cell", "_part", "_s", "_o", "_v").groupBy("_cell", "_part").cogroup(walks.groupBy("_cell", "_part")).applyInPandas(one, "_cell string, _s string, _sums array<double>")
+    drawn = made.select("_cell", "_s", F.posexplode("_sums").alias("_draw", "_v")).groupBy("_cell", "_s", "_draw").agg(F.sum("_v").alias("_v"))
+    told = cells.withColumnsRenamed({"_stratum": "_in"})
+    return written(drawn.join(told, ["_cell", "_s"]).select(*keys, F.col("_in").alias("_s"), "_draw", "_v", "_n"), "draws")
+
+
+def means(df: DataFrame, keys: Sequence[str], value: str, stratum: str | None, order: str, n_boot: int, seed: int, part: int = PART, together: Sequence[str] = ()) -> DataFrame:
+    """keys, _draw, _mean: the mean of each resample of each cell. df: rows whose value isn't null. together: see stratum_sums()."""
+    made = stratum_sums(df, keys, value, stratum, order, n_boot, seed, part, together)
+    return made.groupBy(*keys, "_draw").agg((F.sum("_v") / F.sum("_n")).alias("_mean"))
 
 
 def intervals(made: DataFrame, keys: Sequence[str], **columns: Column | str) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
@@ -94,24 +94,33 @@ def _of_sums(tail, *columns: str):
     return F.pandas_udf(run, "double")(*[F.col(c).cast("double") for c in columns])
 
 
-def _tie_sums(ranked: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """keys, ties (the sum of t cubed less t) and distinct, from counts of equal values."""
-    t = F.col("_t").cast("double")
-    return ranked.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_t")).groupBy(*keys).agg(F.sum(t**3 - t).alias("ties"), F.count(F.lit(1)).alias("distinct"))
+def _rank_totals(counts: DataFrame, keys: Sequence[str], value: str, also: dict[str, Column]) -> DataFrame:
+    """keys, rank_sum (mid-ranks of the `_k` rows of each value), ties (the sum of t cubed less t), distinct, and more sums. counts: a row for each
+    different value of a cell, of which `_t` rows are ranked and `_k` of them summed.
+
+    Values are dealt to ranges of their order and summed there; what a range adds to the next is a number. Nothing is joined to rows.
+    """
+    ranged = counts.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id())
+    own = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    t, k = F.col("_t"), F.col("_k")
+    rank = F.coalesce(F.sum("_t").over(own), F.lit(0)) + (t + 1) / 2.0
+    each = ranged.withColumn("_rank", rank).groupBy(*keys, "_range").agg(
+        F.sum("_t").alias("_t"), F.sum("_k").alias("_k"), F.sum(k * F.col("_rank")).alias("_w"), F.sum(t.cast("double") ** 3 - t).alias("_ties"), F.count_if(t > 0).alias("_distinct"), *[c.alias(n) for n, c in also.items()],
+    )
+    before = F.coalesce(F.sum("_t").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return each.withColumn("_before", before)
 
 
 def signed_rank_sums(df: DataFrame, keys: Sequence[str], difference: str) -> DataFrame:
-    """keys, n (differences), n_signed (those that aren't zero), w_plus, ties, distinct. All in the JVM. Where every difference is
-    about zero, none counts as signed."""
+    """keys, n (differences), n_signed (those that aren't zero), w_plus, ties, distinct. All in the JVM, from one reading of df. Where every
+    difference is about zero, none counts as signed."""
     d = F.col(difference).cast("double")
-    all_ = df.select(*keys, F.when(~F.isnan(d), d).alias("_d"))
-    whole = all_.groupBy(*keys).agg(F.count("_d").alias("n"), F.max(F.abs("_d")).alias("_top"))
-    ranked = mid_ranks(all_.where("_d <> 0").withColumn("_a", F.abs("_d")), "_a", keys, "_r")
-    sums = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("_w"))
-    met = whole.join(sums, [*keys], "left").join(_tie_sums(ranked, keys, "_a"), [*keys], "left")
+    all_ = df.select(*keys, F.when(~F.isnan(d), d).alias("_d")).withColumn("_a", F.abs("_d"))
+    counts = all_.groupBy(*keys, "_a").agg(F.count("_d").alias("_all"), F.count_if(F.col("_d") != 0).alias("_t"), F.count_if(F.col("_d") > 0).alias("_k"))
+    each = _rank_totals(counts, keys, "_a", {"_all": F.sum("_all"), "_top": F.max("_a")})
+    sums = each.groupBy(*keys).agg(F.sum("_all").alias("n"), F.max("_top").alias("_top"), F.sum("_t").alias("_m"), F.sum(F.col("_w") + F.col("_k") * F.col("_before")).alias("_w"), F.sum("_ties").alias("ties"), F.sum("_distinct").alias("distinct"))
     some = F.coalesce(F.col("_top") > 1e-8, F.lit(False))
-    zero = F.lit(0).cast("long")
-    return met.select(*keys, "n", F.when(some, F.col("_m")).otherwise(zero).alias("n_signed"), F.when(some, F.col("_w")).otherwise(0.0).alias("w_plus"), F.coalesce("ties", F.lit(0.0)).alias("ties"), F.coalesce("distinct", zero).alias("distinct"))
+    return sums.select(*keys, "n", F.when(some, F.col("_m")).otherwise(F.lit(0).cast("long")).alias("n_signed"), F.when(some, F.col("_w")).otherwise(0.0).alias("w_plus"), "ties", "distinct")
 
 
 def wilcoxon(df: DataFrame, keys: Sequence[str], difference: str) -> DataFrame:
@@ -126,11 +135,10 @@ def rank_sums(df: DataFrame, keys: Sequence[str], value: str, side: str) -> Data
     neither."""
     v = F.col(value).cast("double")
     every = df.select(*keys, F.when(~F.isnan(v), v).alias("_v"), F.col(side).alias("_side"))
-    ranked = mid_ranks(every.where("_v is not null and _side is not null"), "_v", keys, "_r")
-    sums = ranked.groupBy(*keys).agg(F.count_if("_side").alias("n_true"), F.count_if(~F.col("_side")).alias("n_false"), F.sum(F.when(F.col("_side"), F.col("_r")).otherwise(0.0)).alias("rank_sum"))
-    met = every.select(*keys).distinct().join(sums, [*keys], "left").join(_tie_sums(ranked, keys, "_v"), [*keys], "left")
-    zero = F.lit(0).cast("long")
-    return met.select(*keys, *[F.coalesce(c, zero).alias(c) for c in ("n_true", "n_false")], *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("rank_sum", "ties")], F.coalesce("distinct", zero).alias("distinct"))
+    ranked = F.col("_v").isNotNull() & F.col("_side").isNotNull()
+    counts = every.groupBy(*keys, "_v").agg(F.count_if(ranked).alias("_t"), F.count_if(ranked & F.col("_side")).alias("_k"))
+    each = _rank_totals(counts, keys, "_v", {})
+    return each.groupBy(*keys).agg(F.sum("_k").alias("n_true"), (F.sum("_t") - F.sum("_k")).alias("n_false"), F.sum(F.col("_w") + F.col("_k") * F.col("_before")).alias("rank_sum"), F.sum("_ties").alias("ties"), F.sum("_distinct").alias("distinct"))
 
 
 def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, side: str) -> DataFrame:
@@ -197,13 +205,34 @@ def _clean(c: Column) -> Column:
     return F.when(~F.isnan(c.cast("double")), c.cast("double"))
 
 
-def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str, stratum: str, order: str, n_boot: int = 2000, seed: int = 42) -> DataFrame:
+def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str, stratum: str, order: str, n_boot: int = 2000, seed: int = 42, together: Sequence[str] = (), groups: Column | None = None, group: str = "group") -> DataFrame:
     """n, n_missing, mean and a percentile interval of the mean, resampled within strata. Draws are seeded by cell and part, so
-    results don't depend on partitioning."""
+    results don't depend on partitioning.
+
+    together: keys whose cells may share draws (resample.stratum_sums). groups: an array of labels; a row counts in the cells of each of
+    them, under the key `group`. Where labels go by the stratum, as is checked, a stratum is drawn once for all its groups.
+    """
     keys = [*keys]
-    some = df.select(*keys, _clean(F.col(value)).alias("v"), F.col(stratum).alias("s"), F.col(order).alias("o"))
-    sums = some.groupBy(*keys).agg(F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("n_missing"), F.avg("v").alias("mean"))
-    drawn = resample.means(some.where("v is not null"), keys, "v", "s", "o", n_boot, seed)
+    some = df.select(*[k for k in keys if groups is None or k != group], _clean(F.col(value)).alias("v"), F.col(stratum).alias("s"), F.col(order).alias("o"), *([] if groups is None else [groups.alias("_groups")]))
+    some = resample.written(some, "bootstrap")  # read by sums and draws
+    count = lambda d, by: d.groupBy(*by).agg(F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("n_missing"), F.sum("v").alias("_sum"))
+    told = None
+    if groups is not None:
+        name = F.coalesce(F.col("s").cast("string"), F.lit("\x00"))
+        told = resample.written(some.select(name.alias("_s"), "_groups").distinct(), "groups")  # a row a stratum, if all is well
+        if told.groupBy("_s").count().where("count > 1").limit(1).count():
+            some, told = some.withColumn(group, F.explode("_groups")).drop("_groups"), None
+    if told is None:
+        sums = count(some, keys)
+        drawn = resample.means(some.where("v is not null"), keys, "v", "s", "o", n_boot, seed, together=together)
+    else:
+        base = [k for k in keys if k != group]
+        labels = told.select("_s", F.explode("_groups").alias(group))
+        each = count(some.withColumn("_s", name), [*base, "_s"]).join(labels, "_s")
+        sums = each.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "n_missing", "_sum")])
+        by_stratum = resample.stratum_sums(some.where("v is not null"), base, "v", "s", "o", n_boot, seed, together=together)
+        drawn = by_stratum.join(labels, "_s").groupBy(*keys, "_draw").agg((F.sum("_v") / F.sum("_n")).alias("_mean"))
+    sums = sums.withColumn("mean", F.try_divide("_sum", "n")).drop("_sum")
     found = resample.intervals(drawn, keys, ci="_mean").withColumnsRenamed({"ci_from": "low", "ci_to": "high"})
     return scans.beside(sums, found, keys, "low", "high")
 
@@ -216,21 +245,21 @@ def paired_table(pairs: DataFrame, stratum: str, subject: str, n_boot: int = 200
     both = F.col("d").isNotNull()
     mean = lambda c: F.avg(F.when(both, F.col(c)))
     sums = every.groupBy(*keys).agg(F.count("d").alias("n"), mean("va").alias("mean_a"), mean("vb").alias("mean_b"), F.avg("d").alias("mean_diff"))
-    found = resample.intervals(resample.means(every.where(both), keys, "d", "s", "o", n_boot, seed), keys, ci="_mean").withColumnsRenamed({"ci_from": "low", "ci_to": "high"})
+    found = resample.intervals(resample.means(every.where(both), keys, "d", "s", "o", n_boot, seed, together=["metric"]), keys, ci="_mean").withColumnsRenamed({"ci_from": "low", "ci_to": "high"})
     met = scans.beside(scans.beside(sums, found, keys, "low", "high"), wilcoxon(every, keys, "d"), keys, "p")
     return holm(met, ["family"], "p", ["a", "b", "metric"])
 
 
-def unpaired_table(long: DataFrame, keys: Sequence[str], side: str, stratum: str, subject: str, family: Sequence[str], n_boot: int = 2000, seed: int = 42) -> DataFrame:
+def unpaired_table(long: DataFrame, keys: Sequence[str], side: str, stratum: str, subject: str, family: Sequence[str], n_boot: int = 2000, seed: int = 42, together: Sequence[str] = ()) -> DataFrame:
     """Unseen less seen (side: whether seen) of (keys, value): means, difference with interval, U-test p, Holm in the family.
-    Cells with an empty side are left out; the sides are drawn apart."""
+    Cells with an empty side are left out; the sides are drawn apart. together: keys whose cells may share draws."""
     keys = [*keys]
     some = long.select(*keys, F.col(side).alias("_side"), F.col(stratum).alias("s"), F.col(subject).alias("o"), _clean(F.col("value")).alias("v")).where("v is not null and _side is not null")
     some = resample.written(some, "sides")  # read by sums, ranks, and draws
     seen, unseen = F.when(F.col("_side"), F.col("v")), F.when(~F.col("_side"), F.col("v"))
     sums = some.groupBy(*keys).agg(F.count(seen).alias("n_seen"), F.count(unseen).alias("n_unseen"), F.avg(seen).alias("mean_seen"), F.avg(unseen).alias("mean_unseen")).where("n_seen > 0 and n_unseen > 0")
     sums = sums.withColumn("diff", F.col("mean_unseen") - F.col("mean_seen"))
-    drawn = resample.means(some, [*keys, "_side"], "v", "s", "o", n_boot, seed)
+    drawn = resample.means(some, [*keys, "_side"], "v", "s", "o", n_boot, seed, together=together)
     apart = drawn.groupBy(*keys, "_draw").agg((F.max(F.when(~F.col("_side"), F.col("_mean"))) - F.max(F.when(F.col("_side"), F.col("_mean")))).alias("_diff"))
     found = resample.intervals(apart, keys, ci="_diff").withColumnsRenamed({"ci_from": "low", "ci_to": "high"})
     met = scans.beside(scans.beside(sums, found, keys, "low", "high"), mann_whitney(some, keys, "v", "_side"), keys, "p")

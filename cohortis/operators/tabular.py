@@ -125,8 +125,9 @@ def robust_z(df: DataFrame, group: Sequence[str], value: str, least: int = 1, ou
 def holm(df: DataFrame, family: Sequence[str], p: str, order: Sequence[str], out: str = "p_holm") -> DataFrame:
     """Holm's adjusted p within each family: (m - k + 1) p by rank, running maximum, at most 1. Null p stay null. Families may
     be of any size: ranks and maxima come from scans over ranges, m from an aggregate."""
-    rows = scans.row_numbers(scans.placed(df, family, [F.asc_nulls_last(p), *order]), family, "_at")
-    m = df.groupBy(*family).agg(F.count(p).alias("_m")) if family else df.agg(F.count(p).alias("_m"))
+    placed = scans.placed(df, family, [F.asc_nulls_last(p), *order])  # df is read once: its p may have cost much
+    rows = scans.row_numbers(placed, family, "_at")
+    m = placed.groupBy(*family).agg(F.count(p).alias("_m")) if family else placed.agg(F.count(p).alias("_m"))
     met = scans.beside(rows, m, family, "_m").withColumn("_step", (F.col("_m") - F.col("_at") + 1) * F.col(p))
     top = scans.running_max(met, family, "_step", "_top")
     return top.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), "_top"))).drop("_step", "_at", "_m", "_top", scans.AT)

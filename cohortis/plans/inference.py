@@ -178,9 +178,9 @@ def shapiro_test(spark, sf):
 @query("bootstrap_ci", "model group metric n:l n_missing:l mean:d low:d high:d")
 def bootstrap_ci(spark, sf):
     ev = evaluation(spark, sf)
-    groups = F.explode(F.array(F.lit("all"), F.concat(F.lit("scanner="), "scanner"), F.concat(F.lit("seen="), F.initcap(F.col("seen").cast("string")))))
-    long = R.long(ev.withColumn("group", groups), ["participant", "model", "group", "scanner"], M)
-    return stats.bootstrap_ci(long, ["model", "group", "metric"], "value", "scanner", "participant")
+    groups = F.array(F.lit("all"), F.concat(F.lit("scanner="), "scanner"), F.concat(F.lit("seen="), F.initcap(F.col("seen").cast("string"))))
+    long = R.long(ev, ["participant", "model", "scanner", "seen"], M)
+    return stats.bootstrap_ci(long, ["model", "group", "metric"], "value", "scanner", "participant", together=["metric"], groups=groups)
 
 
 @query("paired_table", "family a b metric n:l mean_a:d mean_b:d mean_diff:d low:d high:d p:d p_holm:d")
@@ -191,13 +191,13 @@ def paired_table(spark, sf):
 @query("seen_unseen_table", "model metric n_seen:l n_unseen:l mean_seen:d mean_unseen:d diff:d low:d high:d p:d p_holm:d")
 def seen_unseen_table(spark, sf):
     long = R.long(evaluation(spark, sf), ["participant", "model", "scanner", "seen"], M)
-    return stats.unpaired_table(long, ["model", "metric"], "seen", "scanner", "participant", ["metric"])
+    return stats.unpaired_table(long, ["model", "metric"], "seen", "scanner", "participant", ["metric"], together=["metric"])
 
 
 @query("gain_unseen_table", "a b metric n_seen:l n_unseen:l mean_seen:d mean_unseen:d diff:d low:d high:d p:d p_holm:d")
 def gain_unseen_table(spark, sf):
     d = differences(spark, sf).withColumn("value", F.col("va") - F.col("vb"))
-    return stats.unpaired_table(d, ["a", "b", "metric"], "seen", "scanner", "participant", ["a", "b"])
+    return stats.unpaired_table(d, ["a", "b", "metric"], "seen", "scanner", "participant", ["a", "b"], together=["metric"])
 
 
 @query("agreement_table", "rater_name n:l n_excluded:l icc:d icc_from:d icc_to:d bias:d sd:d loa_low:d loa_high:d shapiro_p:d raw_diff:d ratio:d")
