@@ -100,18 +100,26 @@ def strata_of(pdf: pd.DataFrame) -> list[tuple[str, int, list]]:
     return [(name, len(own), own["_path"].iloc[0]) for name, own in pdf.groupby("_s", sort=True)]
 
 
-def draws(rows: DataFrame, order: Sequence[str], values: Sequence[str], n_boot: int, seed: int, by_part: bool = False) -> DataFrame:
+def draws(rows: DataFrame, order: Sequence[str], values: Sequence[str], n_boot: int, seed: int, by_part: bool = False, walks: DataFrame | None = None) -> DataFrame:
     """_cell, _draw, _n and the sum of each value column over each resample; by_part: those of each _part.
 
-    rows: with_paths() rows. In a task is one part of one cell, sorted by stratum and order first.
+    rows: with_paths() rows, or rows without paths and walks, their paths(): a path is then told once to a part. In a task is one
+    part of one cell, sorted by stratum and order first.
     """
     names = [*values]
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return of(key, pdf, strata_of)
+
+    def led(key: tuple, pdf: pd.DataFrame, walk: pd.DataFrame) -> pd.DataFrame:
+        path = dict(zip(walk["_s"], walk["_path"], strict=True))
+        return of(key, pdf, lambda p: [(name, len(own), path.get(name, [])) for name, own in p.groupby("_s", sort=True)])
+
+    def of(key: tuple, pdf: pd.DataFrame, strata) -> pd.DataFrame:
         pdf = pdf.sort_values(["_s", *order])
         x = np.concatenate([pdf[names].to_numpy(dtype=float), np.ones((len(pdf), 1))], axis=1)
         sums = np.empty((n_boot, len(names) + 1))
-        for own, c in counts(key[0], int(key[1]), strata_of(pdf), n_boot, seed):
+        for own, c in counts(key[0], int(key[1]), strata(pdf), n_boot, seed):
             sums[own] = c @ x
         out = pd.DataFrame(sums[:, :-1], columns=names)
         return out.assign(_cell=key[0], _part=int(key[1]), _draw=np.arange(n_boot), _n=sums[:, -1].astype(np.int64))[["_cell", "_part", "_draw", "_n", *names]]
@@ -119,8 +127,11 @@ def draws(rows: DataFrame, order: Sequence[str], values: Sequence[str], n_boot:
     schema = T.StructType.fromDDL("_cell string, _part long, _draw int, _n long")
     for v in names:
         schema = schema.add(v, T.DoubleType())
-    kept = rows.select("_cell", "_part", "_s", "_path", *dict.fromkeys([*order, *names]))
-    made = kept.groupBy("_cell", "_part").applyInPandas(one, schema)
+    columns = ["_cell", "_part", "_s", *dict.fromkeys([*order, *names])]
+    if walks is None:
+        made = rows.select(*columns, "_path").groupBy("_cell", "_part").applyInPandas(one, schema)
+    else:
+        made = rows.select(*columns).groupBy("_cell", "_part").cogroup(walks.groupBy("_cell", "_part")).applyInPandas(led, schema)
     return made if by_part else made.groupBy("_cell", "_draw").agg(F.sum("_n").alias("_n"), *[F.sum(v).alias(v) for v in names])
 
 
@@ -181,10 +192,10 @@ def intervals(made: DataFrame, keys: Sequence[str], **columns: Column | str) ->
     return found.select(*keys, *[F.get(f"_{n}", F.lit(i)).alias(f"{n}_{end}") for n in columns for i, end in enumerate(("from", "to"))])
 
 
-def order_statistics(rows: DataFrame, order: Sequence[str], value: str, found: DataFrame, ranks: DataFrame, n_boot: int, seed: int) -> DataFrame:
+def order_statistics(rows: DataFrame, order: Sequence[str], value: str, found: DataFrame, ranks: DataFrame, n_boot: int, seed: int, walks: DataFrame | None = None) -> DataFrame:
     """_cell, _draw, _rank, value: the value at each rank (from 0) of each resample.
 
-    rows: with_paths() rows whose parts follow the order of the value in the cell. found: draws(by_part=True) of the same rows.
+    rows: with_paths() rows (or walks apart, as in draws()) whose parts follow the order of the value in the cell. found: draws(by_part=True) of the same rows.
     ranks: _cell, _rank. What was drawn in the parts before tells which part of a draw holds a rank; only that part draws again, from
     the same generators, and finds it among its rows.
     """
@@ -207,5 +218,8 @@ def order_statistics(rows: DataFrame, order: Sequence[str], value: str, found: D
                     got[i] = x[up[np.searchsorted(upto[draw[i] - own.start], within[i], side="right")]]
         return pd.DataFrame({"_cell": key[0], "_draw": draw, "_rank": want["_rank"].to_numpy(), value: got})[columns]
 
+    if walks is not None:  # the few parts that hold a rank
+        wanted = written(wanted, "wanted")
+        rows = with_paths(rows.join(few(written(wanted.select("_cell", "_part").distinct(), "held")), ["_cell", "_part"], "left_semi"), walks)
     kept = rows.select("_cell", "_part", "_s", "_path", *dict.fromkeys([*order, value]))
     return kept.groupBy("_cell", "_part").cogroup(wanted.groupBy("_cell", "_part")).applyInPandas(one, f"_cell string, _draw int, _rank long, `{value}` double")

@@ -35,10 +35,16 @@ def spearman(df: DataFrame, x: str, y: str, group: Sequence[str] = ()) -> DataFr
 
 def kruskal_h(df: DataFrame, group: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """n, k, H (tie-corrected) and, for an even number of degrees, p in closed form; null where there is no spread."""
-    some = mid_ranks(df.where(F.col(value).isNotNull()), value, keys, "_r")
-    ties = some.groupBy(*keys, value).agg(F.count(F.lit(1)).cast("double").alias("_t")).groupBy(*keys).agg(F.sum(F.col("_t") ** 3 - F.col("_t")).alias("_ties"))
-    sums = some.groupBy(*keys, group).agg(F.sum("_r").alias("_s"), F.count(F.lit(1)).alias("_m")).groupBy(*keys).agg(F.sum("_m").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("_s") ** 2 / F.col("_m")).alias("_q"))
-    met = sums.join(ties, [*keys]) if keys else sums.crossJoin(ties)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value, group).agg(F.count(F.lit(1)).alias("_c"))
+    # Ranks by ranges of the values, as in _rank_totals(); a value's rows lie in one range.
+    ranged = counts.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id())
+    c, t = F.col("_c"), F.col("_t")
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_range").orderBy(value))  # rows with the same value included
+    ranked = ranged.withColumns({"_upto": upto, "_t": F.sum("_c").over(Window.partitionBy(*keys, "_range", value))})
+    each = ranked.groupBy(*keys, "_range", group).agg(F.sum("_c").alias("_m"), F.sum(c * (F.col("_upto") - t + (t + 1) / 2.0)).alias("_w"), F.sum(c * (t.cast("double") ** 2 - 1)).alias("_ties"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(*keys).orderBy("_range").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = each.withColumn("_before", before).groupBy(*keys, group).agg(F.sum("_m").alias("_m"), F.sum(F.col("_w") + F.col("_m") * F.col("_before")).alias("_s"), F.sum("_ties").alias("_ties"))
+    met = sums.groupBy(*keys).agg(F.sum("_m").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("_s") ** 2 / F.col("_m")).alias("_q"), F.sum("_ties").alias("_ties"))
     n = F.col("n").cast("double")
     h = F.try_divide(12 / (n * (n + 1)) * F.col("_q") - 3 * (n + 1), 1 - F.try_divide(F.col("_ties"), n**3 - n))
     out = met.withColumn("h", F.when(F.col("k") >= 2, h))
@@ -292,14 +298,16 @@ def agreement(pairs: DataFrame, keys: Sequence[str], kind: str | Column, stratum
     ok = F.col("d").isNotNull()
     of = lambda f, c: f(F.when(ok, F.col(c)))
     sums = every.groupBy("_cell", *keys).agg(F.count("d").alias("n"), F.count_if(~ok).alias("n_excluded"), of(F.avg, "x").alias("mx"), of(F.avg, "y").alias("my"), of(F.var_pop, "x").alias("vx"), of(F.var_pop, "y").alias("vy"), F.covar_pop(F.when(ok, F.col("x")), F.when(ok, F.col("y"))).alias("c"), F.avg("d").alias("bias"), F.stddev_samp("d").alias("sd"), of(F.avg, "raw").alias("raw_diff"), F.first("_log").alias("_log"))
-    enough = sums.where(F.col("n") >= least).select("_cell", "n", ((F.col("mx") + F.col("my")) / 2).alias("_mid"))
+    sums = resample.written(sums, "agreement-sums")  # a row a cell
+    enough = resample.few(sums.where(F.col("n") >= least).select("_cell", "n", ((F.col("mx") + F.col("my")) / 2).alias("_mid")))
     rows = scans.placed(every.where(ok).select("_cell", "_s", "_o", "x", "y", "d"), ["_cell"], ["d", "_s", "_o", "x"])
     rows = scans.row_numbers(rows, ["_cell"], "_row").drop(scans.AT).join(enough, "_cell")
+    rows = resample.written(rows, "agreement-rows")  # read by draws, limits, and the test of normality
     # Sums of values about the cell's middle, so that squares keep their digits.
     u, v = F.col("x") - F.col("_mid"), F.col("y") - F.col("_mid")
     dealt = rows.withColumns({"_part": F.floor((F.col("_row") - 1) / part), "_levels": resample.levels(F.ceil(F.col("n") / part)), "u": u, "v": v, "uu": u * u, "vv": v * v, "uv": u * v})
-    dealt = resample.with_paths(dealt)
-    by_part = resample.written(resample.draws(dealt, ["_o", "d"], ["u", "v", "uu", "vv", "uv"], n_boot, seed, by_part=True), "agreement-draws")
+    walks = resample.written(resample.paths(dealt), "paths")
+    by_part = resample.written(resample.draws(dealt, ["_o", "d"], ["u", "v", "uu", "vv", "uv"], n_boot, seed, by_part=True, walks=walks), "agreement-draws")
     whole = by_part.groupBy("_cell", "_draw").agg(*[F.sum(c).alias(c) for c in ("_n", "u", "v", "uu", "vv", "uv")])
     m = {c: F.col(c) / F.col("_n") for c in ("u", "v", "uu", "vv", "uv")}
     icc = _icc(F.col("_n").cast("double"), m["u"] - m["v"], m["uu"] - m["u"] ** 2, m["vv"] - m["v"] ** 2, m["uv"] - m["u"] * m["v"])
@@ -308,7 +316,7 @@ def agreement(pairs: DataFrame, keys: Sequence[str], kind: str | Column, stratum
     ends = F.array(*[F.struct(F.lit(i).alias("limit"), f(at).cast("long").alias("_rank"), (at - F.floor(at)).alias("_share"), F.lit(high).alias("high")) for i, at in enumerate(place) for high, f in ((False, F.floor), (True, F.ceil))])
     wanted = enough.select("_cell", F.explode(ends).alias("e")).select("_cell", "e.*")
     between = lambda value: F.max(F.when(~F.col("high"), F.col(value) * (1 - F.col("_share")))) + F.max(F.when(F.col("high"), F.col(value) * F.col("_share")))
-    found = resample.order_statistics(dealt, ["_o", "d"], "d", by_part, wanted.select("_cell", "_rank").distinct(), n_boot, seed)
+    found = resample.order_statistics(dealt, ["_o", "d"], "d", by_part, wanted.select("_cell", "_rank").distinct(), n_boot, seed, walks)
     limits = found.join(wanted, ["_cell", "_rank"]).groupBy("_cell", "_draw", "limit").agg(between("d").alias("at"))
     limits = limits.groupBy("_cell", "_draw").agg(*[F.max(F.when(F.col("limit") == i, F.col("at"))).alias(f"loa_{w}") for i, w in enumerate(("low", "high"))])
     spread = scans.beside(resample.intervals(whole.withColumn("icc", icc), ["_cell"], icc="icc"), resample.intervals(limits, ["_cell"], loa_low="loa_low", loa_high="loa_high"), ["_cell"], *[f"loa_{w}_{e}" for w in ("low", "high") for e in ("from", "to")])
@@ -326,13 +334,14 @@ def agreement(pairs: DataFrame, keys: Sequence[str], kind: str | Column, stratum
     )
 
 
-def biases(pairs: DataFrame, keys: Sequence[str], scanner: str, subject: str, kind: str | Column, n_boot: int = 2000, seed: int = 42, least: int = 3) -> DataFrame:
-    """Mean difference on the scale in each scanner with at least `least` subjects, its interval, and the signed-rank p."""
+def biases(pairs: DataFrame, keys: Sequence[str], scanner: str, subject: str, kind: str | Column, n_boot: int = 2000, seed: int = 42, least: int = 3, together: Sequence[str] = ()) -> DataFrame:
+    """Mean difference on the scale in each scanner with at least `least` subjects, its interval, and the signed-rank p. together: keys
+    whose cells may share draws."""
     keys = [*keys, scanner]
     some = pairs.select(*keys, F.col(subject).alias("o"), (_scaled(F.col("rater"), kind) - _scaled(F.col("ref"), kind)).alias("d")).where("d is not null")
     some = resample.written(some, "biases")  # read by sums, ranks, and draws
     sums = some.groupBy(*keys).agg(F.count("d").alias("n"), F.avg("d").alias("bias")).where(F.col("n") >= least)
-    found = resample.intervals(resample.means(some, keys, "d", None, "o", n_boot, seed), keys, ci="_mean").withColumnsRenamed({"ci_from": "low", "ci_to": "high"})
+    found = resample.intervals(resample.means(some, keys, "d", None, "o", n_boot, seed, together=together), keys, ci="_mean").withColumnsRenamed({"ci_from": "low", "ci_to": "high"})
     return scans.beside(scans.beside(sums, found, keys, "low", "high"), wilcoxon(some, keys, "d"), keys, "p")
 
 
@@ -341,8 +350,8 @@ def bias_by_scanner(pairs: DataFrame, keys: Sequence[str], scanner: str, subject
     return holm(biases(pairs, keys, scanner, subject, kind, n_boot, seed, least), [], "p", [*keys, scanner])
 
 
-def agreement_run(table: DataFrame, kinds: dict[str, str], reference: str, sources: Sequence[str] | None = None, only_in: dict[str, Sequence[str]] | None = None, subject: str = "participant_id", source: str = "source", scanner: str = "scanner", split: str = "split", n_boot: int = 2000, seed: int = 42, least: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(overall, by scanner) for every biomarker, split and source beside the reference source.
+def agreement_run(table: DataFrame, kinds: dict[str, str], reference: str, sources: Sequence[str] | None = None, only_in: dict[str, Sequence[str]] | None = None, subject: str = "participant_id", source: str = "source", scanner: str = "scanner", split: str = "split", n_boot: int = 2000, seed: int = 42, least: int = 3, tables: Sequence[str] = ("overall", "by_scanner")) -> tuple[DataFrame | None, DataFrame | None]:
+    """(overall, by scanner; None for one that isn't among the tables asked for) for every biomarker, split and source beside the reference source.
 
     kinds: biomarker column -> its scale. sources: those that count (all). only_in: split -> the only sources that count there.
     overall: split, rater_name, biomarker, what agreement() says, and Kruskal and Wallis's test of the differences between scanners, adjusted by Holm
@@ -360,9 +369,12 @@ def agreement_run(table: DataFrame, kinds: dict[str, str], reference: str, sourc
     pairs = resample.written(pairs, "agreement-pairs")
     # One run over all biomarkers: each row knows its scale.
     kind = F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("biomarker"))
-    # Differences that only a rounding error parts are ties.
-    d = pairs.select(*named, "scanner", F.round(_scaled(F.col("rater"), kind) - _scaled(F.col("ref"), kind), 12).alias("d"))
-    tested = holm(kruskal(d, named, "scanner", "d"), [], "p", named).withColumnsRenamed({"h": "h_site", "p": "p_site", "p_holm": "p_site_holm"})
-    overall = agreement(pairs, named, kind, "scanner", "subject", n_boot, seed, least)
-    by_scanner = biases(pairs, named, "scanner", "subject", kind, n_boot, seed, least)
-    return scans.beside(overall, tested, named, "h_site", "p_site", "p_site_holm"), holm(by_scanner, [], "p", [*named, "scanner"])
+    overall = by_scanner = None
+    if "overall" in tables:
+        # Differences that only a rounding error parts are ties.
+        d = pairs.select(*named, "scanner", F.round(_scaled(F.col("rater"), kind) - _scaled(F.col("ref"), kind), 12).alias("d"))
+        tested = holm(kruskal(d, named, "scanner", "d"), [], "p", named).withColumnsRenamed({"h": "h_site", "p": "p_site", "p_holm": "p_site_holm"})
+        overall = scans.beside(agreement(pairs, named, kind, "scanner", "subject", n_boot, seed, least), tested, named, "h_site", "p_site", "p_site_holm")
+    if "by_scanner" in tables:
+        by_scanner = holm(biases(pairs, named, "scanner", "subject", kind, n_boot, seed, least, together=["biomarker"]), [], "p", [*named, "scanner"])
+    return overall, by_scanner

@@ -233,13 +233,13 @@ SELECT 'test' AS split, i.rater_name, i.biomarker, i.n, n_excluded, (msr - mse)
 def agreement_run(spark, sf):
     """Every metric on its scale, every model beside F. The intervals are agreement_table's."""
     table_ = evaluation(spark, sf).withColumn("split", F.lit("test"))
-    return stats.agreement_run(table_, _KINDS, "F", sources=["O", "P"], subject="participant", source="model")[0]
+    return stats.agreement_run(table_, _KINDS, "F", sources=["O", "P"], subject="participant", source="model", tables=["overall"])[0]
 
 
 @query("agreement_by_scanner", "split rater_name biomarker scanner n:l bias:d low:d high:d p:d p_holm:d")
 def agreement_by_scanner(spark, sf):
     table_ = evaluation(spark, sf).withColumn("split", F.lit("test"))
-    return stats.agreement_run(table_, _KINDS, "F", sources=["O", "P"], subject="participant", source="model")[1]
+    return stats.agreement_run(table_, _KINDS, "F", sources=["O", "P"], subject="participant", source="model", tables=["by_scanner"])[1]
 
 
 #: All components of a vector are features.
