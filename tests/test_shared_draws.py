@@ -69,3 +69,12 @@ def test_rank_tests_and_holm_read_their_rows_once(spark, rows, tmp_path):
     assert scans_of(stats.rank_sums(df, ["metric"], "v", "seen")) == 1
     held = R.holm(df.groupBy("metric").agg(F.avg("v").alias("p")), [], "p", ["metric"])
     assert str(tmp_path) not in held._jdf.queryExecution().toString()
+
+
+def test_agreement_run_makes_only_the_table_asked_for(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "x", "t", s, float(i + 1 + k)) for i in range(5) for k, s in enumerate(("ref", "m"))], "participant_id long, scanner string, split string, source string, b double")
+    made = []
+    monkeypatch.setattr(stats, "agreement", lambda *a, **k: made.append("agreement"))
+    monkeypatch.setattr(stats, "biases", lambda *a, **k: made.append("biases"))
+    monkeypatch.setattr(stats, "holm", lambda *a, **k: None)
+    assert stats.agreement_run(df, {"b": "raw"}, "ref", tables=["by_scanner"]) == (None, None) and made == ["biases"]
