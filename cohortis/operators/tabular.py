@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from . import scans
-from .quantiles import exact_quantile
+from .quantiles import exact_quantile, exact_quantiles
 
 # -- summaries -------------------------------------------------------------------------------------------------------
 
@@ -122,6 +122,15 @@ def robust_z(df: DataFrame, group: Sequence[str], value: str, least: int = 1, ou
     return met.join(spread, [*group]).withColumn(out, F.when(F.col("_n") >= least, z)).drop("_med", "_mad", "_n")
 
 
+def robust_limits(df: DataFrame, group: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """group, n, and med_ and mad_ of each value: what robust_z() of many columns needs, for groups of any size. df is scanned
+    once for n and four times for all values together; only partial aggregates are shuffled. Tables of a row a group are written."""
+    keep = lambda made: written(made, "limits")
+    med = keep(df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).join(exact_quantiles(df, group, {f"med_{v}": v for v in values}, 0.5, keep=keep), [*group]))
+    off = df.select(*group, *values).join(med, [*group]).select(*group, *[F.abs(F.col(v) - F.col(f"med_{v}")).alias(v) for v in values])
+    return keep(med.join(exact_quantiles(off, group, {f"mad_{v}": v for v in values}, 0.5, keep=keep), [*group]))
+
+
 def holm(df: DataFrame, family: Sequence[str], p: str, order: Sequence[str], out: str = "p_holm") -> DataFrame:
     """Holm's adjusted p within each family: (m - k + 1) p by rank, running maximum, at most 1. Null p stay null. Families may
     be of any size: ranks and maxima come from scans over ranges, m from an aggregate."""

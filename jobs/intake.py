@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortis.operators import tabular as R
+from cohortis.session import ship
 
-from .measures import n_words, site_label
+from .measures import counted, site_label
 
 log = logging.getLogger("jobs.intake")
 DEFAULTS = json.load(open(os.path.join(os.path.dirname(__file__), "intake.json")))
@@ -44,7 +45,7 @@ def ledger_rows(delivered: DataFrame, columns: dict[str, str]) -> DataFrame:
     record = F.col(columns["record"])
     made = delivered.select(
         record.alias("record"), F.col(columns["site"]).alias("site"), F.col(columns["modality"]).alias("modality"), F.octet_length(raw).cast("long").alias("bytes"),
-        n_words(text).alias("words"), F.sha2(raw, 256).alias("sha256"), F.col("_metadata.file_modification_time").alias("delivered_at"), F.col("_metadata.file_name").alias("file"),
+        counted(text)["words"].alias("words"), F.sha2(raw, 256).alias("sha256"), F.col("_metadata.file_modification_time").alias("delivered_at"), F.col("_metadata.file_name").alias("file"),
     )
     return made.withColumns({"identity": F.coalesce(F.col("record").cast("string"), F.concat(F.lit("text:"), "sha256")), "site_part": site_label(F.col("site"))})
 
@@ -115,6 +116,7 @@ def refresh(spark: SparkSession, output: str) -> list[str]:
 def run(spark: SparkSession, source: str, output: str, checkpoint: str, settings: dict | None = None) -> DataFrame:
     """One run; returns OUTPUT/current. source: a folder (or one file) of Parquet, to which files are added."""
     settings = {**DEFAULTS, **(settings or {})}
+    ship(spark)
     take(spark, source, f"{output}/ledger", checkpoint, settings)
     sites = refresh(spark, output)
     current = _stored(spark, f"{output}/current")

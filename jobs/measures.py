@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cohortis.functions import texts
 
-def n_words(text: Column) -> Column:
-    """Runs of characters other than space and \\x09-\\x0D; a null text has none."""
-    marked = F.regexp_replace(text, r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+", "x")
-    return F.coalesce(F.length(F.translate(marked, " \t\n\x0b\x0c\r", "")), F.lit(0)).cast("long")
+CLASSES = {"space": " \t\n\v\f\r", "digits": "0123456789", "marks": "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "breaks": "\n"}
 
 
-def share(text: Column, characters: str) -> Column:
-    """The share of a text's characters that a class of characters (of a regular expression) holds; null for an empty text."""
-    return 1 - F.try_divide(F.length(F.regexp_replace(text, f"[{characters}]+", "")), F.length(text))
+def counted(text: Column) -> Column:
+    """How many characters of each of CLASSES a text has, and `words`, the runs of characters other than space and \\x09-\\x0D; a
+    null text has none. A struct: give it a name before its fields are used, so that a text is read once."""
+    return texts.counts(text, CLASSES, "space")
+
+
+def share(part: Column, chars: Column) -> Column:
+    """The share of a text's characters that a class of characters holds; null for an empty text."""
+    return 1 - F.try_divide(chars - part, chars)
 
 
 def site_label(site: Column) -> Column:

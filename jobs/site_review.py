@@ -21,7 +21,7 @@ import logging
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortis.functions import columns as C
@@ -29,47 +29,46 @@ from cohortis.operators import cohort
 from cohortis.operators import tabular as R
 from cohortis.session import ship
 
-from .measures import n_words, share, site_label
+from .measures import counted, share, site_label
 
 log = logging.getLogger("jobs.site_review")
 DEFAULTS = json.load(open(os.path.join(os.path.dirname(__file__), "site_review.json")))
-KEY = ["site_part", "modality_part", "identity", "sha256"]
+GROUP = ["site_part", "modality_part"]
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """Numbers of a text; those that divide by nothing are null."""
+def measures(chars: Column, counts: Column) -> dict[str, Column]:
+    """Numbers of a text, by its characters and measures.counted(); those that divide by nothing are null."""
     return {
-        "chars": F.length(text).cast("double"),
-        "word_length": F.try_divide(F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")), n_words(text)),
-        "digits": share(text, "0-9"),
-        "marks": share(text, r"!-/:-@\[-`{-~"),
-        "breaks": share(text, r"\n"),
+        "chars": chars.cast("double"),
+        "word_length": F.try_divide(chars - counts["space"], counts["words"]),
+        **{name: share(counts[name], chars) for name in ("digits", "marks", "breaks")},
     }
 
 
 def measured(records: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """One row for each different record of a site and modality: KEY, record, site, modality, and the measures. Rows that are
-    repeated count once; a null text counts as empty; a record without an id is told by its contents."""
-    text, record = F.coalesce(F.col(columns["text"]), F.lit("")), F.col(columns["record"])
-    made = records.select(record.alias("record"), F.col(columns["site"]).alias("site"), F.col(columns["modality"]).alias("modality"), F.sha2(text, 256).alias("sha256"), *[c.cast("double").alias(n) for n, c in measures(text).items()])
-    named = made.withColumns({"identity": F.coalesce(F.col("record").cast("string"), F.concat(F.lit("text:"), "sha256")), "site_part": site_label(F.col("site")), "modality_part": site_label(F.col("modality"))})
-    others = [c for c in named.columns if c not in KEY]
-    return named.groupBy(*KEY).agg(F.first(F.struct(*others)).alias("r")).select(*KEY, "r.*")
+    """One row for each different record of a site and modality: record, site, modality, sha256, site_part, modality_part, and
+    the measures, with `rows`, the number of rows read of it. A null text counts as empty; a record without an id is told by its contents."""
+    text = F.coalesce(F.col(columns["text"]), F.lit(""))
+    named = records.select(F.col(columns["record"]).alias("record"), F.col(columns["site"]).alias("site"), F.col(columns["modality"]).alias("modality"), F.sha2(text, 256).alias("sha256"), F.length(text).alias("_chars"), counted(text).alias("_counts"))
+    found = measures(F.col("_chars"), F.col("_counts"))
+    each = named.select("record", "site", "modality", "sha256", site_label(F.col("site")).alias("site_part"), site_label(F.col("modality")).alias("modality_part"), *[c.alias(n) for n, c in found.items()])
+    return each.groupBy(*each.columns).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def flags(each: DataFrame, settings: dict) -> DataFrame:
     """measured() rows with max_z (null where a group is too small), worst_measure and qc_class. `high`: more is worse; `low`:
-    less is; `apart`: either."""
+    less is; `apart`: either. Rows meet the limits of their group, and everything else is found within a row."""
     ways = settings["worse_when"]
-    long = R.long(each, KEY, [*ways], "measure", "value")
-    z = R.robust_z(long, ["site_part", "modality_part", "measure"], "value", settings["least_per_group"], large_groups=True)
-    way = F.element_at(F.create_map(*[F.lit(x) for pair in ways.items() for x in pair]), F.col("measure"))
-    worse = z.withColumn("bad", F.when(way == "high", F.col("z")).when(way == "low", -F.col("z")).otherwise(F.abs("z")))
-    position = F.array_position(F.array(*map(F.lit, ways)), F.col("measure"))
-    top = R.worst(worse, KEY, "bad", "measure", position).withColumnsRenamed({"max_value": "max_z", "worst": "worst_measure"})
-    met = each.join(top, KEY)
+    met = each.join(R.robust_limits(each, GROUP, [*ways]), GROUP)
+
+    def bad(m: str, way: str) -> Column:
+        z = F.coalesce(F.try_divide(F.col(m) - F.col(f"med_{m}"), 1.4826 * F.col(f"mad_{m}")), F.lit(0.0))
+        return F.when(F.col("n") >= settings["least_per_group"], {"high": z, "low": -z}.get(way, F.abs(z)))
+
+    top = F.array_max(F.array(*[F.struct(bad(m, way).alias("z"), F.lit(-i).alias("p"), F.lit(m).alias("m")) for i, (m, way) in enumerate(ways.items())]))  # of equal ones the first
+    found = met.withColumn("_top", top).withColumns({"max_z": F.col("_top.z"), "worst_measure": F.when(F.col("_top.z").isNotNull(), F.col("_top.m"))})
     judged = C.qc_class(F.col("max_z"), F.lit(False), F.col("max_z").isNotNull(), settings["check"], settings["exclude"])
-    return met.select("site_part", "record", "site", "modality", "sha256", *[F.round(m, 6).alias(m) for m in ways], F.round("max_z", 6).alias("max_z"), F.when(F.col("max_z").isNotNull(), F.col("worst_measure")).alias("worst_measure"), judged.alias("qc_class"))
+    return found.select("site_part", "record", "site", "modality", "sha256", *[F.round(m, 6).alias(m) for m in ways], F.round("max_z", 6).alias("max_z"), "worst_measure", judged.alias("qc_class"))
 
 
 def report(judged: DataFrame, truth: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -84,12 +83,12 @@ def run(spark: SparkSession, records: str, truth: str, output: str, settings: di
     settings = {**DEFAULTS, **(settings or {})}
     columns = settings["columns"]
     ship(spark)
-    seen, judge = Observation("records"), spark.read.parquet(truth)
-    read = spark.read.parquet(records).observe(seen, F.count(F.lit(1)).alias("n"))
+    judge, made = spark.read.parquet(truth), measured(spark.read.parquet(records), columns)
     # The measures are written first: texts are read once, and what follows reads numbers only.
-    measured(read, columns).write.mode("overwrite").parquet(f"{output}/measures")
-    log.info("%d records read from %s", seen.get["n"], records)
-    found = flags(spark.read.parquet(f"{output}/measures"), settings)
+    made.write.mode("overwrite").parquet(f"{output}/measures")
+    each = spark.read.schema(made.schema).parquet(f"{output}/measures")
+    log.info("%d records read from %s", each.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], records)
+    found = flags(each, settings)
     dealt = found.repartition("site_part", F.pmod(F.xxhash64("record", "sha256"), F.lit(settings["files_a_site"])))
     dealt.write.mode("overwrite").partitionBy("site_part").parquet(f"{output}/flags")
     judged = spark.read.schema(found.schema).parquet(f"{output}/flags")  # of no records no file is written that tells it
